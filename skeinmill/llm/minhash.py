@@ -17,8 +17,8 @@ How large groups stay cheap:
   centre's component are compared with it, and confirmed links merge
   components. Members that share a component need no more comparing, since only
   components are returned; spent centres leave the bucket. A bucket is done
-  when one component or one member is left, and the number of centres doubles
-  each round, so every pair of different components in every bucket is
+  when one component or one member is left, and the number of centres grows
+  eightfold each round, so every pair of different components in every bucket is
   compared in the end and no link between components is lost.
 """
 
@@ -189,15 +189,16 @@ def minhash_near_duplicates(
             .distinct()
         )
         fresh = settle(_confirmed(pairs, texts, width, percent), "minhash-links")
-        found = fresh if found is None else found.unionByName(fresh)
-        merged = settle(connected_components(found, "a", "b"), "minhash-components")
+        if not fresh.isEmpty():
+            found = fresh if found is None else found.unionByName(fresh)
+            merged = settle(connected_components(found, "a", "b"), "minhash-components")
         rest = labelled.join(centre.select("band", "key", F.col("centre").alias("doc_id")), ["band", "key", "doc_id"], "left_anti")
         left = rest.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key")
         spent = active
         active = settle(rest.join(left, ["band", "key"]).select("band", "key", "doc_id", "n_shingles"), "minhash-buckets")
         discard(spent)
         discard(labelled)
-        centres *= 2
+        centres *= 8
     everything = links if found is None else links.unionByName(found)
     components = connected_components(everything, "a", "b")
     out = sketch.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
