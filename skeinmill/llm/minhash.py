@@ -5,8 +5,9 @@ scatters the shingles; the second, shifted circularly by k places, gives
 coordinate k. Coordinates are cut into bands; texts that agree on a band fall
 into one bucket, and every candidate link is confirmed on the full shingle sets.
 
-With the default 40 bands of 6 coordinates a pair at the default threshold of
-0.85 shares no bucket with probability (1 - 0.85**6)**40 < 1e-8.
+With the default 60 bands of 6 coordinates a pair at the default threshold of
+0.8 shares no bucket with probability (1 - 0.8**6)**60, about 1e-8; at 0.85, 40
+bands give less than 1e-8.
 
 How large groups stay cheap:
 
@@ -132,7 +133,7 @@ def minhash_near_duplicates(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    bands: int = 40,
+    bands: int = 60,
     rows: int = 6,
 ) -> DataFrame:
     """Components of texts whose shingle sets have 100 * |A & B| >= percent * |A | B|.
@@ -140,7 +141,7 @@ def minhash_near_duplicates(
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id
     reachable), kept (doc_id = component_id). Defaults are five words and 0.8;
     for another threshold choose ``bands`` and ``rows`` so that
-    (1 - threshold**rows)**bands is negligible (at 0.8 it is about 6e-6).
+    (1 - threshold**rows)**bands is negligible.
 
     Null, empty and wordless texts have no shingles and link with nothing; a row
     whose id is null has component null and is not kept. Repeated rows with one
@@ -207,7 +208,7 @@ def minhash_near_duplicates(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash_near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=40)
 
 
 ORACLE = r"""

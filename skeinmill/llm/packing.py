@@ -19,7 +19,6 @@ shuffle. The rests that wait are bounded by ``pool`` documents.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -96,7 +95,7 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
             offset, step = 0, base + windows[tier] * tier // step_tokens
             windows[tier] += 1
             for doc, start, ids, total in pieces:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + count, offset, tier, step, ids.tolist() if emit_ids else None))
+                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + count, offset, tier, step, ids))
                 offset += len(ids)
             count += 1
 
@@ -165,12 +164,15 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
                 left -= size
 
         def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
+            *cols, ids = zip(*rows, strict=True)
             rows.clear()
-            kinds = [pa.int64()] * 9 + [pa.list_(pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays if emit_ids else arrays[:-1], names=names if emit_ids else names[:-1])
+            arrays = [pa.array(c, pa.int64()) for c in cols]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+            if emit_ids:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             texts, docs, at = batch.column(1), batch.column(0).to_pylist(), 0
@@ -217,7 +219,7 @@ def pack_documents(
         raise ValueError("tiers must be falling powers of two")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
     pack = _packer(tokenizer_path, tuple(tiers), eod, step_tokens, pool, emit_ids)
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(pack, fields + (", ids array<long>" if emit_ids else ""))
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(pack, fields + (", ids array<int>" if emit_ids else ""))
 
 
 def default_tokenizer() -> str:

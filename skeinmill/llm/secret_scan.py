@@ -63,19 +63,8 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(
-    docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 2, max_repositories: int = 4
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans.
-
-    ``spans`` lists kind:start:end of base spans and added ones by start, then
-    kind. A candidate is live if at most ``max_owners`` owners and
-    ``max_repositories`` repositories hold its value, else an example; weak
-    candidates are added if live and held by one owner. ``live_spans`` has the
-    places of the live ones. Null texts are empty; a null owner or repository is
-    one of its own; rows are judged by themselves, so repeated and null ids give
-    a row each. An empty table gives an empty result.
-    """
+def _evidence(docs: DataFrame, owner: Column, repository: Column, id_col: str, text_col: str, max_owners: int, max_repositories: int) -> tuple[DataFrame, DataFrame]:
+    """All candidates per row (doc_id, base, weak), and per id with any a map from the hashes of its live ones to their owners' number."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), name(owner).alias("owner"), name(repository).alias("repository"))
     found = _spans(_spans(own, BASE, 0, "base"), WEAK, len(BASE), "weak").select("doc_id", "owner", "repository", "base", "weak")
@@ -89,7 +78,24 @@ def scan_secrets(
     per_doc = held.select("doc_id", "hash").distinct().join(live, "hash").groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("hash", "n_owners"))).alias("live")
     )
-    joined = found.join(per_doc.withColumnRenamed("doc_id", "live_id"), F.col("doc_id").eqNullSafe(F.col("live_id")), "left")
+    return found, per_doc.withColumnRenamed("doc_id", "live_id")
+
+
+def scan_secrets(
+    docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 2, max_repositories: int = 4
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans.
+
+    ``spans`` lists kind:start:end of base spans and added ones by start, then
+    kind. A candidate is live if at most ``max_owners`` owners and
+    ``max_repositories`` repositories hold its value, else an example; weak
+    candidates are added if live and held by one owner. ``live_spans`` has the
+    places of the live ones. Null texts are empty; a null owner or repository is
+    one of its own; rows are judged by themselves, so repeated and null ids give
+    a row each. An empty table gives an empty result.
+    """
+    found, per_doc = _evidence(docs, owner, repository, id_col, text_col, max_owners, max_repositories)
+    joined = found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("live_id")), "left")
     joined = joined.withColumn("live", F.coalesce("live", F.create_map().cast("map<string,bigint>")))
     joined = joined.withColumn("added", F.filter("weak", lambda s: F.col("live")[s["hash"]] == 1))
     joined = joined.withColumn("all", F.array_sort(F.concat("base", "added")))
@@ -117,6 +123,22 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
 
+def redact_live(
+    docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = 2, max_repositories: int = 4, mark: str = "[SECRET]"
+) -> DataFrame:
+    """All rows and columns of ``docs`` with the live secrets of ``text_col`` replaced by ``mark``; examples stay."""
+    _, per_doc = _evidence(docs, owner, repository, id_col, text_col, max_owners, max_repositories)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = row.join(settle(per_doc, "secret-live"), F.col(f"row.{id_col}").eqNullSafe(F.col("live_id")), "left")
+    text = F.col(f"row.{text_col}")
+    joined = joined.withColumn("text", F.when(F.col("live").isNotNull(), F.coalesce(text, F.lit(""))).otherwise(""))
+    spans = _spans(_spans(joined, BASE, 0, "base"), WEAK, len(BASE), "weak")
+    live = F.concat(F.filter("base", lambda s: F.map_contains_key("live", s["hash"])), F.filter("weak", lambda s: F.col("live")[s["hash"]] == 1))
+    clean = F.when(F.col("live").isNotNull() & text.isNotNull(), redact(F.col("text"), F.array_sort(live), mark)).otherwise(text)
+    done = spans.withColumn("clean", clean)
+    return done.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners are the sources; a repository is a source's documents in one language."""
     repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
