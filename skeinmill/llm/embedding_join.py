@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinmill.llm.blocks import local_components
 from skeinmill.operators.graph import connected_components
 from skeinmill.runtime import arrow_batch_rows, settle, table
 
@@ -168,24 +169,6 @@ def _block_pairs(meta: DataFrame, parts: int, eps: float) -> DataFrame:
     return pairs.select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))
 
 
-def _local_components(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Component labels of the rows and columns of a bipartite link matrix: row numbers, and the rows' count plus
-    column numbers; with ``same`` rows and columns are the same vectors."""
-    n, m = link.shape
-    r, c = np.nonzero(link)
-    up = np.arange(n if same else n + m)
-    c = c if same else c + n
-    while True:
-        low = np.minimum(up[r], up[c])
-        new = up.copy()
-        np.minimum.at(new, r, low)
-        np.minimum.at(new, c, low)
-        new = new[new]
-        if (new == up).all():
-            return (up, up) if same else (up[:n], up[n:])
-        up = new
-
-
 def _matcher(dim: int, threshold: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def load(batch: pa.RecordBatch, i: int, at: int):
@@ -205,7 +188,7 @@ def _matcher(dim: int, threshold: float):
                     continue
                 ids = ids_a if same else np.concatenate([ids_a, ids_b])
                 counts = link @ mult_b if same else np.concatenate([link @ mult_b, mult_a @ link])
-                up_a, up_b = _local_components(link, same)
+                up_a, up_b = local_components(link, same)
                 label = up_a if same else np.concatenate([up_a, up_b])
                 smallest = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(smallest, label, ids)

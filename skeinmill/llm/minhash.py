@@ -13,14 +13,15 @@ How large groups stay cheap:
 
 * Texts with equal shingle sets are one class (grouped by a digest of the set)
   and only its smallest id goes on.
-* A bucket is never listed or paired within itself. Each round every bucket
-  picks a few centres (grouped minima), all members that are not yet in a
-  centre's component are compared with it, and confirmed links merge
-  components. Members that share a component need no more comparing, since only
-  components are returned; spent centres leave the bucket. A bucket is done
-  when one component or one member is left, and the number of centres grows
-  eightfold each round, so every pair of different components in every bucket is
-  compared in the end and no link between components is lost.
+* Buckets are never listed whole. First every bucket picks one centre (a
+  grouped minimum) and each member is compared with it; confirmed links merge
+  components. Only components are returned, so members that share one need no
+  more comparing, and a bucket that holds one component is done.
+* What is left in small buckets (at most ``SMALL``) goes as distinct pairs. What
+  is left in larger ones is packed in blocks of bounded size, and pairs of blocks
+  are compared whole: intersections of all their shingle sets come from matrix
+  products, and only edges that connect components come back. No pair of
+  different components is skipped and no row is made per pair.
 """
 
 from __future__ import annotations
@@ -32,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinmill.llm.blocks import spanning_edges
 from skeinmill.llm.shingles import mix64, shingle_sets
 from skeinmill.operators.graph import connected_components
-from skeinmill.runtime import discard, settle, table
+from skeinmill.runtime import arrow_batch_rows, settle, table
 
+SMALL = 16
+BLOCK_ROWS = 256
+BLOCK_BYTES = 4 << 20
 _M = np.uint32
 
 
@@ -127,6 +132,92 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
 
 
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, key, block, doc_id, component, text) that come sorted, packed in runs of one block and about ``BLOCK_BYTES``."""
+    place, ids, parts, texts, size = None, [], [], [], 0
+
+    def done() -> pa.RecordBatch:
+        arrays = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int64()), pa.array([ids[0]], pa.int64())]
+        lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays + lists, names=["band", "key", "first_id", "ids", "components", "texts"])
+
+    for batch in batches:
+        for band, key, block, doc, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if ids and (place != (band, key, block) or size > BLOCK_BYTES):
+                yield done()
+                ids, parts, texts, size = [], [], [], 0
+            place = (band, key, block)
+            ids.append(doc)
+            parts.append(component)
+            texts.append(text)
+            size += len(text)
+    if ids:
+        yield done()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|A & B| of all pairs of sets, by products of incidence matrices over runs of the shingles that both sides hold."""
+    at_l, at_r = np.concatenate(left), np.concatenate(right)
+    row_l, row_r = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    shared = np.intersect1d(at_l, at_r)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(shared):
+        return out
+    cols = []
+    for at, row in ((at_l, row_l), (at_r, row_r)):
+        col = np.minimum(np.searchsorted(shared, at), len(shared) - 1)
+        hit = shared[col] == at
+        order = np.argsort(col[hit], kind="stable")
+        cols.append((col[hit][order], row[hit][order]))
+    for start in range(0, len(shared), 4096):
+        end, sides = start + 4096, []
+        for (col, row), n in zip(cols, (len(left), len(right)), strict=True):
+            a, b = np.searchsorted(col, [start, end])
+            m = np.zeros((n, min(end, len(shared)) - start), np.float32)
+            m[row[a:b], col[a:b] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_matcher(width: int, percent: int):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for at in (2, 5):
+                    ids, parts = (np.asarray(batch.column(at + k)[i].values) for k in (0, 1))
+                    sides.append((ids, parts, [s for _, run in shingle_sets(batch.column(at + 2)[i].values, width) for s in run]))
+                (ids_a, part_a, a), (ids_b, part_b, b) = sides
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                n, m = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+                apart = part_a[:, None] != part_b
+                if not apart.any():
+                    continue
+                common = common_counts(a, b).astype(np.int64)
+                link = apart & (100 * common >= percent * (n[:, None] + m - common))
+                if link.any():
+                    x, y = spanning_edges(link, same, ids_a, ids_b)
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return match
+
+
+def _block_links(crowd: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    spark = crowd.sparkSession
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK_ROWS)).cast("int").alias("block")
+    rows = crowd.select("band", "key", block, "doc_id", "component").join(texts, "doc_id").select("band", "key", "block", "doc_id", "component", "text")
+    packed = rows.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block").mapInArrow(
+        _packer, "band int, key long, first_id long, ids array<long>, components array<long>, texts array<string>"
+    )
+    packed = settle(packed, "minhash-blocks")
+    side = lambda s: packed.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("first_id", "ids", "components", "texts")])
+    both = side("a").join(side("b"), ["band", "key"]).where("first_id_a <= first_id_b")
+    both = both.select("first_id_a", "first_id_b", "ids_a", "components_a", "texts_a", "ids_b", "components_b", "texts_b")
+    with arrow_batch_rows(spark, 4):
+        return settle(both.mapInArrow(_block_matcher(width, percent), "a long, b long").distinct(), "minhash-block-links")
+
+
 def minhash_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -163,45 +254,28 @@ def minhash_near_duplicates(
     links = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts = source.join(active.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = settle(texts, "minhash-texts")
-    merged: DataFrame | None = None
-    found: DataFrame | None = None
-    centres = 1
-    while not active.isEmpty():
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(centres)).alias("slot")
-        if merged is None:
-            labelled = active.withColumn("component", F.col("doc_id"))
-        else:
-            labelled = active.join(merged, active["doc_id"] == merged["node"], "left").select(
-                "band", "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
-            )
-            open_buckets = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-            labelled = labelled.join(open_buckets, ["band", "key"])
-        labelled = settle(labelled, "minhash-open")
-        centre = (
-            labelled.groupBy("band", "key", slot)
-            .agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("c"))
-            .select("band", "key", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("centre_n"), F.col("c.component").alias("centre_component"))
-        )
-        sizes_fit = (100 * F.least("n_shingles", "centre_n")) >= (percent * F.greatest("n_shingles", "centre_n"))
-        pairs = (
-            labelled.join(centre, ["band", "key"])
-            .where((F.col("component") != F.col("centre_component")) & sizes_fit)
-            .select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
-            .distinct()
-        )
-        fresh = settle(_confirmed(pairs, texts, width, percent), "minhash-links")
-        if not fresh.isEmpty():
-            found = fresh if found is None else found.unionByName(fresh)
-            merged = settle(connected_components(found, "a", "b"), "minhash-components")
-        rest = labelled.join(centre.select("band", "key", F.col("centre").alias("doc_id")), ["band", "key", "doc_id"], "left_anti")
-        left = rest.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key")
-        spent = active
-        active = settle(rest.join(left, ["band", "key"]).select("band", "key", "doc_id", "n_shingles"), "minhash-buckets")
-        discard(spent)
-        discard(labelled)
-        centres *= 8
-    everything = links if found is None else links.unionByName(found)
-    components = connected_components(everything, "a", "b")
+    sizes_fit = lambda n, m: (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+    centre = active.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c")).select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("m"))
+    stars = active.join(centre, ["band", "key"]).where((F.col("doc_id") != F.col("b")) & sizes_fit("n_shingles", "m")).select(F.col("doc_id").alias("a"), "b").distinct()
+    found = settle(_confirmed(stars, texts, width, percent), "minhash-links")
+    merged = settle(connected_components(found, "a", "b"), "minhash-components")
+
+    labelled = active.join(merged, active["doc_id"] == merged["node"], "left").select("band", "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    labelled = settle(labelled, "minhash-labelled")
+    still_open = labelled.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", "members")
+    still = settle(labelled.join(still_open, ["band", "key"]), "minhash-open")
+    small = still.where(F.col("members") <= SMALL)
+    other = small.select("band", "key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("component_b"))
+    pairs = (
+        small.join(other, ["band", "key"])
+        .where((F.col("doc_id") > F.col("b")) & (F.col("component") != F.col("component_b")) & sizes_fit("n_shingles", "m"))
+        .select(F.col("doc_id").alias("a"), "b")
+        .distinct()
+    )
+    found = found.unionByName(_confirmed(pairs, texts, width, percent))
+    found = found.unionByName(_block_links(still.where(F.col("members") > SMALL), texts, width, percent))
+    found = settle(found, "minhash-all-links")
+    components = connected_components(links.unionByName(found), "a", "b")
     out = sketch.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(False))).alias("kept"))
