@@ -7,6 +7,9 @@ many leaves to visit is calibrated: for a bounded set of queries the true
 neighbours over all rows are found by brute force, and visits widen until the
 leaves visited hold the target share of them.
 
+The first ``FIRST_LEAVES`` visits give each query a floor, its k-th best score
+so far, and the further ones only report what reaches it.
+
 Leaves of the index and of the queries that visit them are packed in blocks of
 bounded size and compared by matrix products, so a leaf with a third of all
 rows is many blocks on many tasks. Scores are recomputed from the original
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from skeinmill.llm.embedding_join import clean_vectors, matrix_of
 from skeinmill.runtime import arrow_batch_rows, settle, table
 
+FIRST_LEAVES = 4
+
 
 class KMeansTree:
     """Nodes in breadth-first order: centres, children (first, count); a node without children is a leaf."""
@@ -103,42 +108,47 @@ def _indexer(tree: KMeansTree):
     return index
 
 
-def _visitor(tree: KMeansTree, leaves: int, leaf_rows: dict[int, int], rows: int, dim: int):
+def _visitor(tree: KMeansTree, leaves: int, leaf_rows: dict[int, int], rows: int, dim: int, turns: slice):
+    """Rows (vec_id, leaf, raw, floor) for the visits whose turns are in ``turns``."""
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
+            ids, raw, floors = (batch.column(c).to_pylist() for c in range(3))
             order = tree.visits(np.frombuffer(b"".join(raw)).reshape(-1, dim), leaves, leaf_rows, rows)
             for at in range(0, len(ids), 256):
-                flat = [(q, leaf, r) for q, r, o in zip(ids[at : at + 256], raw[at : at + 256], order[at : at + 256], strict=True) for leaf in o]
+                to = at + 256
+                flat = [(q, leaf, r, f) for q, r, f, o in zip(ids[at:to], raw[at:to], floors[at:to], order[at:to], strict=True) for leaf in o[turns]]
                 if flat:
-                    a, b, c = zip(*flat, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["vec_id", "leaf", "raw"])
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["vec_id", "leaf", "raw", "floor"])
 
     return visit
 
 
 def _blocker(block_rows: int):
-    """Packs rows (vec_id, leaf, raw) that come sorted by leaf into blocks of one leaf."""
+    """Packs rows (vec_id, leaf, raw, floor) that come sorted by leaf into blocks of one leaf."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         raw: list[bytes] = []
+        floors: list[float] = []
         leaf = None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(raw)], pa.binary())], names=["leaf", "ids", "raw"])
+            packed = (np.array(ids, np.int64).tobytes(), b"".join(raw), np.array(floors, np.float64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["leaf", "ids", "raw", "floors"])
 
         for batch in batches:
-            for i, at, r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for i, at, r, f in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if ids and (at != leaf or len(ids) == block_rows):
                     yield done()
-                    ids, raw = [], []
+                    ids, raw, floors = [], [], []
                 leaf = at
                 ids.append(i)
                 raw.append(r)
+                floors.append(f)
         if ids:
             yield done()
 
@@ -147,11 +157,11 @@ def _blocker(block_rows: int):
 
 def _blocks(rows: DataFrame, salt: int, block_rows: int) -> DataFrame:
     spread = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salt))).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt")
-    return spread.select("vec_id", "leaf", "raw").mapInArrow(_blocker(block_rows), "leaf long, ids binary, raw binary")
+    return spread.select("vec_id", "leaf", "raw", "floor").mapInArrow(_blocker(block_rows), "leaf long, ids binary, raw binary, floors binary")
 
 
-def nearest_in(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, row index, score) of each query's k best rows, without its own id, ties to the smaller id."""
+def nearest_in(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, row index, score) of each query's k best rows of at least its floor, without its own id, ties to the smaller id."""
     fast = q @ m.T
     fast[q_ids[:, None] == ids] = -np.inf
     qs, rows, scores = [], [], []
@@ -161,7 +171,11 @@ def nearest_in(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, ids: np.ndarray,
         if not have.any():
             continue
         edge = np.partition(fast[i], -k)[-k] if len(ids) > k else -np.inf
+        if floors is not None:
+            edge = max(edge, floors[i])
         near = np.flatnonzero(have & (fast[i] >= edge - 1e-12 * size))
+        if not len(near):
+            continue
         exact = (m[near] * q[i]).sum(axis=1)
         best = np.lexsort((ids[near], -exact))[:k]
         qs.append(np.full(len(best), i))
@@ -207,8 +221,9 @@ def _searcher(dim: int, k: int):
         best = _Best(k)
         for batch in batches:
             for n in range(batch.num_rows):
-                ids, raw, q_ids, q_raw = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                qi, ri, s = nearest_in(q_raw.reshape(-1, dim), q_ids, raw.reshape(-1, dim), ids, k)
+                kinds = (np.int64, np.float64, np.int64, np.float64, np.float64)
+                ids, raw, q_ids, q_raw, floors = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in enumerate(kinds))
+                qi, ri, s = nearest_in(q_raw.reshape(-1, dim), q_ids, raw.reshape(-1, dim), ids, k, floors)
                 best.add(q_ids[qi], ids[ri], s)
         yield from best.batches()
 
@@ -289,12 +304,21 @@ def search_nearest(
     depths = np.sort([order[r.query_id][r.leaf] + 1 for r in truth])
     leaves = int(depths[min(len(depths) - 1, int(np.ceil(target_recall * len(depths))) - 1)]) if len(depths) else 1
 
-    visits = asked.mapInArrow(_visitor(tree, leaves, leaf_rows, k + 1, dim), "vec_id long, leaf long, raw binary")
-    own = settle(_blocks(index, 16, block_rows), "ann-leaf-blocks")
-    asking = settle(_blocks(visits, 4, block_rows // 2), "ann-query-blocks").select("leaf", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"))
-    with arrow_batch_rows(spark, 4):
-        found = settle(own.join(asking, "leaf").select("ids", "raw", "q_ids", "q_raw").mapInArrow(_searcher(dim, k), "query_id long, vec_id long, score double"), "ann-found")
-    return _ranked(found.distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    none = F.lit(float("-inf"))
+    own = settle(_blocks(index.withColumn("floor", none), 16, block_rows).drop("floors"), "ann-leaf-blocks")
+
+    def searched(asking: DataFrame, turns: slice) -> DataFrame:
+        """What the visits of these turns find at or above each query's floor."""
+        visits = asking.select("vec_id", "raw", "floor").mapInArrow(_visitor(tree, leaves, leaf_rows, k + 1, dim, turns), "vec_id long, leaf long, raw binary, floor double")
+        blocks = settle(_blocks(visits, 4, block_rows // 2), "ann-query-blocks").select("leaf", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "floors")
+        with arrow_batch_rows(spark, 4):
+            joined = own.join(blocks, "leaf").select("ids", "raw", "q_ids", "q_raw", "floors")
+            return settle(joined.mapInArrow(_searcher(dim, k), "query_id long, vec_id long, score double"), "ann-found")
+
+    first = searched(asked.withColumn("floor", none), slice(0, FIRST_LEAVES))
+    floors = _ranked(first.distinct(), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = searched(asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none)), slice(FIRST_LEAVES, None))
+    return _ranked(first.unionByName(rest).distinct(), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
