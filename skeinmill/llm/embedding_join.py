@@ -135,10 +135,17 @@ def _packer(axes: np.ndarray, block_rows: int):
     return pack
 
 
-def _block_pairs(meta: DataFrame, parts: int, eps: float) -> DataFrame:
+def _shifts(last_part: int, last_seq: int) -> list[int]:
+    """Bits of a block's number below each level's intervals, from the top: eight intervals make one of the level above."""
+    levels = lambda n: range(3 * math.ceil(n.bit_length() / 3) - 3, -1, -3)
+    parts = [_SEQ_BITS + s for s in levels(last_part)]
+    return parts + list(levels(last_seq)) if last_seq else [*parts[:-1], 0]
+
+
+def _block_pairs(meta: DataFrame, eps: float) -> DataFrame:
     """Pairs (a <= b) of blocks that may hold linked vectors, found by recursion over intervals of eight."""
-    part_bits = max(1, (max(parts - 1, 1)).bit_length())
-    shifts = [*range(_SEQ_BITS + 3 * math.ceil(part_bits / 3) - 3, _SEQ_BITS - 1, -3), *range(9, -1, -3)]
+    ends = meta.agg(F.max(F.shiftright("block", _SEQ_BITS)).alias("part"), F.max(F.col("block").bitwiseAND((1 << _SEQ_BITS) - 1)).alias("seq")).collect()[0]
+    shifts = _shifts(ends["part"] or 0, ends["seq"] or 0)
     bound = (eps + 1e-9) ** 2
     gap = lambda lo1, hi1, lo2, hi2: F.aggregate(
         F.transform(
@@ -237,7 +244,7 @@ def epsilon_grid_join(
         ),
         "ego-blocks",
     )
-    pairs = settle(_block_pairs(blocks.select("block", "lo", "hi"), parts, eps), "ego-pairs")
+    pairs = settle(_block_pairs(blocks.select("block", "lo", "hi"), eps), "ego-pairs")
     side = lambda s: blocks.select(F.col("block").alias(s), F.col("ids").alias(f"ids_{s}"), F.col("mult").alias(f"mult_{s}"), F.col("raw").alias(f"raw_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ids_a", "mult_a", "raw_a", "ids_b", "mult_b", "raw_b")
     with arrow_batch_rows(spark, 4):
