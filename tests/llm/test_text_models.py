@@ -120,3 +120,14 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, good int")
     assert {r.doc_score for r in quality.classify_quality(odd_docs, none, F.col("source"), F.col("lang")).collect()} == {0.5}
     assert quality.classify_quality(no_docs, labels, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 8192):
+        text = "".join(f"a{chr(c)}b {chr(c)}1 \n" for c in points[at : at + 8192])
+        assert tok.encode(text, add_special_tokens=False).ids == enc(text).tolist()
