@@ -63,8 +63,10 @@ class Encoder:
         return self._engine.encode_to_numpy(text, disallowed_special=())
 
 
-#: One encoder for all tasks of a worker process.
-encoder = functools.lru_cache(maxsize=1)(Encoder)
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens: int, pool: int, emit_ids: bool):
