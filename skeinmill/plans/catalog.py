@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinmill.operators import retrieval
+
 FLAGSHIP = "recall_hybrid"
-_MODULES: tuple = ()
+_MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
