@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinmill.operators import retrieval
+from skeinmill.operators import business, cleaning, ingest, retrieval, sessions
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval,)
+_MODULES = (retrieval, cleaning, sessions, business, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
