@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -68,5 +69,16 @@ def arrow_batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` (which has ``total``) with the smallest hashes of ``key``.
+
+    A threshold on the hash, set so that half as many rows again are expected to
+    pass, goes first, so no task sends more than its share of the sample.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    passing = df.where(h < 1.5 * rows / total) if total > 2 * rows else df
+    return passing.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
