@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.llm.embedding_join import clean_vectors, matrix_of
-from skeinmill.runtime import arrow_batch_rows, settle, table
+from skeinmill.runtime import arrow_batch_rows, bounded_sample, settle, table
 
 FIRST_LEAVES = 4
 
@@ -155,8 +155,9 @@ def _blocker(block_rows: int):
     return block
 
 
-def _blocks(rows: DataFrame, salt: int, block_rows: int) -> DataFrame:
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salt))).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt")
+def _blocks(rows: DataFrame, parts: Column, block_rows: int) -> DataFrame:
+    """Blocks of one leaf each; the rows of a leaf go to ``parts`` partitions."""
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), parts)).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt")
     return spread.select("vec_id", "leaf", "raw", "floor").mapInArrow(_blocker(block_rows), "leaf long, ids binary, raw binary, floors binary")
 
 
@@ -285,16 +286,16 @@ def search_nearest(
     lengths = valid.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], schema)
-    dim = lengths[0]["d"]
+    dim, total = lengths[0]["d"], lengths[0]["count"]
     valid = valid.where(F.size("vec") == dim)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow()
+    sample = bounded_sample(valid, "vec_id", sample_rows, total).select("vec").toArrow()
     tree = KMeansTree(matrix_of(sample.column(0).combine_chunks()), branching, depth)
     index = settle(valid.dropDuplicates(["vec_id", "vec"]).mapInArrow(_indexer(tree), "vec_id long, leaf long, raw binary"), "ann-index")
     leaf_rows = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
     asked = clean_vectors(queries, id_col, vec_col).where(F.size("vec") == dim).dropDuplicates(["vec_id"])
     asked = settle(asked.mapInArrow(_indexer(tree), "vec_id long, leaf long, raw binary").select("vec_id", "raw"), "ann-queries")
 
-    trial = asked.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(calibration_queries).collect()
+    trial = bounded_sample(asked, "vec_id", calibration_queries, asked.count()).collect()
     if not trial:
         return spark.createDataFrame([], schema)
     q_ids = np.array([r.vec_id for r in trial], np.int64)
@@ -305,12 +306,13 @@ def search_nearest(
     leaves = int(depths[min(len(depths) - 1, int(np.ceil(target_recall * len(depths))) - 1)]) if len(depths) else 1
 
     none = F.lit(float("-inf"))
-    own = settle(_blocks(index.withColumn("floor", none), 16, block_rows).drop("floors"), "ann-leaf-blocks")
+    parts = F.create_map(*[F.lit(x) for leaf, n in leaf_rows.items() for x in (leaf, -(-n // (4 * block_rows)))])[F.col("leaf")]
+    own = settle(_blocks(index.withColumn("floor", none), parts, block_rows).drop("floors"), "ann-leaf-blocks")
 
     def searched(asking: DataFrame, turns: slice) -> DataFrame:
         """What the visits of these turns find at or above each query's floor."""
         visits = asking.select("vec_id", "raw", "floor").mapInArrow(_visitor(tree, leaves, leaf_rows, k + 1, dim, turns), "vec_id long, leaf long, raw binary, floor double")
-        blocks = settle(_blocks(visits, 4, block_rows // 2), "ann-query-blocks").select("leaf", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "floors")
+        blocks = settle(_blocks(visits, F.lit(4), block_rows // 2), "ann-query-blocks").select("leaf", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "floors")
         with arrow_batch_rows(spark, 4):
             joined = own.join(blocks, "leaf").select("ids", "raw", "q_ids", "q_raw", "floors")
             return settle(joined.mapInArrow(_searcher(dim, k), "query_id long, vec_id long, score double"), "ann-found")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.llm.shingles import text_runs, word_hashes
 from skeinmill.llm.url_reputation import _strength
-from skeinmill.runtime import settle, table
+from skeinmill.runtime import bounded_sample, settle, table
 
 FEATURES = ("log_bytes", "letters", "upper", "digits", "marks", "bars", "newlines", "spaces", "word_length", "distinct_words", "repeats", "top_word", "distinct_sqrt")
 _CLASS = np.zeros((256, 6), dtype=np.float32)
@@ -50,7 +50,7 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias (on raw features) of a ridge logistic regression on standardised features and their squares' absence."""
+    """Weights and bias (on raw features) of a ridge logistic regression on standardised features."""
     if not len(x) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(x.shape[1] if x.ndim == 2 else len(FEATURES)), float(np.log(rate / (1 - rate)))
@@ -91,8 +91,9 @@ def classify_quality(
     rows = settle(own.mapInArrow(_featurer, f"doc_id {id_type}, host string, path string, f array<double>"), "quality-features")
     good = labels.select(F.col(id_col).alias("doc_id"), F.col("good").cast("long").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
     labelled = settle(rows.join(good, "doc_id"), "quality-labelled")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("f", "good").collect()
-    weights, bias = fit_logistic(np.array([r.f for r in sample]), np.array([r.good for r in sample], dtype=float))
+    sample = bounded_sample(labelled.select("doc_id", "f", "good"), "doc_id", sample_rows, labelled.count()).select("f", "good").toArrow()
+    x = np.asarray(sample.column("f").combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    weights, bias = fit_logistic(x, np.asarray(sample.column("good"), dtype=float))
 
     paths = labelled.groupBy("host", "path").agg(F.count("*").alias("n_p"), F.sum("good").alias("k_p"))
     hosts = paths.groupBy("host").agg(F.sum("n_p").alias("n_h"), F.sum("k_p").alias("k_h"))
