@@ -57,16 +57,28 @@ def discard(df: DataFrame) -> None:
         fs.delete(hadoop_path, True)
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
 def arrow_batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Hold Arrow batches to ``rows`` rows while wide binary rows are processed."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(_ARROW_ROWS, None)
+    spark.conf.set(_ARROW_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(_ARROW_ROWS)
+        else:
+            spark.conf.set(_ARROW_ROWS, before)
+
+
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep Arrow batches of whole texts small in this session, unless it sets a size itself: the default of
+    10,000 rows holds tens of MB on both sides of every task."""
+    if spark.conf.get(_ARROW_ROWS, None) is None:
+        spark.conf.set(_ARROW_ROWS, str(rows))
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
