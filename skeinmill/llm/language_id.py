@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.llm.shingles import text_runs
-from skeinmill.runtime import table
+from skeinmill.runtime import table, text_batches
 
 WINDOW = 128
 _BATCH = 2048
@@ -259,6 +259,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))
     slim = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))

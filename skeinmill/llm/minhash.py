@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from skeinmill.llm.blocks import spanning_edges
 from skeinmill.llm.shingles import mix64, shingle_sets
 from skeinmill.operators.graph import connected_components
-from skeinmill.runtime import arrow_batch_rows, settle, table
+from skeinmill.runtime import arrow_batch_rows, settle, table, text_batches
 
 SMALL = 16
 BLOCK_ROWS = 256
@@ -282,6 +282,7 @@ def minhash_near_duplicates(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return minhash_near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, bands=40)
 
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinmill.runtime import table
+from skeinmill.runtime import table, text_batches
 
 #: How byte-level BPE cuts a text into pre-tokens; fixed value of the public vocabulary.
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,7 +45,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,10 +54,14 @@ class Encoder:
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self._special}
         self._engine = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
-        self._tokenizer = Tokenizer.from_file(path)
+        self._path, self._tokenizer = path, None
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self._special):
+            if self._tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self._tokenizer = Tokenizer.from_file(self._path)
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self._engine.encode_to_numpy(text, disallowed_special=())
 
@@ -215,6 +218,7 @@ def default_tokenizer() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), emit_ids=False)
 
 

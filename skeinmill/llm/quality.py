@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.llm.shingles import text_runs, word_hashes
 from skeinmill.llm.url_reputation import _strength
-from skeinmill.runtime import bounded_sample, settle, table
+from skeinmill.runtime import bounded_sample, settle, table, text_batches
 
 FEATURES = ("log_bytes", "letters", "upper", "digits", "marks", "bars", "newlines", "spaces", "word_length", "distinct_words", "repeats", "top_word", "distinct_sqrt")
 _CLASS = np.zeros((256, 6), dtype=np.float32)
@@ -119,6 +119,7 @@ def classify_quality(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the sources; a path is a source's documents in one language."""
+    text_batches(spark)
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return classify_quality(table(spark, sf_dir, "documents"), labels, F.col("source"), path)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _U = np.uint64
@@ -49,9 +49,9 @@ _CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, (n + 1).bit_length())
+    size = 1 << max(19, n.bit_length())
     if size not in _CACHE:
-        if size > 1 << 21:
+        if size > 1 << 19:
             return _powers(_P, size), _powers(_P_INV, size)
         _CACHE[size] = _powers(_P, size), _powers(_P_INV, size)
     return _CACHE[size]
