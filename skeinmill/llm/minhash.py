@@ -247,9 +247,9 @@ def minhash_near_duplicates(
     member = real.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1", "d2", "n_shingles")
     member = settle(member, "minhash-members")
     leaders = member.where(F.col("doc_id") == F.col("rep")).select("doc_id", "d1", "d2").distinct()
-    slots = real.join(leaders, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key")).distinct()
+    slots = real.join(leaders, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     crowded = slots.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key")
-    active = settle(slots.join(crowded, ["band", "key"]).select("band", "key", "doc_id", "n_shingles"), "minhash-buckets")
+    active = settle(slots.join(crowded, ["band", "key"]).select("band", "key", "doc_id", "n_shingles").distinct(), "minhash-buckets")
 
     links = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts = source.join(active.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
