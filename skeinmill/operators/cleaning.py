@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinmill.functions.toc import remove_toc
 from skeinmill.runtime import table
 
 # The line patterns of the cleaning rules.
@@ -154,7 +155,10 @@ def remove_boilerplate_tail(text: Column, tail: int = 5) -> Column:
 def clean_markdown(docs: DataFrame) -> DataFrame:
     """All rules in their fixed order on (doc_id, text); counts of what fired are null otherwise."""
     df = remove_headers(docs.select("doc_id", "text"))
-    for name in ("page_number", "closing", "short_noise", "decoration", "empty_block"):
+    for name in ("page_number", "toc", "closing", "short_noise", "decoration", "empty_block"):
+        if name == "toc":
+            df = df.withColumn("cut", remove_toc(F.col("text"))).withColumn("text", F.col("cut.text")).withColumn("toc", F.when(F.size("cut.toc") > 0, F.col("cut.toc"))).drop("cut")
+            continue
         text, removed = drop_lines(F.col("text"), RULES[name])
         df = df.withColumn(f"removed_{name}", removed).withColumn("text", text)
     unique = remove_duplicate_paragraphs(df.select("doc_id", "text"))

@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from skeinmill.operators import business, cleaning, ingest, retrieval, sessions
+from skeinmill.functions import toc
+from skeinmill.operators import answers, business, cleaning, ingest, neardup, retrieval, sessions
 from skeinmill.operators.graph import connected_components
 
 
@@ -72,10 +74,66 @@ def test_document_types(spark):
     assert all(r.got == r.want for r in got)
 
 
-def test_similar_pairs_are_exact(spark):
+def test_similar_links_connect_like_brute_force(spark):
+    draws = random.Random(5)
     base = [f"w{i}" for i in range(60)]
-    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:55], "a", "b"])), (3, "other words here"), (4, None)], "doc_id long, text string")
-    assert [(r.a, r.b) for r in ingest.similar_pairs(docs).collect()] == [(2, 1)]
+    texts = [" ".join(base), " ".join(base), None, "", "one"]
+    for _ in range(120):
+        words = list(base) if draws.random() < 0.7 else [f"v{draws.randrange(40)}" for _ in range(40)]
+        for _ in range(draws.randrange(14)):
+            words[draws.randrange(len(words))] = f"x{draws.randrange(1000)}"
+        texts.append(" ".join(words))
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(None, texts[0])]
+    sets = {i: {*zip(w, w[1:], strict=False)} for i, t in rows if i and len(w := (t or "").split()) > 1}
+    near = lambda a, b: len(a & b) >= 0.6 * len(a | b)
+    want = {i: i for i in sets}
+    for _ in sets:
+        want = {i: min(want[j] for j in sets if near(sets[i], sets[j])) for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = neardup.similar_links(docs).collect()
+    assert all(near(sets[r.a], sets[r.b]) for r in links)
+    got = {r.node: r.component for r in connected_components(neardup.similar_links(docs), "a", "b").collect()}
+    assert {i: got.get(i, i) for i in sets} == want
+    assert neardup.similar_links(docs.limit(0)).count() == 0
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """One bucket whose centre resembles nobody: the pairs in it are found block against block."""
+    rows = [(0, [1, 2, 3])] + [(i, [i // 2 * 10, i // 2 * 10 + 1, 5]) for i in range(2, 202)]
+    feats = spark.createDataFrame(rows, "doc_id long, f array<long>")
+    apart = feats.select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), "doc_id", F.col("doc_id").alias("component"), F.lit(201).cast("long").alias("members"))
+    got = {(r.a, r.b) for r in neardup._block_links(apart, feats, 0.6).collect()}
+    assert got == {(i + 1, i) for i in range(2, 202, 2)}
+
+
+def test_toc_blocks(spark):
+    df = spark.createDataFrame(answers.TOC_DOCS + [("null", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.c.text, r.c.toc) if r.c else (None, None) for r in df.select("doc_id", toc.remove_toc(F.col("text")).alias("c")).collect()}
+    assert got["list"] == ("# T\n<!-- page: 2 -->\nbody\n- x", ["## Contents", "- a", "- b", "1. c"])
+    assert got["short"][0] == "## 目录\n- a\n- b\nbody" and got["twice"][0] == "# Agenda"
+    assert got["dots"] == ("intro\n\n\nFour .... 4\nend", ["One .... 1", "Two ..... 2", "Three ……… 13"])
+    assert got["two"][1] == [] and got["bar"][1] == [] and got["empty"] == ("", []) and got["null"][0] is None
+
+
+def test_payload_upsert_and_deletion(spark):
+    chunks = spark.createDataFrame([("d", 0, "a", ["A", "", "B"]), ("d", 1, None, None), ("e", 0, "c", [])], "doc_uuid string, chunk_index int, text string, breadcrumb array<string>")
+    points = answers.payload(chunks)
+    got = {(r.doc_uuid, r.chunk_index): r for r in points.collect()}
+    assert got["d", 0].breadcrumb == "A > B" and got["d", 0].title == "B" and got["d", 1].content == "" and got["e", 0].title == ""
+    assert got["d", 0].id == str(uuid.uuid5(uuid.UUID(ingest.NAMESPACE), "d_0"))
+    fresh = answers.upsert(points, answers.payload(spark.createDataFrame([("d", 0, "new", []), ("f", 0, "f", [])], chunks.schema)))
+    assert {(r.doc_uuid, r.chunk_index): r.content for r in fresh.collect()} == {("d", 0): "new", ("d", 1): "", ("e", 0): "c", ("f", 0): "f"}
+    doomed = spark.createDataFrame([("d",), ("d",)], "doc_uuid string")
+    assert [r.doc_uuid for r in answers.soft_delete(fresh, doomed).where("is_deleted").collect()] == ["d", "d"]
+    assert answers.hard_delete(fresh, doomed).count() == 2
+
+
+def test_throttle_and_stage(spark):
+    rows = [(1, i, float(t), n, f) for i, (t, n, f) in enumerate([(0, 1, False), (1, 5, False), (2, 50, False), (2.5, 99, False), (2.6, 99, True), (9, 100, False)])] + [(2, 0, 0.0, 0, False)]
+    got = answers.throttle(spark.createDataFrame(rows, "stream long, seq long, t double, chars long, force boolean"), 20, 1.0).orderBy("stream", "seq").collect()
+    assert [r.flush for r in got] == [True, False, True, False, True, False, True]
+    case = spark.createDataFrame([(False, 0, None, ""), (True, 0, None, "x"), (True, 2, 0.5, " "), (True, 2, 0.7, " "), (True, 2, 0.5, "x"), (True, 1, 0.1, "[NO_ANSWER]")], "s boolean, n int, t double, a string")
+    assert [r[0] for r in case.select(answers.answer_stage(F.col("s"), F.col("n"), F.col("t"), F.col("a"))).collect()] == ["direct", "refuse", "refuse", "answer", "answer", "refuse"]
 
 
 def test_clean_pipeline_order(spark):
