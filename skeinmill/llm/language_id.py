@@ -200,17 +200,25 @@ def fit_language_model(
     """Train on at most ``per_language`` texts of each language; None if no row has a text and a language.
 
     The sample is the rows with the smallest hashes of their ids, so it does not
-    depend on the order or the place of rows. The number of languages is taken
-    to be bounded (a label set).
+    depend on the order or the place of rows; rows that share an id give one
+    text. A threshold on the hash, which twice as many ids are expected to pass,
+    goes first, so that no task ranks all ids of a language. The number of
+    languages is taken to be bounded (a label set).
     """
     own = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = own.select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang")
-    languages = sorted(r.lang for r in picked.select("lang").distinct().collect())
-    if not languages:
+    h = F.xxhash64("id")
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language
+    if not sizes:
         return None
+    highest = {r.lang: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 2 * per_language / max(1, r.n)))) for r in sizes}
+    limit = F.create_map(*[F.lit(x) for pair in highest.items() for x in pair])[F.col("lang")]
+    order = W.partitionBy("lang").orderBy(h, "id")
+    passing = own.where(h <= limit).select("id", "lang").distinct()
+    picked = passing.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang")
+    languages = sorted(highest)
     index = {name: i for i, name in enumerate(languages)}
-    sample = own.join(F.broadcast(picked), ["id", "lang"]).select("text", "lang").mapInArrow(_cutter(window, windows_per_text, index), "w binary, y int")
+    texts = own.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = texts.select("text", "lang").mapInArrow(_cutter(window, windows_per_text, index), "w binary, y int")
     rows = sorted((r.y, bytes(r.w)) for r in sample.collect())
     if not rows:
         return None
