@@ -243,7 +243,7 @@ def minhash_near_duplicates(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = settle(source.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash-sketch")
     real = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = settle(real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-classes")  # so that the join can split a class with many copies
     member = real.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1", "d2", "n_shingles")
     member = settle(member, "minhash-members")
     leaders = member.where(F.col("doc_id") == F.col("rep")).select("doc_id", "d1", "d2").distinct()
