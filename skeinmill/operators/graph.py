@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     while not _is_star_forest(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "components-low")  # as a table, so that the join can split a hub
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -47,6 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         following = settle(small, "components")
         discard(current)
+        discard(low)
         current = following
     roots = current.select("v").distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
