@@ -5,9 +5,14 @@ Each source's documents, in a hashed order, are cut into blocks of
 of a source (from 0) is released at floor(i * H / w) and due at
 ceil((i + 1) * H / w); every slot takes the released block with the earliest
 deadline. On one processor that meets every deadline, so after any number of
-slots each source is less than one block away from its weight. The schedule
-repeats after H slots: it is worked out once for one period, and a block's slot
-follows from its number.
+slots each source is less than one block away from its weight. The shares are
+the target weights in lowest terms, not rounded to a period. The schedule
+repeats after H slots: it is worked out once for one period, or as far into it
+as the blocks at hand reach, and a block's slot follows from its number.
+
+``rounded`` shares are those the registered query's SQL states: a slot for
+every source first, the rest by weight, in a period of given length. There the
+bound holds against these shares, not against the target weights.
 
 A source that runs out leaves its slots empty: the others go on in proportion.
 Nothing is dropped or repeated.
@@ -30,14 +35,19 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def pfair_plan(supply: DataFrame, weights: dict[str, int] | None, default_weight: int = 1, period: int = 1024) -> DataFrame:
+def pfair_plan(
+    supply: DataFrame, weights: dict[str, int] | None, default_weight: int = 1, period: int = 1024, rounded: bool = False, block_chars: int | None = None
+) -> DataFrame:
     """The schedule of one period: source_key, share, period, turn (from 0), slot; H rows.
 
     ``supply`` has source_key and size. Without ``weights`` a source's target is
     the whole square root of its size (flattening large sources); with them,
-    sources not named get ``default_weight``. The period is ``period`` or 16
-    slots a source, whichever is more, and every source has one slot at least.
-    The number of sources is taken to be bounded, as a mixture's is.
+    sources not named get ``default_weight``. Shares are the targets over their
+    greatest common divisor and the period is their sum. With ``block_chars``
+    only the turns of blocks that the sizes hold are there. With ``rounded`` the
+    period is ``period`` or 16 slots a source, whichever is more, and every
+    source has one slot before the rest is dealt out by weight. The number of
+    sources is taken to be bounded, as a mixture's is.
     """
     if weights is None:
         target = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("size"))).cast("long"))
@@ -46,27 +56,39 @@ def pfair_plan(supply: DataFrame, weights: dict[str, int] | None, default_weight
         target = F.greatest(F.lit(1), F.coalesce(named[F.col("source_key")], F.lit(int(default_weight)).cast("long")))
     else:
         target = F.lit(1).cast("long")
-    rows = supply.select(F.struct("source_key", target.alias("t")).alias("s")).agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 0)
-    rows = rows.select("s", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["t"]).alias("total"))
-    rows = rows.select("*", F.greatest(F.lit(period).cast("long"), 16 * F.col("n")).alias("H"))
-    part = F.expr("transform(s, (x, i) -> struct(x.t * (H - n) % total AS rest, -i AS back, i AS i, 1 + x.t * (H - n) div total AS share))")
-    rows = rows.select("s", "H", F.sort_array(part, asc=False).alias("p"))
-    rows = rows.select("s", "H", F.expr("H - aggregate(p, 0L, (a, x) -> a + x.share)").alias("left"), "p")
-    rows = rows.select("s", "H", F.expr("transform(array_sort(transform(p, (x, k) -> struct(x.i AS i, x.share + if(k < left, 1, 0) AS w))), x -> x.w)").alias("w"))
+    rows = supply.select(F.struct("source_key", target.alias("t"), F.col("size").cast("long").alias("size")).alias("s")).agg(F.sort_array(F.collect_list("s")).alias("s")).where(F.size("s") > 0)
+    if rounded:
+        rows = rows.select("s", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["t"]).alias("total"))
+        rows = rows.select("*", F.greatest(F.lit(period).cast("long"), 16 * F.col("n")).alias("H"))
+        part = F.expr("transform(s, (x, i) -> struct(x.t * (H - n) % total AS rest, -i AS back, i AS i, 1 + x.t * (H - n) div total AS share))")
+        rows = rows.select("s", "H", F.sort_array(part, asc=False).alias("p"))
+        rows = rows.select("s", "H", F.expr("H - aggregate(p, 0L, (a, x) -> a + x.share)").alias("left"), "p")
+        rows = rows.select("s", "H", F.expr("transform(array_sort(transform(p, (x, k) -> struct(x.i AS i, x.share + if(k < left, 1, 0) AS w))), x -> x.w)").alias("w"))
+    else:
+        euclid = "aggregate(sequence(1, 92), struct(g AS a, x.t AS b), (e, k) -> if(e.b = 0, e, struct(e.b AS a, e.a % e.b AS b)), e -> e.a)"
+        rows = rows.select("s", F.expr(f"aggregate(s, 0L, (g, x) -> {euclid})").alias("g")).select("s", F.expr("transform(s, x -> x.t div g)").alias("w"))
+        rows = rows.select("s", F.expr("aggregate(w, 0L, (a, x) -> a + x)").alias("H"), "w")
+    blocks = f"least(x.size div {int(block_chars)} + 1, w[i])" if block_chars else "w[i]"
+    rows = rows.select("*", F.expr(f"transform(s, (x, i) -> {blocks})").alias("b"))
+    rows = rows.select("*", F.expr("array_max(transform(b, (x, i) -> (x * H + w[i] - 1) div w[i]))").alias("Z"))  # every block wanted is due by then
     rows = settle(rows, "mix-shares")  # else the optimizer would work the shares out anew for every slot
     pick = """array_min(transform(st.c, (c, i) -> if(c < w[i] AND c * H div w[i] <= t,
         struct(((c + 1) * H + w[i] - 1) div w[i] AS due, i AS i), null))).i"""
+    some = f"""aggregate(sequence(k * 1024, least(Z, (k + 1) * 1024) - 1), struct(o.c AS c, cast(array() AS array<int>) AS got),
+            (st, t) -> transform(array({pick}), k -> struct(transform(st.c, (c, i) -> if(i = k, c + 1, c)) AS c, array_append(st.got, k) AS got))[0])"""
     rows = rows.select(
-        "s", "H", "w",
-        F.expr(f"""aggregate(sequence(0L, H - 1), struct(transform(w, x -> 0L) AS c, cast(array() AS array<int>) AS got),
-            (st, t) -> transform(array({pick}), k -> struct(transform(st.c, (c, i) -> if(i = k, c + 1, c)) AS c, array_append(st.got, k) AS got))[0],
-            st -> st.got)""").alias("got"),
+        "s", "H", "w", "b",
+        F.expr(f"""aggregate(sequence(0L, (Z - 1) div 1024), struct(transform(w, x -> 0L) AS c, cast(array() AS array<array<int>>) AS got),
+            (o, k) -> transform(array({some}), q -> struct(q.c AS c, array_append(o.got, q.got) AS got))[0],
+            o -> flatten(o.got))""").alias("got"),
     )
-    slots = rows.select("s", "w", "H", F.posexplode("got").alias("slot", "i"))
-    turn = F.row_number().over(W.partitionBy("i").orderBy("slot")) - 1
-    return slots.select(
-        F.expr("s[i].source_key").alias("source_key"), F.expr("w[i]").alias("share"), F.col("H").alias("period"), turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot")
+    slots = rows.select("s", "w", "H", "b", F.posexplode("got").alias("slot", "i"))
+    slots = slots.select(
+        "i", "slot", F.expr("s[i].source_key").alias("source_key"), F.expr("w[i]").alias("share"), F.col("H").alias("period"), F.expr("b[i]").alias("wanted")
     )
+    turn = F.row_number().over(W.partitionBy("i").orderBy("slot")) - 1
+    slots = slots.withColumn("turn", turn.cast("long")).where("turn < wanted")
+    return slots.select("source_key", "share", "period", "turn", F.col("slot").cast("long").alias("slot"))
 
 
 def mix_sources(
@@ -80,6 +102,7 @@ def mix_sources(
     source_col: str = "source",
     size_col: str | None = None,
     bucket_digits: int = 3,
+    rounded: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` once, as ``row`` (a struct of all its columns), with source_key, share, period, block,
     slot and start (characters of its source before it; ``size_col`` gives lengths that are known). Reading by slot, then start, is the mixture.
@@ -88,6 +111,7 @@ def mix_sources(
     takes up the turns of the blocks it covers. Null sources are one source of
     their own; null texts have no length; rows with equal ids and lengths tie and
     follow one another in any order. An empty table gives an empty result.
+    ``period`` counts for ``rounded`` shares only.
     """
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -99,16 +123,16 @@ def mix_sources(
     sums = settle(own.groupBy("source_key", "bucket").agg(F.sum("size").alias("size")), "mix-sums")
     before = F.coalesce(F.sum("size").over(W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("source_key", "bucket", before.alias("before"))
-    plan = settle(pfair_plan(sums.groupBy("source_key").agg(F.sum("size").alias("size")), weights, default_weight, period), "mix-plan")
+    plan = settle(pfair_plan(sums.groupBy("source_key").agg(F.sum("size").alias("size")), weights, default_weight, period, rounded, block_chars), "mix-plan")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("source_key", "bucket").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = (
         own.withColumn("inside", inside)
         .join(offsets, ["source_key", "bucket"])
         .withColumn("start", F.col("before") + F.col("inside"))
         .withColumn("block", F.expr(f"start div {int(block_chars)}"))
-        .join(plan.select("source_key", "share", "period").distinct(), "source_key")
+        .join(F.broadcast(plan.select("source_key", "share", "period").distinct()), "source_key")
         .withColumn("turn", F.col("block") % F.col("share"))
-        .join(plan.select("source_key", "turn", F.col("slot").alias("in_period")), ["source_key", "turn"])
+        .join(F.broadcast(plan.select("source_key", "turn", F.col("slot").alias("in_period"))), ["source_key", "turn"])  # at most a row a block
     )
     slot = F.expr("block div share * period + in_period")
     return placed.select("row", "source_key", "share", "period", "block", slot.alias("slot"), "start")
@@ -116,7 +140,7 @@ def mix_sources(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    mixed = mix_sources(docs, size_col="chars")
+    mixed = mix_sources(docs, size_col="chars", rounded=True)  # the shares of its SQL
     return mixed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "share", "period", "block", "slot", "start")
 
 

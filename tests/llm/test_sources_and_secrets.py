@@ -28,6 +28,26 @@ def test_every_source_stays_within_a_block_of_its_weight(spark):
         assert r.slot // r.period == r.block // r.share
 
 
+def test_the_schedule_holds_the_stated_weights(spark):
+    hot = {"hot": 100} | {f"s{i:03}": 1 for i in range(200)}
+    for weights in ({"a": 70, "b": 7, "c": 21, "d": 2}, hot, {"a": 5000, "b": 50}, {"a": 3000, "b": 1}):
+        supply = spark.createDataFrame([(f"={k}", 10) for k in weights], "source_key string, size long")
+        plan = mixing.pfair_plan(supply, weights, period=100).collect()
+        total, period, done = sum(weights.values()), plan[0].period, dict.fromkeys(weights, 0)
+        assert sorted(r.slot for r in plan) == list(range(period))
+        for t, r in enumerate(sorted(plan, key=lambda r: r.slot), 1):
+            done[r.source_key[1:]] += 1
+            assert all(abs(done[k] * total - w * t) < total for k, w in weights.items())
+        assert all(done[k] * total == w * period for k, w in weights.items())  # so no repeat adds to the deviation
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x" * 10) for i in range(400)], "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs, {"a": 100_000, "b": 70_000}, block_chars=10).select("source_key", "slot").collect()
+    assert len({r.slot for r in got}) == 400
+    for t in (10, 100, 300):
+        assert all(abs(sum(r.slot < t for r in got if r.source_key == k) - w * t / 17) < 1 for k, w in (("=a", 10), ("=b", 7)))
+    sizes = mixing.mix_sources(docs, block_chars=10)  # 2000 characters each: equal targets
+    assert {(r.share, r.period) for r in sizes.select("share", "period").collect()} == {(1, 2)}
+
+
 def test_mixing_keeps_every_row_once(odd_docs, no_docs):
     got = mixing.mix_sources(odd_docs)
     assert sorted(map(repr, got.select("row.*").collect())) == sorted(map(repr, odd_docs.collect()))
