@@ -13,7 +13,10 @@ holds ``step_tokens / tier`` windows and so does that of every other, which
 keeps the work of each training step the same.
 
 Packing is local to a partition and reads each document once, without a
-shuffle. The rests that wait are bounded by ``pool`` documents.
+shuffle. The rests that wait are bounded by ``pool`` documents. With
+``max_wait`` a rest that has waited while so many further ones came opens the
+next window, whatever its length, so sequences follow the order of the
+documents to within that many.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import bisect
 import functools
 import json
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +76,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens: int, pool: int, emit_ids: bool):
+def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens: int, pool: int, emit_ids: bool, max_wait: int | None = None):
     longest = tiers[0]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +89,8 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
         # tier -> waiting rests as (length, arrival, doc, start, ids, doc_tokens), by length
         waiting: dict[int, list[tuple]] = {t: [] for t in tiers}
         held, arrival = 0, 0
+        came: deque[int] = deque()  # arrivals, oldest first; those of ``lengths`` still wait
+        lengths: dict[int, int] = {}
         rows: list[tuple] = []
 
         def emit(pieces: list[tuple], tier: int) -> None:
@@ -99,36 +105,44 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
         def tier_of(n: int) -> int:
             return next(t for t in reversed(tiers) if n <= t)
 
-        def wait(doc, start, ids, total) -> None:
+        def wait(doc, start, ids, total, since: int | None = None) -> None:
             nonlocal held, arrival
-            bisect.insort(waiting[tier_of(len(ids))], (len(ids), arrival, doc, start, ids, total), key=lambda x: x[:2])
-            held, arrival = held + 1, arrival + 1
+            if since is None or max_wait is None:
+                since, arrival = arrival, arrival + 1
+                if max_wait is not None:
+                    came.append(since)
+            bisect.insort(waiting[tier_of(len(ids))], (len(ids), since, doc, start, ids, total), key=lambda x: x[:2])
+            lengths[since] = len(ids)
+            held += 1
+
+        def take(tier: int, at: int) -> tuple:
+            nonlocal held
+            held -= 1
+            rest = waiting[tier].pop(at)
+            del lengths[rest[1]]
+            return rest
 
         def pop(limit: int) -> tuple | None:
             """The longest waiting rest of at most ``limit`` tokens."""
-            nonlocal held
             for t in tiers:
                 if waiting[t] and waiting[t][0][0] <= limit:
                     at = bisect.bisect_right(waiting[t], limit, key=lambda x: x[0]) - 1
-                    held -= 1
-                    return waiting[t].pop(at)[2:]
+                    return take(t, at)[2:]
             return None
 
         def cut(gap: int) -> tuple | None:
             """The first ``gap`` tokens of the shortest waiting rest that is longer; what remains waits on."""
-            nonlocal held
             for t in reversed(tiers):
                 if waiting[t] and waiting[t][-1][0] > gap:
                     at = bisect.bisect_right(waiting[t], gap, key=lambda x: x[0])
-                    held -= 1
-                    doc, start, ids, total = waiting[t].pop(at)[2:]
-                    wait(doc, start + gap, ids[gap:], total)
+                    since, doc, start, ids, total = take(t, at)[1:]
+                    wait(doc, start + gap, ids[gap:], total, since)
                     return doc, start, ids[:gap], total
             return None
 
-        def fill(tier: int) -> None:
+        def fill(tier: int, first: tuple | None = None) -> None:
             """One full window of ``tier``, or all that waits if that is less."""
-            pieces, gap = [], tier
+            pieces, gap = ([first], tier - len(first[2])) if first else ([], tier)
             while gap:
                 piece = pop(gap) or cut(gap)
                 if piece is None:
@@ -140,6 +154,19 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
         def tokens_waiting() -> int:
             return sum(x[0] for t in tiers for x in waiting[t])
 
+        def overdue() -> None:
+            """Windows that open with the rests that have waited for more than ``max_wait`` others, oldest first."""
+            while came and came[0] < arrival - max_wait:
+                since = came[0]
+                if since in lengths:
+                    n = lengths[since]
+                    tier = tier_of(n)
+                    if tokens_waiting() < tier:
+                        break
+                    at = bisect.bisect_left(waiting[tier], (n, since), key=lambda x: x[:2])
+                    fill(tier, take(tier, at)[2:])
+                came.popleft()
+
         def drain(to: int) -> None:
             while held > to:
                 tier = next((t for t in tiers if waiting[t]), None)
@@ -179,6 +206,8 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
                     emit([(doc, start, ids[start : start + longest], len(ids))], longest)
                 if whole < len(ids):
                     wait(doc, whole, ids[whole:], len(ids))
+                if max_wait is not None:
+                    overdue()
                 if held > pool:
                     drain(pool // 2)
                 if len(rows) >= 1024:
@@ -191,7 +220,7 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (1024, 512, 256), eod: int = 0, step_tokens: int = 65_536, pool: int = 4096, emit_ids: bool = True
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (1024, 512, 256), eod: int = 0, step_tokens: int = 65_536, pool: int = 4096, emit_ids: bool = True, max_wait: int | None = None
 ) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier,
     step_group and, with ``emit_ids``, the piece's ids.
@@ -207,7 +236,7 @@ def pack_documents(
     if list(tiers) != sorted(set(tiers), reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be falling powers of two")
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-    pack = _packer(tokenizer_path, tuple(tiers), eod, step_tokens, pool, emit_ids)
+    pack = _packer(tokenizer_path, tuple(tiers), eod, step_tokens, pool, emit_ids, max_wait)
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(pack, fields + (", ids array<int>" if emit_ids else ""))
 
 

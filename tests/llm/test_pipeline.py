@@ -1,5 +1,5 @@
 import corpus_pipeline
-from skeinmill.llm import registry
+from skeinmill.llm import mixing, registry
 
 
 def test_stages_keep_columns_and_clean_documents(spark, odd_docs):
@@ -26,3 +26,19 @@ def test_stages_of_an_empty_table(spark, no_docs):
 def test_names():
     assert sorted(registry.queries()) == sorted([*registry._MODULES, "pipeline"])
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_packed_sequences_follow_the_slots_of_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, f"word{i} " * (5 if i % 4 else 300), "aa", f"s{i % 4}", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix(spark, docs, "").repartition(13).write.parquet(f"{tmp_path}/mixed")
+    table = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in mixing.mix_sources(table).orderBy("slot", "start").select("row.doc_id").collect()]
+    rank = {doc: i for i, doc in enumerate(order)}
+    packed = corpus_pipeline.pack(spark, table, "").select("doc_id", "start", "length", "doc_tokens", "sequence_id").collect()
+    tokens = {r.doc_id: r.doc_tokens for r in packed}
+    assert len(tokens) == 4000 and sum(r.length for r in packed) == sum(tokens.values())
+    highest = 0
+    for r in sorted(packed, key=lambda r: r.sequence_id):
+        assert rank[r.doc_id] > highest - 2 * corpus_pipeline.LONGEST_WAIT
+        highest = max(highest, rank[r.doc_id])
