@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from skeinmill.llm import mixing, registry
 
@@ -42,3 +44,20 @@ def test_packed_sequences_follow_the_slots_of_a_table_of_many_files(spark, tmp_p
     for r in sorted(packed, key=lambda r: r.sequence_id):
         assert rank[r.doc_id] > highest - 2 * corpus_pipeline.LONGEST_WAIT
         highest = max(highest, rank[r.doc_id])
+
+
+def test_language_threshold_follows_held_out_scores(spark):
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcde", "bb": "vwxyz"}
+    rows = [(i, " ".join("".join(rng.choice(list(letters[k]), 5)) for _ in range(30)), k, "s", 0) for i, k in enumerate(["aa", "bb"] * 500)]
+    rows += [(5000 + i, "av wb xc dy ez " * 20, None, "s", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = corpus_pipeline.fit_language_model(docs)
+    assert 0.5 < corpus_pipeline.least_language_score(docs, model) < 1  # two languages: no best score is below 0.5
+    assert corpus_pipeline.identify_language(spark, docs, "").where("lang IS NOT NULL").count() == 1000
+
+
+def test_documents_stay_without_a_labelled_text(spark):
+    rows = [(1, "one two", None, "s", 7), (2, "\u00e9", None, "s", 1), (3, "12 !", None, "s", 4), (4, None, None, "s", 0), (5, None, "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 2]
