@@ -8,9 +8,10 @@ closed by cutting the next one. So windows of every tier are exactly full, a
 partition leaves at most its last few tokens in windows of smaller powers of
 two, and a document is cut only where a window ends.
 
-Windows of one tier get step groups of equal tokens: a step of the longest tier
-holds ``step_tokens / tier`` windows and so does that of every other, which
-keeps the work of each training step the same.
+Step groups hold ``step_tokens`` tokens each, which keeps the work of each
+training step the same: windows of one size are numbered over all partitions and
+dealt to groups in that order, and what each size leaves over is merged, larger
+windows first, so that only the very last group of a run can be short.
 
 Packing is local to a partition and reads each document once, without a
 shuffle. The rests that wait are bounded by ``pool`` documents. With
@@ -24,50 +25,97 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from skeinmill.runtime import table, text_batches
+from skeinmill.runtime import settle, table, text_batches
 
-#: How byte-level BPE cuts a text into pre-tokens; fixed value of the public vocabulary.
+_PART_BITS = 36
+
+#: How byte-level BPE cuts a text into pre-tokens, and what its ``\s`` is; fixed values of the public vocabulary and of Unicode.
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: White space of so many characters is a pre-token cut by hand: the pattern engine would need as much stack.
+LONG_RUN = 50_000
+_RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of the vocabulary's strings stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def _is_plain_byte_bpe(spec: dict) -> bool:
+    """Whether the file cuts by ``PRETOKEN`` alone and merges by the order of its ids."""
+    model, cut, own = spec["model"], spec["pre_tokenizer"] or {}, {x["content"] for x in spec["added_tokens"]}
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    flags = any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if spec["normalizer"] or model["type"] != "BPE" or odd or flags or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return False
+    by_id = [t for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1]) if t not in own]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    return by_id[len(by_id) - len(merged) :] == merged and len(by_id) - len(merged) == 256
 
 
 class Encoder:
     """Ids of texts, as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them.
 
-    The vocabulary in the tokenizer's file is handed to the faster engine of
-    tiktoken, which cuts and merges alike (the tests compare both). A text that
-    holds a special token's string goes to the tokenizer itself, which cuts
-    there first.
+    A byte-level BPE file of the plain kind is handed to the faster engine of
+    tiktoken, which cuts and merges alike (the tests compare both). Special
+    tokens' strings cut a text first. White space of ``LONG_RUN`` characters or
+    more, for which the engine's pattern runs out of stack, is cut out here: all
+    of the run is one pre-token, but for its last character if a text goes on
+    behind it, and is merged without the pattern. Any other file is left to the
+    tokenizers library, text by text.
     """
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._special = [x["content"] for x in spec["added_tokens"]]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in plain]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        self._tokenizer = self._engine = None
+        if not _is_plain_byte_bpe(spec):
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(path)
+            return
+        import tiktoken
+
+        self._special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self._special}
         self._engine = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
-        self._path, self._tokenizer = path, None
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")")
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(s in text for s in self._special):
-            if self._tokenizer is None:
-                from tokenizers import Tokenizer
-
-                self._tokenizer = Tokenizer.from_file(self._path)
+        if self._tokenizer is not None:
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self._engine.encode_to_numpy(text, disallowed_special=())
+        if not any(s in text for s in self._special):
+            return self._plain(text)
+        parts = [np.array([self._special[x]], np.uint32) if i % 2 else self._plain(x) for i, x in enumerate(self._cut.split(text))]
+        return np.concatenate(parts)
+
+    def _plain(self, text: str) -> np.ndarray:
+        run = _RUN.search(text) if len(text) >= LONG_RUN else None
+        if run is None:
+            return self._engine.encode_to_numpy(text, disallowed_special=())
+        parts, at = [], 0
+        while run is not None:
+            end = run.end() - (run.end() < len(text))
+            parts.append(self._engine.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+            parts.append(np.array(self._engine._encode_single_piece(text[run.start() : end]), dtype=np.uint32))
+            at, run = end, _RUN.search(text, end + 1)
+        return np.concatenate([*parts, self._engine.encode_to_numpy(text[at:], disallowed_special=())])
 
 
 @functools.lru_cache(maxsize=1)
@@ -76,16 +124,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens: int, pool: int, emit_ids: bool, max_wait: int | None = None):
+def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, pool: int, emit_ids: bool, max_wait: int | None = None):
     longest = tiers[0]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = encoder(tokenizer_path)
-        base = TaskContext.get().partitionId() << 36
+        base = TaskContext.get().partitionId() << _PART_BITS
         count = 0
-        windows = dict.fromkeys(tiers, 0)
+        windows: Counter[int] = Counter()  # of each size
         # tier -> waiting rests as (length, arrival, doc, start, ids, doc_tokens), by length
         waiting: dict[int, list[tuple]] = {t: [] for t in tiers}
         held, arrival = 0, 0
@@ -95,11 +143,11 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
 
         def emit(pieces: list[tuple], tier: int) -> None:
             nonlocal count
-            offset, step = 0, base + windows[tier] * tier // step_tokens
-            windows[tier] += 1
+            offset, size = 0, sum(len(ids) for _, _, ids, _ in pieces)
             for doc, start, ids, total in pieces:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + count, offset, tier, step, ids))
+                rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + count, offset, tier, size, windows[size], ids))
                 offset += len(ids)
+            windows[size] += 1
             count += 1
 
         def tier_of(n: int) -> int:
@@ -191,7 +239,7 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
             *cols, ids = zip(*rows, strict=True)
             rows.clear()
             arrays = [pa.array(c, pa.int64()) for c in cols]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "size", "nth"]
             if emit_ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
@@ -219,25 +267,56 @@ def _packer(tokenizer_path: str, tiers: tuple[int, ...], eod: int, step_tokens:
     return pack
 
 
+def with_step_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """``pieces`` with step_group, from the sizes of their windows and the windows' numbers in their partitions.
+
+    The driver sees one row a size; sizes are powers of two.
+    """
+    part = F.shiftright("sequence_id", _PART_BITS)
+    counts = pieces.groupBy(part.alias("part"), "size").agg((F.max("nth") + 1).alias("n"))
+    totals = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("size")).collect()}
+    whole, spare, groups, left = {}, {}, 0, 0
+    for size, n in totals.items():
+        whole[size], spare[size] = groups, left
+        groups += n // (step_tokens // size)
+        left += n % (step_tokens // size) * size
+    value = lambda found: F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("size")] if found else F.lit(0)
+    before = W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    window, a_group = F.col("before") + F.col("nth"), F.expr(f"{step_tokens} div size")
+    in_whole = F.expr("div(n_all, a_group)") * F.col("a_group")
+    numbered = pieces.withColumn("part", part).join(starts, ["part", "size"]).select("*", window.alias("window"), a_group.alias("a_group"), value(totals).alias("n_all"))
+    group = F.when(F.col("window") < in_whole, value(whole) + F.expr("div(window, a_group)")).otherwise(
+        groups + F.floor((value(spare) + (F.col("window") - in_whole) * F.col("size")) / step_tokens)
+    )
+    return numbered.select(*[c for c in pieces.columns if c not in ("size", "nth")], group.cast("long").alias("step_group"))
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (1024, 512, 256), eod: int = 0, step_tokens: int = 65_536, pool: int = 4096, emit_ids: bool = True, max_wait: int | None = None
 ) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier,
-    step_group and, with ``emit_ids``, the piece's ids.
-
-    ``tiers`` are powers of two, longest first. Every token lies in exactly one
-    piece; the pieces of a sequence are gapless from offset 0. A sequence is as
-    long as its tier or, at a partition's end, a smaller power of two, so none
-    needs padding. Null and empty texts are documents of the one token ``eod``;
-    null and repeated ids are kept as they are, each row a document of its own.
-    An empty table gives an empty result; other columns are ignored.
-    ``sequence_id`` and ``step_group`` are unique to a run's partitioning.
+    with ``emit_ids`` the piece's ids, and step_group.
+
+    ``tiers`` are powers of two, longest first, and ``step_tokens`` is a power of
+    two of at least the longest. Every token lies in exactly one piece; the
+    pieces of a sequence are gapless from offset 0. A sequence is as long as its
+    tier or, at a partition's end, a smaller power of two, so none needs padding.
+    Every step group but the last holds exactly ``step_tokens`` tokens; groups of
+    one size come first. Null and empty texts are documents of the one token
+    ``eod``; null and repeated ids are kept as they are, each row a document of
+    its own. Texts of any length and runs of white space of any length are
+    packed whole. An empty table gives an empty result; other columns are
+    ignored. ``sequence_id`` is unique to a run's partitioning.
     """
     if list(tiers) != sorted(set(tiers), reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be falling powers of two")
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-    pack = _packer(tokenizer_path, tuple(tiers), eod, step_tokens, pool, emit_ids, max_wait)
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(pack, fields + (", ids array<int>" if emit_ids else ""))
+    if step_tokens & (step_tokens - 1) or step_tokens < tiers[0]:
+        raise ValueError("step_tokens must be a power of two, at least the longest tier")
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, size long, nth long"
+    pack = _packer(tokenizer_path, tuple(tiers), eod, pool, emit_ids, max_wait)
+    own = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
+    return with_step_groups(settle(own.mapInArrow(pack, fields + (", ids array<int>" if emit_ids else "")), "packing-pieces"), step_tokens)
 
 
 def default_tokenizer() -> str:

@@ -91,6 +91,51 @@ def test_packing_round_trip(spark):
     assert len({r.sequence_id for r in got}) <= sum(map(len, tokens.values())) / 256 + 64
 
 
+def test_step_groups_are_equal(spark):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, "word " * int(rng.integers(0, 700))) for i in range(700)], "doc_id long, text string").repartition(6)
+    got = packing.pack_documents(docs, packing.default_tokenizer(), step_tokens=4096, emit_ids=False).collect()
+    groups, sizes = {}, {}
+    for r in got:
+        groups[r.step_group] = groups.get(r.step_group, 0) + r.length
+        sizes.setdefault(r.step_group, {}).setdefault(r.sequence_id, 0)
+        sizes[r.step_group][r.sequence_id] += r.length
+    assert sorted(groups) == list(range(len(groups))) and len(groups) > 20
+    assert {groups[g] for g in sorted(groups)[:-1]} == {4096} and groups[len(groups) - 1] <= 4096
+    assert sum(len(set(s.values())) > 1 for s in sizes.values()) <= 11
+    assert len({(r.sequence_id, r.step_group) for r in got}) == len({r.sequence_id for r in got})
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, packing.default_tokenizer(), step_tokens=1000)
+
+
+def test_long_white_space_has_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    n = 1_000_000
+    texts = [" " * n, "\n" * n, "\t" * n, "a" + " \n\t\r" * (n // 4) + "b", "x" * n, "\u3000" * 200_000 + "\u3000\x1c.", "\x1c" * 60_000 + "a"]
+    texts += [f"a{' ' * 60_000}b\n{chr(10) * 60_001}<|endoftext|>{chr(9) * 50_000}c {' ' * 49_999}d{' ' * 50_000}"]
+    texts += [f"\u00e9{kind * size}{after}" for kind in " \n\xa0\u2003" for size in (49_999, 50_000, 50_001) for after in ("", "a", " b", "1", "'s", ".")]
+    for t in texts:
+        assert tok.encode(t, add_special_tokens=False).ids == enc(t).tolist(), (t[:2], len(t), t[-2:])
+    docs = spark.createDataFrame([(0, " " * 5_000_000), (1, "\n" * n)], "doc_id long, text string")
+    got = packing.pack_documents(docs, path, emit_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {0: 5_000_001, 1: len(enc("\n" * n)) + 1}
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(packing.default_tokenizer()))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "prefixed.json")
+    json.dump(spec, open(path, "w"))
+    assert packing.Encoder(path)("hello  you").tolist() == Tokenizer.from_file(path).encode("hello  you", add_special_tokens=False).ids
+
+
 def test_packing_of_odd_rows(odd_docs, no_docs):
     got = packing.pack_documents(odd_docs, packing.default_tokenizer()).collect()
     assert sum(r.length for r in got if r.doc_id == 4) == 1
