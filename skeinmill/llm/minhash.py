@@ -1,8 +1,8 @@
 """MinHash near-duplicates by circulant permutations, banding and exact verification.
 
 Two permutations of the 32-bit universe do for the whole signature. The first
-scatters the shingles; the second, shifted circularly by k places, gives
-coordinate k. Coordinates are cut into bands; texts that agree on a band fall
+scatters the shingles; the second, shifted circularly by (k + 1) * ``_STRIDE``
+places, gives coordinate k (an odd stride, so all shifts differ). Coordinates are cut into bands; texts that agree on a band fall
 into one bucket, and every candidate link is confirmed on the full shingle sets.
 
 With the default 60 bands of 6 coordinates a pair at the default threshold of
@@ -18,10 +18,15 @@ How large groups stay cheap:
   components. Only components are returned, so members that share one need no
   more comparing, and a bucket that holds one component is done.
 * What is left in small buckets (at most ``SMALL``) goes as distinct pairs. What
-  is left in larger ones is packed in blocks of bounded size, and pairs of blocks
-  are compared whole: intersections of all their shingle sets come from matrix
+  is left in larger ones is packed in blocks of shingle hashes, blocks are
+  gathered in tiles of ``TILE_BYTES``, and a task that compares two tiles reads
+  each of them once: intersections of all their shingle sets come from matrix
   products, and only edges that connect components come back. No pair of
   different components is skipped and no row is made per pair.
+
+A text is known by its id and the first half of its digest, so an id with several
+texts has each of them sketched, compared and linked; components are over ids.
+Tables that nothing reads any more are deleted as the steps go on.
 """
 
 from __future__ import annotations
@@ -31,16 +36,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.llm.blocks import spanning_edges
 from skeinmill.llm.shingles import mix64, shingle_sets
 from skeinmill.operators.graph import connected_components
-from skeinmill.runtime import arrow_batch_rows, settle, table, text_batches
+from skeinmill.runtime import arrow_batch_rows, discard, settle, table, text_batches
 
 SMALL = 16
 BLOCK_ROWS = 256
 BLOCK_BYTES = 4 << 20
+TILE_BYTES = 16 << 20
+_STRIDE = 0x9E3779B1
 _M = np.uint32
 
 
@@ -53,7 +61,7 @@ def _scatter(x: np.ndarray) -> np.ndarray:
 
 def circulant_signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """Signatures (one row per set, none may be empty). Coordinate k is the minimum over the
-    set of the second permutation shifted circularly by k + 1 places."""
+    set of the second permutation shifted circularly by (k + 1) * ``_STRIDE`` places."""
     out = np.empty((coordinates, len(sets)), dtype=np.uint32)
     first = 0
     while first < len(sets):
@@ -65,7 +73,7 @@ def circulant_signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[first : end - 1]])]).astype(np.int64)
         x, y = np.empty_like(flat), np.empty_like(flat)
         for k in range(coordinates):
-            np.add(flat, _M((k + 1) * 0x9E3779B1 & 0xFFFFFFFF), out=x)
+            np.add(flat, _M((k + 1) * _STRIDE & 0xFFFFFFFF), out=x)
             np.right_shift(x, _M(16), out=y)
             np.bitwise_xor(x, y, out=x)
             np.multiply(x, _M(0x21F0AAAD), out=x)
@@ -105,6 +113,17 @@ def _sketcher(width: int, bands: int, rows: int):
     return sketch
 
 
+def _digester(width: int):
+    """Rows (doc_id, text) as (doc_id, t, text), t the first half of the set's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.array([_digest(s)[0] for _, sets in shingle_sets(batch.column(1), width) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), t, batch.column(1)], names=["doc_id", "t", "text"])
+
+    return run
+
+
 def _verifier(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,31 +145,44 @@ def _verifier(width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those that link, judged on the full sets of both texts."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
+    """Of the candidate pairs of texts ((a, ta), (b, tb)) the ids of those that link, judged on the full sets of both."""
+    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("t").alias(f"t{s}"), F.col("text").alias(f"text_{s}"))
+    both = pairs.join(side("a"), ["a", "ta"]).join(side("b"), ["b", "tb"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
+
+
+def _hasher(width: int):
+    """Rows (doc_id, t, text) as (doc_id, t, shingles): the sorted distinct hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(2), width):
+                packed = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), batch.column(1).slice(first, len(sets)), packed], names=["doc_id", "t", "shingles"])
+
+    return run
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, key, block, doc_id, component, text) that come sorted, packed in runs of one block and about ``BLOCK_BYTES``."""
-    place, ids, parts, texts, size = None, [], [], [], 0
+    """Rows (band, key, block, doc_id, component, shingles) that come sorted, packed in runs of one block and about ``BLOCK_BYTES``."""
+    place, ids, parts, sets, size, seq = None, [], [], [], 0, 0
 
     def done() -> pa.RecordBatch:
-        arrays = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int64()), pa.array([ids[0]], pa.int64())]
-        lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays(arrays + lists, names=["band", "key", "first_id", "ids", "components", "texts"])
+        arrays = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int64()), pa.array([(place[2] << 20) + seq], pa.int64()), pa.array([size], pa.int64())]
+        lists = [pa.array([ids], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int64())), pa.array([sets], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(arrays + lists, names=["band", "key", "block", "bytes", "ids", "components", "sets"])
 
     for batch in batches:
-        for band, key, block, doc, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for band, key, block, doc, component, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if ids and (place != (band, key, block) or size > BLOCK_BYTES):
                 yield done()
-                ids, parts, texts, size = [], [], [], 0
+                seq = seq + 1 if place == (band, key, block) else 0
+                ids, parts, sets, size = [], [], [], 0
             place = (band, key, block)
             ids.append(doc)
             parts.append(component)
-            texts.append(text)
-            size += len(text)
+            sets.append(own)
+            size += len(own)
     if ids:
         yield done()
 
@@ -180,42 +212,68 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _block_matcher(width: int, percent: int):
+def _tile_matcher(percent: int):
+    """Compares the blocks of two tiles of a bucket, whose rows come sorted by (band, key, low, high, tile)."""
+
+    def links(one, two, same: bool) -> pa.RecordBatch | None:
+        (ids_a, part_a, a), (ids_b, part_b, b) = one, two
+        apart = part_a[:, None] != part_b
+        if not apart.any():
+            return None
+        n, m = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+        common = common_counts(a, b).astype(np.int64)
+        link = apart & (100 * common >= percent * (n[:, None] + m - common))
+        if not link.any():
+            return None
+        x, y = spanning_edges(link, same, ids_a, ids_b)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = []
-                for at in (2, 5):
-                    ids, parts = (np.asarray(batch.column(at + k)[i].values) for k in (0, 1))
-                    sides.append((ids, parts, [s for _, run in shingle_sets(batch.column(at + 2)[i].values, width) for s in run]))
-                (ids_a, part_a, a), (ids_b, part_b, b) = sides
-                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
-                n, m = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-                apart = part_a[:, None] != part_b
-                if not apart.any():
+                *here, tile = (batch.column(c)[i].as_py() for c in range(5))
+                if here != place:
+                    place, held = here, []
+                ids, parts = (np.asarray(batch.column(c)[i].values) for c in (5, 6))
+                own = ids, parts, [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(7)[i].values]
+                if tile == here[3] and tile == here[2]:
+                    held.append(own)
+                    found = [links(other, own, other is own) for other in held]
+                elif tile == here[2]:
+                    held.append(own)
                     continue
-                common = common_counts(a, b).astype(np.int64)
-                link = apart & (100 * common >= percent * (n[:, None] + m - common))
-                if link.any():
-                    x, y = spanning_edges(link, same, ids_a, ids_b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                else:
+                    found = [links(other, own, False) for other in held]
+                yield from (x for x in found if x is not None)
 
     return match
 
 
 def _block_links(crowd: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in one bucket, tile against tile."""
     spark = crowd.sparkSession
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK_ROWS)).cast("int").alias("block")
-    rows = crowd.select("band", "key", block, "doc_id", "component").join(texts, "doc_id").select("band", "key", "block", "doc_id", "component", "text")
-    packed = rows.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block").mapInArrow(
-        _packer, "band int, key long, first_id long, ids array<long>, components array<long>, texts array<string>"
+    wanted = texts.join(crowd.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi")
+    sets = settle(wanted.select("doc_id", "t", "text").mapInArrow(_hasher(width), "doc_id long, t long, shingles binary"), "minhash-sets")
+    block = F.pmod(F.xxhash64("doc_id", "t"), F.ceil(F.col("members") / BLOCK_ROWS)).alias("block")
+    rows = crowd.select("band", "key", block, "doc_id", "t", "component").join(sets, ["doc_id", "t"]).select("band", "key", "block", "doc_id", "component", "shingles")
+    packed = settle(
+        rows.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block").mapInArrow(
+            _packer, "band int, key long, block long, bytes long, ids array<long>, components array<long>, sets array<binary>"
+        ),
+        "minhash-blocks",
     )
-    packed = settle(packed, "minhash-blocks")
-    side = lambda s: packed.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("first_id", "ids", "components", "texts")])
-    both = side("a").join(side("b"), ["band", "key"]).where("first_id_a <= first_id_b")
-    both = both.select("first_id_a", "first_id_b", "ids_a", "components_a", "texts_a", "ids_b", "components_b", "texts_b")
+    discard(sets)
+    bucket = W.partitionBy("band", "key")  # a row a block
+    before = F.coalesce(F.sum("bytes").over(bucket.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tiles = packed.select("band", "key", "block", F.floor(before / TILE_BYTES).alias("tile"))
+    tiles = tiles.withColumn("last", F.max("tile").over(bucket)).select("band", "key", "block", "tile", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
+    pairs = packed.join(tiles, ["band", "key", "block"]).select("band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ids", "components", "sets")
+    place = ["band", "key", "low", "high"]
     with arrow_batch_rows(spark, 4):
-        return settle(both.mapInArrow(_block_matcher(width, percent), "a long, b long").distinct(), "minhash-block-links")
+        out = settle(pairs.repartition(*place).sortWithinPartitions(*place, "tile").mapInArrow(_tile_matcher(percent), "a long, b long").distinct(), "minhash-block-links")
+    discard(packed)
+    return out
 
 
 def minhash_near_duplicates(
@@ -242,41 +300,51 @@ def minhash_near_duplicates(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = settle(source.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "minhash-sketch")
+    everyone = settle(sketch.select("doc_id", "n_shingles"), "minhash-ids")
     real = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = settle(real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-classes")  # so that the join can split a class with many copies
-    member = real.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1", "d2", "n_shingles")
+    member = real.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep", "d1", "d2")
     member = settle(member, "minhash-members")
     leaders = member.where(F.col("doc_id") == F.col("rep")).select("doc_id", "d1", "d2").distinct()
-    slots = real.join(leaders, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    slots = real.join(leaders, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", F.col("d1").alias("t"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("bands").alias("band", "key"))
     crowded = slots.groupBy("band", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "key")
-    active = settle(slots.join(crowded, ["band", "key"]).select("band", "key", "doc_id", "n_shingles").distinct(), "minhash-buckets")
+    active = settle(slots.join(crowded, ["band", "key"]).select("band", "key", "doc_id", "t", "n").distinct(), "minhash-buckets")
+    named = source.where("doc_id IS NOT NULL")
+    texts = named.join(active.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digester(width), "doc_id long, t long, text string")
+    texts = settle(texts.join(active.select("doc_id", "t").distinct(), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]), "minhash-texts")
+    discard(sketch)
+    discard(classes)
 
     links = member.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    texts = source.join(active.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = settle(texts, "minhash-texts")
-    sizes_fit = lambda n, m: (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
-    centre = active.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c")).select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("m"))
-    stars = active.join(centre, ["band", "key"]).where((F.col("doc_id") != F.col("b")) & sizes_fit("n_shingles", "m")).select(F.col("doc_id").alias("a"), "b").distinct()
-    found = settle(_confirmed(stars, texts, width, percent), "minhash-links")
-    merged = settle(connected_components(found, "a", "b"), "minhash-components")
-
-    labelled = active.join(merged, active["doc_id"] == merged["node"], "left").select("band", "key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    sizes_fit = lambda n, m: (100 * F.least(n, m).cast("long")) >= (percent * F.greatest(n, m).cast("long"))
+    centre = active.groupBy("band", "key").agg(F.min(F.struct("doc_id", "t", "n")).alias("c")).select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.t").alias("tb"), F.col("c.n").alias("m"))
+    stars = active.join(centre, ["band", "key"]).where((F.col("doc_id") != F.col("b")) & sizes_fit("n", "m")).select(F.col("doc_id").alias("a"), F.col("t").alias("ta"), "b", "tb").distinct()
+    starred = settle(_confirmed(stars, texts, width, percent), "minhash-links")
+    merged = settle(connected_components(starred, "a", "b"), "minhash-components")
+
+    labelled = active.join(merged, active["doc_id"] == merged["node"], "left").select("band", "key", "doc_id", "t", "n", F.coalesce("component", "doc_id").alias("component"))
     labelled = settle(labelled, "minhash-labelled")
+    discard(active)
     still_open = labelled.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", "members")
     still = settle(labelled.join(still_open, ["band", "key"]), "minhash-open")
+    discard(labelled)
+    discard(merged)
     small = still.where(F.col("members") <= SMALL)
-    other = small.select("band", "key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("component_b"))
+    other = small.select("band", "key", F.col("doc_id").alias("b"), F.col("t").alias("tb"), F.col("n").alias("m"), F.col("component").alias("component_b"))
     pairs = (
         small.join(other, ["band", "key"])
-        .where((F.col("doc_id") > F.col("b")) & (F.col("component") != F.col("component_b")) & sizes_fit("n_shingles", "m"))
-        .select(F.col("doc_id").alias("a"), "b")
+        .where((F.col("doc_id") > F.col("b")) & (F.col("component") != F.col("component_b")) & sizes_fit("n", "m"))
+        .select(F.col("doc_id").alias("a"), F.col("t").alias("ta"), "b", "tb")
         .distinct()
     )
-    found = found.unionByName(_confirmed(pairs, texts, width, percent))
-    found = found.unionByName(_block_links(still.where(F.col("members") > SMALL), texts, width, percent))
-    found = settle(found, "minhash-all-links")
-    components = connected_components(links.unionByName(found), "a", "b")
-    out = sketch.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
+    found = starred.unionByName(_confirmed(pairs, texts, width, percent))
+    blocks = _block_links(still.where(F.col("members") > SMALL), texts, width, percent)
+    every = settle(links.unionByName(found).unionByName(blocks), "minhash-all-links")
+    for spent in (member, texts, still, starred, blocks):
+        discard(spent)
+    components = connected_components(every, "a", "b")
+    discard(every)
+    out = everyone.join(components, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(False))).alias("kept"))
 

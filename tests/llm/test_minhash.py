@@ -57,6 +57,49 @@ def test_components_match_brute_force(spark, width, percent, bands):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def brute_ids(rows, width, percent):
+    """Smallest id reachable of every id, over all texts of each."""
+    sets = [(i, brute_sets(t, width)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, s in sets:
+            for b, t in sets:
+                if s and t and 100 * len(s & t) >= percent * len(s | t):
+                    label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_an_id_with_several_texts_links_through_each(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = lambda w: [*w[:59], "changed"]
+    base = [(1, a), (1, b), (2, near(b)), (3, near(a)), (5, b), (5, c), (7, near(c)), (9, words(rng, 60))]
+    rows = [(i, " ".join(w)) for i, w in base]
+    want = brute_ids(rows, 3, 85)
+    assert want == {1: 1, 2: 1, 3: 1, 5: 1, 7: 1, 9: 9}
+    for turn in range(3):
+        own = [*rows[turn * 3 :], *rows[: turn * 3]][:: -1 if turn else 1]
+        got = M.minhash_near_duplicates(spark.createDataFrame(own, "doc_id long, text string").repartition(2), width=3, percent=85, bands=40).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_crowded_buckets_are_compared_tile_by_tile(spark, monkeypatch):
+    """Forty texts of eight groups and ids with two texts, in one bucket of many small blocks and tiles."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(M, "TILE_BYTES", 4000)
+    rng = np.random.default_rng(7)
+    bases = [words(rng, 60) for _ in range(8)]
+    rows = [(i // 2 if i < 20 else i, " ".join([*bases[i % 8][:58], f"x{i}", "end"])) for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(M._digester(3), "doc_id long, t long, text string").cache()
+    crowd = texts.selectExpr("1 AS band", "2L AS key", "doc_id", "t", "doc_id AS component", "40L AS members")
+    links = M._block_links(crowd, texts, 3, 85).collect()
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for r in links:
+            label[r.a] = label[r.b] = min(label[r.a], label[r.b])
+    assert label == brute_ids(rows, 3, 85) and len(links) < 400
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = M.minhash_near_duplicates(odd_docs, width=3, percent=85).collect()
     assert len(rows) == odd_docs.count()
