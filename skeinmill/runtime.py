@@ -20,10 +20,12 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="skeinmill-")
@@ -85,13 +87,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """The ``rows`` rows of ``df`` (which has ``total``) with the smallest hashes of ``key``.
 
     A threshold on the hash, set so that half as many rows again are expected to
-    pass, goes first, so no task sends more than its share of the sample.
+    pass, goes first, so no task sends more than its share of the sample. Where a
+    few keys hold most rows the hash is that of whole rows. Either way the sample
+    depends on the rows alone, not on their order or place.
     """
-    h = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
-    passing = df.where(h < 1.5 * rows / total) if total > 2 * rows else df
-    if total > 2 * rows and passing.isEmpty():  # a few keys hold all rows
-        return df.limit(rows)
-    return passing.orderBy(F.xxhash64(key), key).limit(rows)
+    whole = F.xxhash64(*df.columns)
+    if total <= 2 * rows:
+        return df.orderBy(F.xxhash64(key), key, whole).limit(rows)
+    for h in (F.xxhash64(key), whole):
+        passing = df.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < 1.5 * rows / total)
+        if rows // 2 <= passing.count() <= 4 * rows:
+            return passing.orderBy(h, key, whole).limit(rows)
+    return df.orderBy(whole).limit(rows)  # a few rows, repeated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
