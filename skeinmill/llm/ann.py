@@ -7,30 +7,38 @@ many leaves to visit is calibrated: for a bounded set of queries the true
 neighbours over all rows are found by brute force, and visits widen until the
 leaves visited hold the target share of them.
 
+Vectors of each length are searched among themselves. The ``MOST_TREES`` commonest
+lengths with more rows than a leaf is meant to hold have a tree; a shorter list
+is one leaf, searched whole. A tree's depth follows from its rows.
+
 The first ``FIRST_LEAVES`` visits give each query a floor, its k-th best score
 so far, and the further ones only report what reaches it.
 
-Leaves of the index and of the queries that visit them are packed in blocks of
-bounded size and compared by matrix products, so a leaf with a third of all
-rows is many blocks on many tasks. Scores are recomputed from the original
+A leaf's rows are dealt to parts of bounded size, and the queries that visit the
+leaf go to each of its parts. Both come as blocks that are compared by matrix
+products, so a leaf with a third of all rows is many parts on many tasks. Scores are recomputed from the original
 vectors in double precision, row by row, so equal vectors tie exactly.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinmill.llm.embedding_join import clean_vectors, matrix_of
-from skeinmill.runtime import arrow_batch_rows, bounded_sample, settle, table
+from skeinmill.llm.embedding_join import BLOCK_BYTES, by_length, clean_vectors, matrix_of
+from skeinmill.runtime import arrow_batch_rows, bounded_sample, discard, settle, table
 
 FIRST_LEAVES = 4
+MOST_TREES = 8
+MOST_DEPTH = 4
+_NODE_BITS = 32
 
 
 class KMeansTree:
@@ -98,54 +106,84 @@ def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np
     return [(centres[i], rows[own == i]) for i in range(k) if (own == i).any()]
 
 
-def _indexer(tree: KMeansTree):
+class Forest:
+    """A tree for each of some vector lengths; every other length is one leaf. Leaves are numbered over all lengths."""
+
+    def __init__(self, trees: dict[int, KMeansTree]):
+        self.trees = trees
+        self.leaves = dict.fromkeys(trees, 1)  # to visit, of each tree
+
+    def assign(self, m: np.ndarray) -> np.ndarray:
+        d = m.shape[1]
+        return (d << _NODE_BITS) + (self.trees[d].assign(m) if d in self.trees else np.zeros(len(m), np.int64))
+
+    def visits(self, m: np.ndarray, leaf_rows: dict[int, int], rows: int, every: bool = False) -> list[list[int]]:
+        """Per query its length's leaves in the order of visits."""
+        d = m.shape[1]
+        base = d << _NODE_BITS
+        if d not in self.trees:
+            return [[base] if leaf_rows.get(base, 0) else []] * len(m)
+        own = {leaf - base: n for leaf, n in leaf_rows.items() if leaf >> _NODE_BITS == d}
+        found = self.trees[d].visits(m, len(own) if every else self.leaves[d], own, rows)
+        return [[base + leaf for leaf in order] for order in found]
+
+
+def _indexer(forest: Forest):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                m = matrix_of(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tree.assign(m)), pa.array([r.tobytes() for r in m], pa.binary())], names=["vec_id", "leaf", "raw"])
+            for _, at in by_length(batch.column(1)):
+                own = batch.take(pa.array(at))
+                m = matrix_of(own.column(1))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(forest.assign(m)), pa.array([r.tobytes() for r in m], pa.binary())], names=["vec_id", "leaf", "raw"])
 
     return index
 
 
-def _visitor(tree: KMeansTree, leaves: int, leaf_rows: dict[int, int], rows: int, dim: int, turns: slice):
+def _matrices(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length."""
+    sizes = np.array([len(r) for r in raws])
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, np.frombuffer(b"".join(raws[i] for i in at)).reshape(len(at), -1)
+
+
+def _visitor(forest: Forest, leaf_rows: dict[int, int], rows: int, turns: slice):
     """Rows (vec_id, leaf, raw, floor) for the visits whose turns are in ``turns``."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             ids, raw, floors = (batch.column(c).to_pylist() for c in range(3))
-            order = tree.visits(np.frombuffer(b"".join(raw)).reshape(-1, dim), leaves, leaf_rows, rows)
-            for at in range(0, len(ids), 256):
-                to = at + 256
-                flat = [(q, leaf, r, f) for q, r, f, o in zip(ids[at:to], raw[at:to], floors[at:to], order[at:to], strict=True) for leaf in o[turns]]
-                if flat:
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["vec_id", "leaf", "raw", "floor"])
+            for at, m in _matrices(raw):
+                for start in range(0, len(at), 256):
+                    part = at[start : start + 256]
+                    order = forest.visits(m[start : start + 256], leaf_rows, rows)
+                    flat = [(ids[i], leaf, raw[i], floors[i]) for i, o in zip(part, order, strict=True) for leaf in o[turns]]
+                    if flat:
+                        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["vec_id", "leaf", "raw", "floor"])
 
     return visit
 
 
 def _blocker(block_rows: int):
-    """Packs rows (vec_id, leaf, raw, floor) that come sorted by leaf into blocks of one leaf."""
+    """Packs rows (vec_id, leaf, part, raw, floor) that come sorted by leaf and part into blocks of one part."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         raw: list[bytes] = []
         floors: list[float] = []
-        leaf = None
+        place = None
 
         def done() -> pa.RecordBatch:
             packed = (np.array(ids, np.int64).tobytes(), b"".join(raw), np.array(floors, np.float64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["leaf", "ids", "raw", "floors"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in place), *(pa.array([x], pa.binary()) for x in packed)], names=["leaf", "part", "ids", "raw", "floors"])
 
         for batch in batches:
-            for i, at, r, f in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if ids and (at != leaf or len(ids) == block_rows):
+            for i, leaf, part, r, f in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if ids and (place != (leaf, part) or len(ids) >= min(block_rows, max(16, BLOCK_BYTES // len(raw[0])))):
                     yield done()
                     ids, raw, floors = [], [], []
-                leaf = at
+                place = leaf, part
                 ids.append(i)
                 raw.append(r)
                 floors.append(f)
@@ -155,10 +193,11 @@ def _blocker(block_rows: int):
     return block
 
 
-def _blocks(rows: DataFrame, parts: Column, block_rows: int) -> DataFrame:
-    """Blocks of one leaf each; the rows of a leaf go to ``parts`` partitions."""
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), parts)).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt")
-    return spread.select("vec_id", "leaf", "raw", "floor").mapInArrow(_blocker(block_rows), "leaf long, ids binary, raw binary, floors binary")
+def _blocks(rows: DataFrame, salts: int, block_rows: int) -> DataFrame:
+    """Blocks of one part of a leaf each; a part's rows go to ``salts`` partitions."""
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
+    spread = rows.withColumn("salt", salt).repartition("leaf", "part", "salt").sortWithinPartitions("leaf", "part", "salt")
+    return spread.select("vec_id", "leaf", "part", "raw", "floor").mapInArrow(_blocker(block_rows), "leaf long, part long, ids binary, raw binary, floors binary")
 
 
 def nearest_in(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,33 +256,36 @@ class _Best:
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in (q, i, s)], names=["query_id", "vec_id", "score"])
 
 
-def _searcher(dim: int, k: int):
+def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k)
         for batch in batches:
             for n in range(batch.num_rows):
                 kinds = (np.int64, np.float64, np.int64, np.float64, np.float64)
                 ids, raw, q_ids, q_raw, floors = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in enumerate(kinds))
-                qi, ri, s = nearest_in(q_raw.reshape(-1, dim), q_ids, raw.reshape(-1, dim), ids, k, floors)
+                qi, ri, s = nearest_in(q_raw.reshape(len(q_ids), -1), q_ids, raw.reshape(len(ids), -1), ids, k, floors)
                 best.add(q_ids[qi], ids[ri], s)
         yield from best.batches()
 
     return search
 
 
-def _brute(queries: np.ndarray, q_ids: np.ndarray, dim: int, k: int):
-    """Each partition's k best rows of a bounded set of queries; the leaf rides along as vec_id's companion."""
+def _brute(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Each partition's k best rows of a bounded set of queries (ids and vectors by length), with their leaves."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, leaf_of = _Best(k), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
                 ids, leaf = np.asarray(part.column(0)), np.asarray(part.column(1))
-                m = np.frombuffer(b"".join(part.column(2).to_pylist())).reshape(-1, dim)
-                qi, ri, s = nearest_in(queries, q_ids, m, ids, k)
-                best.add(q_ids[qi], ids[ri], s)
-                leaf_of.update(zip(ids[ri].tolist(), leaf[ri].tolist(), strict=True))
+                for at, m in _matrices(part.column(2).to_pylist()):
+                    if m.shape[1] not in queries:
+                        continue
+                    q_ids, q = queries[m.shape[1]]
+                    qi, ri, s = nearest_in(q, q_ids, m, ids[at], k)
+                    best.add(q_ids[qi], ids[at][ri], s)
+                    leaf_of.update(zip(ids[at][ri].tolist(), leaf[at][ri].tolist(), strict=True))
             kept = set(best.cut()[1].tolist())
             leaf_of = {i: v for i, v in leaf_of.items() if i in kept}
         for b in best.batches():
@@ -267,55 +309,65 @@ def search_nearest(
     sample_rows: int = 20_000,
     calibration_queries: int = 128,
     branching: int = 8,
-    depth: int = 2,
+    leaf_rows: int = 4096,
     block_rows: int = 1024,
 ) -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each row of ``queries``, as found:
     query_id, rank (from 1), vec_id, score; ties to the smaller id, never the query's own id.
 
-    The tree is fitted on the ``sample_rows`` rows with the smallest id hashes
-    and has at most branching ** depth leaves; all rows are indexed. Vectors that
-    are null, zero, hold null or non-finite components or are not of the most
-    common length take no part, as queries either. Of rows with one id and one
-    vector one counts. Fewer candidates than k are all returned. Empty tables
-    give an empty result; other columns are ignored.
+    A tree is fitted on the ``sample_rows`` rows of its length with the smallest
+    id hashes, as deep as leaves of ``leaf_rows`` rows need but at most
+    ``MOST_DEPTH`` levels; beyond branching ** MOST_DEPTH * leaf_rows rows leaves
+    grow, in more parts. All rows are indexed. A vector's neighbours are those of
+    its own length. Vectors that are null, zero or hold null or non-finite
+    components take no part, as queries either. Of rows with one id and one
+    vector one counts; an id with several vectors is a candidate with each, and
+    as a query its smallest in array order counts. Fewer candidates than k are
+    all returned. Empty tables give an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     valid = clean_vectors(vectors, id_col, vec_col)
-    lengths = valid.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dim, total = lengths[0]["d"], lengths[0]["count"]
-    valid = valid.where(F.size("vec") == dim)
-    sample = bounded_sample(valid, "vec_id", sample_rows, total).select("vec").toArrow()
-    tree = KMeansTree(matrix_of(sample.column(0).combine_chunks()), branching, depth)
-    index = settle(valid.dropDuplicates(["vec_id", "vec"]).mapInArrow(_indexer(tree), "vec_id long, leaf long, raw binary"), "ann-index")
-    leaf_rows = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    asked = clean_vectors(queries, id_col, vec_col).where(F.size("vec") == dim).dropDuplicates(["vec_id"])
-    asked = settle(asked.mapInArrow(_indexer(tree), "vec_id long, leaf long, raw binary").select("vec_id", "raw"), "ann-queries")
-
-    trial = bounded_sample(asked, "vec_id", calibration_queries, asked.count()).collect()
-    if not trial:
-        return spark.createDataFrame([], schema)
-    q_ids = np.array([r.vec_id for r in trial], np.int64)
-    q = np.frombuffer(b"".join(bytes(r.raw) for r in trial)).reshape(-1, dim)
-    truth = _ranked(index.mapInArrow(_brute(q, q_ids, dim, k), "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
-    order = {int(i): {leaf: n for n, leaf in enumerate(o)} for i, o in zip(q_ids, tree.visits(q, len(leaf_rows), leaf_rows, 0), strict=True)}
-    depths = np.sort([order[r.query_id][r.leaf] + 1 for r in truth])
-    leaves = int(depths[min(len(depths) - 1, int(np.ceil(target_recall * len(depths))) - 1)]) if len(depths) else 1
+    common = valid.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows).orderBy(F.desc("n"), "d").limit(MOST_TREES).collect()
+    trees = {}
+    for r in common:
+        depth = max(1, min(MOST_DEPTH, math.ceil(math.log(r.n / leaf_rows, branching))))
+        sample = bounded_sample(valid.where(F.size("vec") == r.d), "vec_id", sample_rows, r.n).select("vec").toArrow()
+        trees[r.d] = KMeansTree(matrix_of(sample.column(0).combine_chunks()), branching, depth)
+    forest = Forest(trees)
+    index = settle(valid.dropDuplicates(["vec_id", "vec"]).mapInArrow(_indexer(forest), "vec_id long, leaf long, raw binary"), "ann-index")
+    sizes = settle(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-leaves")
+    held = {r["leaf"]: r["n"] for r in sizes.collect()}  # a row a leaf
+    asked = clean_vectors(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = settle(asked.mapInArrow(_indexer(forest), "vec_id long, leaf long, raw binary"), "ann-queries")
+
+    trial = {}
+    for d in trees:
+        own = asked.where(F.shiftright("leaf", _NODE_BITS) == d)
+        picked = bounded_sample(own, "vec_id", calibration_queries, own.count()).collect()
+        if picked:
+            trial[d] = np.array([r.vec_id for r in picked], np.int64), np.frombuffer(b"".join(bytes(r.raw) for r in picked)).reshape(len(picked), -1)
+    if trial:
+        truth = _ranked(index.mapInArrow(_brute(trial, k), "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
+        for d, (ids, q) in trial.items():
+            order = {int(i): {leaf: n for n, leaf in enumerate(o)} for i, o in zip(ids, forest.visits(q, held, 0, every=True), strict=True)}
+            depths = np.sort([order[r.query_id][r.leaf] + 1 for r in truth if r.query_id in order and r.leaf >> _NODE_BITS == d])
+            if len(depths):
+                forest.leaves[d] = int(depths[min(len(depths) - 1, int(np.ceil(target_recall * len(depths))) - 1)])
 
     none = F.lit(float("-inf"))
-    parts = F.create_map(*[F.lit(x) for leaf, n in leaf_rows.items() for x in (leaf, -(-n // (4 * block_rows)))])[F.col("leaf")]
-    own = settle(_blocks(index.withColumn("floor", none), parts, block_rows).drop("floors"), "ann-leaf-blocks")
+    parts = F.broadcast(sizes.select("leaf", F.ceil(F.col("n") / (4 * block_rows)).alias("parts")))  # MOST_TREES * branching ** MOST_DEPTH rows and one a length
+    part = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.col("parts"))
+    own = settle(_blocks(index.join(parts, "leaf").withColumn("part", part).withColumn("floor", none), 1, block_rows).drop("floors"), "ann-leaf-blocks")
+    discard(index)
 
     def searched(asking: DataFrame, turns: slice) -> DataFrame:
         """What the visits of these turns find at or above each query's floor."""
-        visits = asking.select("vec_id", "raw", "floor").mapInArrow(_visitor(tree, leaves, leaf_rows, k + 1, dim, turns), "vec_id long, leaf long, raw binary, floor double")
-        blocks = settle(_blocks(visits, F.lit(4), block_rows // 2), "ann-query-blocks").select("leaf", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "floors")
+        visits = asking.select("vec_id", "raw", "floor").mapInArrow(_visitor(forest, held, k + 1, turns), "vec_id long, leaf long, raw binary, floor double")
+        each = visits.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        blocks = settle(_blocks(each, 4, block_rows // 2), "ann-query-blocks").select("leaf", "part", F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "floors")
         with arrow_batch_rows(spark, 4):
-            joined = own.join(blocks, "leaf").select("ids", "raw", "q_ids", "q_raw", "floors")
-            return settle(joined.mapInArrow(_searcher(dim, k), "query_id long, vec_id long, score double"), "ann-found")
+            joined = own.join(blocks, ["leaf", "part"]).select("ids", "raw", "q_ids", "q_raw", "floors")
+            return settle(joined.mapInArrow(_searcher(k), "query_id long, vec_id long, score double"), "ann-found")
 
     first = searched(asked.withColumn("floor", none), slice(0, FIRST_LEAVES))
     floors = _ranked(first.distinct(), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
