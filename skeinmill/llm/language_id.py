@@ -3,11 +3,14 @@
 Two gated recurrent layers read each window of a text forwards and backwards;
 from both hidden states every byte position gets a probability for each
 language, and a text's probabilities are the mean over all its positions.
-Texts are read whole, as windows of ``WINDOW`` bytes that run in parallel.
+Texts are read whole, as windows of ``WINDOW`` bytes that run in parallel. A
+window is read with ``CONTEXT`` bytes of the text before and behind it, whose
+positions count in the neighbouring windows, so both states are warm where
+positions count.
 
 Training is backpropagation through time with Adam on the driver, over windows
-of a bounded sample of labelled rows (``per_language`` texts of each language,
-``windows_per_text`` windows of each, picked by hash). Gates are hard sigmoids
+of the same make of a bounded sample of labelled rows (``per_language`` texts of
+each language, ``windows_per_text`` windows of each, picked by hash). Gates are hard sigmoids
 and the candidate state a softsign, which numpy computes quickly.
 """
 
@@ -24,13 +27,23 @@ from pyspark.sql import functions as F
 from skeinmill.llm.shingles import text_runs
 from skeinmill.runtime import table, text_batches
 
-WINDOW = 128
+WINDOW, CONTEXT = 112, 16
+LENGTH = WINDOW + 2 * CONTEXT
 _BATCH = 2048
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 UNKNOWN = "und"
 
 
+def windows_at(data: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (LENGTH, windows) around windows that begin at ``start`` in texts from ``low`` to ``high``, spaces outside the text; and which positions count."""
+    steps = np.arange(LENGTH)[:, None]
+    place = start - CONTEXT + steps
+    inside = (place >= low) & (place < high)
+    x = np.where(inside, data[np.clip(place, 0, len(data) - 1)], np.uint8(32))
+    return x, inside & (steps >= CONTEXT) & (steps < CONTEXT + WINDOW)
+
+
 class ByteGru:
     """Weights of both directions, and forward, training and prediction passes."""
 
@@ -113,15 +126,16 @@ class ByteGru:
         grad[f"{d}xg"] += hot @ dgs.reshape(-1, 2 * k)
         grad[f"{d}xn"] += hot @ dns.reshape(-1, k)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions of windows x (T, B) with languages y (B), and its gradients."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over the positions of windows x (T, B) with languages y (B) that count (all, if not said), and its gradients."""
         k, (t, b) = self.hidden, x.shape
         forward, kept_f = self._run("f", x, True)
         backward, kept_b = self._run("b", x[::-1], True)
         p = self._positions(forward, backward[::-1])
-        loss = float(-np.log(np.maximum(p[:, np.arange(b), y], 1e-9)).mean())
+        share = np.full((t, b), 1 / (t * b), np.float32) if counts is None else (counts / max(1, counts.sum())).astype(np.float32)
+        loss = float((-np.log(np.maximum(p[:, np.arange(b), y], 1e-9)) * share).sum())
         p[:, np.arange(b), y] -= 1
-        p /= t * b
+        p *= share[:, :, None]
         grad = {name: np.zeros_like(v) for name, v in self.w.items()}
         flat = p.reshape(t * b, -1)
         grad["out"][:k] = forward.reshape(t * b, k).T @ flat
@@ -131,7 +145,7 @@ class ByteGru:
         self._back("b", x[::-1], kept_b, (p @ self.w["out"][k:].T)[::-1], grad)
         return loss, grad
 
-    def train(self, windows: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def train(self, windows: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, steps: int = 200, batch: int = 128, rate: float = 0.02, seed: int = 11) -> list[float]:
         rng = np.random.default_rng(seed)
         m = {n: np.zeros_like(v) for n, v in self.w.items()}
         v = {n: np.zeros_like(w) for n, w in self.w.items()}
@@ -139,7 +153,7 @@ class ByteGru:
         losses = []
         for step in range(1, steps + 1):
             pick = np.concatenate([rng.choice(rows, max(1, batch // len(by_language))) for rows in by_language])
-            loss, grad = self.gradients(np.ascontiguousarray(windows[pick].T), y[pick])
+            loss, grad = self.gradients(np.ascontiguousarray(windows[pick].T), y[pick], None if counts is None else counts[pick].T)
             losses.append(loss)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * (1 - step / (steps + 1))
@@ -158,44 +172,41 @@ class ByteGru:
         row_of = np.repeat(np.arange(rows), per_row)
         first = np.repeat(np.cumsum(per_row) - per_row, per_row)
         start = offsets[:-1][row_of] + (np.arange(len(row_of)) - first) * WINDOW
-        length = np.minimum(WINDOW, offsets[1:][row_of] - start)
+        low, high = offsets[:-1][row_of], offsets[1:][row_of]
         sums = np.zeros((rows, len(self.languages)))
-        padded = np.concatenate([data, np.full(WINDOW, 32, np.uint8)])
-        steps = np.arange(WINDOW)[:, None]
         for at in range(0, len(start), _BATCH):
-            s, n = start[at : at + _BATCH], length[at : at + _BATCH]
-            x = padded[s + steps]
-            inside = steps < n
-            x[~inside] = 32
+            to = at + _BATCH
+            x, counts = windows_at(data, start[at:to], low[at:to], high[at:to])
             p = self.positions(x)
-            p *= inside[:, :, None]
-            np.add.at(sums, row_of[at : at + _BATCH], p.sum(axis=0))
+            p *= counts[:, :, None]
+            np.add.at(sums, row_of[at:to], p.sum(axis=0))
         return sums / np.maximum(sizes, 1)[:, None]
 
 
-def _cutter(length: int, per_text: int, languages: dict[str, int]):
+def _cutter(per_text: int, languages: dict[str, int]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ys = [], []
+            out, masks, ys = [], [], []
             langs = batch.column(1).to_pylist()
             for first, end, data, offsets in text_runs(batch.column(0)):
                 for r in range(end - first):
-                    text = data[offsets[r] : offsets[r + 1]]
-                    if not len(text):
+                    low, high = int(offsets[r]), int(offsets[r + 1])
+                    if low == high:
                         continue
-                    rng = np.random.default_rng(len(text))
-                    room = max(1, len(text) - length + 1)
-                    for s in np.sort(rng.choice(room, min(per_text, room), replace=False)):
-                        w = text[s : s + length].tobytes()
-                        out.append(w.ljust(length))
-                        ys.append(languages[langs[first + r]])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(ys, pa.int32())], names=["w", "y"])
+                    rng = np.random.default_rng(high - low)
+                    room = max(1, high - low - WINDOW + 1)
+                    start = low + np.sort(rng.choice(room, min(per_text, room), replace=False))
+                    x, counts = windows_at(data, start, np.full(len(start), low), np.full(len(start), high))
+                    out += [w.tobytes() for w in x.T]
+                    masks += [w.tobytes() for w in counts.T]
+                    ys += [languages[langs[first + r]]] * len(start)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(masks, pa.binary()), pa.array(ys, pa.int32())], names=["w", "m", "y"])
 
     return cut
 
 
 def fit_language_model(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_text: int = 8, window: int = 48, hidden: int = 8, steps: int = 400
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_text: int = 4, hidden: int = 8, steps: int = 200
 ) -> ByteGru | None:
     """Train on at most ``per_language`` texts of each language; None if no row has a text and a language.
 
@@ -218,15 +229,15 @@ def fit_language_model(
     languages = sorted(highest)
     index = {name: i for i, name in enumerate(languages)}
     texts = own.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = texts.select("text", "lang").mapInArrow(_cutter(window, windows_per_text, index), "w binary, y int")
-    rows = sorted((r.y, bytes(r.w)) for r in sample.collect())
+    sample = texts.select("text", "lang").mapInArrow(_cutter(windows_per_text, index), "w binary, m binary, y int")
+    rows = sorted((r.y, bytes(r.w), bytes(r.m)) for r in sample.collect())
     if not rows:
         return None
-    windows = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(len(rows), window)
-    y = np.array([y for y, _ in rows])
+    windows, counts = (np.frombuffer(b"".join(r[i] for r in rows), np.uint8).reshape(len(rows), LENGTH) for i in (1, 2))
+    y = np.array([r[0] for r in rows])
     seen = sorted(set(y.tolist()))
     model = ByteGru([languages[i] for i in seen], hidden)
-    model.train(windows, np.searchsorted(seen, y), steps)
+    model.train(windows, np.searchsorted(seen, y), counts, steps)
     return model
 
 
