@@ -13,6 +13,7 @@ and writes a sidecar index, one line a record: offset, length, type, id.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -195,7 +196,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, _, payload = block.partition(b"\r\n\r\n")
                 kind = header["warc-type"]
                 size = int(_header(head).get("content-length", len(payload)))
-                rows.append((_number(header["warc-record-id"]), header.get("warc-target-uri"), size, header["warc-payload-digest"].removeprefix("sha1:"), kind, _number(header.get("warc-refers-to")), None if kind == "revisit" else payload))
+                digest = header["warc-payload-digest"].removeprefix("sha1:")
+                if kind != "revisit" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                    raise ValueError(f"the payload of {header['warc-record-id']} is not the one its header names")
+                rows.append((_number(header["warc-record-id"]), header.get("warc-target-uri"), size, digest, kind, _number(header.get("warc-refers-to")), None if kind == "revisit" else payload))
                 if len(rows) >= 256:
                     yield _rows(rows)
                     rows = []
@@ -210,7 +214,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
-    """One row per record, each inflated by itself from its place in the sidecar; a revisit's payload is null."""
+    """One row per record, each inflated by itself from its place in the sidecar; a revisit's payload is null.
+
+    Length and SHA-1 of every response's payload are worked out from what was inflated and must be those of its header.
+    """
     return normalised.select("body", "sidecar").mapInArrow(
         _read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )

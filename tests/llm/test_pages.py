@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import os
 
+import pytest
+
 from skeinmill.llm import url_reputation, warc
 
 PAGE = "page_id long, url string, html string, archive string, body string, host string, path string, bad int, response_id long, sha1 string"
@@ -56,6 +58,21 @@ def test_round_trip_through_archives(spark, tmp_path):
     assert len(index) == len(rows) and all(r.length > 0 for r in index)
 
 
+def test_a_changed_payload_is_found(spark):
+    norm = warc.normalise_archives(warc.write_monolithic(pages(spark, [(1, "u", "first page"), (2, "u", "second page")]).coalesce(1))).collect()
+    for old, new in ((b"second", b"secund"), (b"first page", b"first pag")):
+        members, lines, offset = [], [], 0
+        for line in norm[0].sidecar.splitlines():
+            at, size, *rest = line.split(" ")
+            member = gzip.compress(gzip.decompress(norm[0].body[int(at) : int(at) + int(size)]).replace(old, new.ljust(len(old))))
+            lines.append(f"{offset} {len(member)} {' '.join(rest)}\n")
+            members.append(member)
+            offset += len(member)
+        broken = spark.createDataFrame([("a", b"".join(members), "".join(lines))], "archive string, body binary, sidecar string")
+        with pytest.raises(Exception, match="not the one its header names"):
+            warc.read_archives(broken).collect()
+
+
 def test_smallest_payloads_and_empty_table(spark):
     rows = [(i, "u", "tiny" if i < 3 else "long enough") for i in range(6)]
     got = warc.read_archives(warc.normalise_archives(warc.write_monolithic(pages(spark, rows), min_bytes=8))).collect()
