@@ -64,21 +64,22 @@ def _written(spans: Column) -> Column:
 
 
 def _evidence(docs: DataFrame, owner: Column, repository: Column, id_col: str, text_col: str, max_owners: int, max_repositories: int) -> tuple[DataFrame, DataFrame]:
-    """All candidates per row (doc_id, base, weak), and per id with any a map from the hashes of its live ones to their owners' number."""
+    """All candidates per row (doc_id, t, base, weak), and per id and text (by its hash t) with any a map from the hashes of
+    its live ones to their owners' number. So a map holds what one text does, however many rows share an id or have none."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), name(owner).alias("owner"), name(repository).alias("repository"))
-    found = _spans(_spans(own, BASE, 0, "base"), WEAK, len(BASE), "weak").select("doc_id", "owner", "repository", "base", "weak")
+    found = _spans(_spans(own, BASE, 0, "base"), WEAK, len(BASE), "weak").select("doc_id", F.xxhash64("text").alias("t"), "owner", "repository", "base", "weak")
     found = settle(found, "secret-spans")
-    held = found.where((F.size("base") > 0) | (F.size("weak") > 0)).select("doc_id", "owner", "repository", F.explode(F.concat("base", "weak")).alias("s"))
-    held = held.select("doc_id", "owner", "repository", F.col("s.hash").alias("hash"))
+    held = found.where((F.size("base") > 0) | (F.size("weak") > 0)).select("doc_id", "t", "owner", "repository", F.explode(F.concat("base", "weak")).alias("s"))
+    held = held.select("doc_id", "t", "owner", "repository", F.col("s.hash").alias("hash"))
     spread = held.select("hash", "owner", "repository").distinct()
     owners = spread.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("n_owners"))
     repositories = spread.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("n_repositories"))
     live = owners.join(repositories, "hash").where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
-    per_doc = held.select("doc_id", "hash").distinct().join(live, "hash").groupBy("doc_id").agg(
+    per_doc = held.select("doc_id", "t", "hash").distinct().join(live, "hash").groupBy("doc_id", "t").agg(
         F.map_from_entries(F.collect_list(F.struct("hash", "n_owners"))).alias("live")
     )
-    return found, per_doc.withColumnRenamed("doc_id", "live_id")
+    return found, per_doc.select(F.col("doc_id").alias("live_id"), F.col("t").alias("live_t"), "live")
 
 
 def scan_secrets(
@@ -95,7 +96,7 @@ def scan_secrets(
     a row each. An empty table gives an empty result.
     """
     found, per_doc = _evidence(docs, owner, repository, id_col, text_col, max_owners, max_repositories)
-    joined = found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("live_id")), "left")
+    joined = found.join(per_doc, F.col("doc_id").eqNullSafe(F.col("live_id")) & (F.col("t") == F.col("live_t")), "left")
     joined = joined.withColumn("live", F.coalesce("live", F.create_map().cast("map<string,bigint>")))
     joined = joined.withColumn("added", F.filter("weak", lambda s: F.col("live")[s["hash"]] == 1))
     joined = joined.withColumn("all", F.array_sort(F.concat("base", "added")))
@@ -129,8 +130,9 @@ def redact_live(
     """All rows and columns of ``docs`` with the live secrets of ``text_col`` replaced by ``mark``; examples stay."""
     _, per_doc = _evidence(docs, owner, repository, id_col, text_col, max_owners, max_repositories)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = row.join(settle(per_doc, "secret-live"), F.col(f"row.{id_col}").eqNullSafe(F.col("live_id")), "left")
     text = F.col(f"row.{text_col}")
+    same = F.col(f"row.{id_col}").eqNullSafe(F.col("live_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("live_t"))
+    joined = row.join(settle(per_doc, "secret-live"), same, "left")
     joined = joined.withColumn("text", F.when(F.col("live").isNotNull(), F.coalesce(text, F.lit(""))).otherwise(""))
     spans = _spans(_spans(joined, BASE, 0, "base"), WEAK, len(BASE), "weak")
     live = F.concat(F.filter("base", lambda s: F.map_contains_key("live", s["hash"])), F.filter("weak", lambda s: F.col("live")[s["hash"]] == 1))
