@@ -309,7 +309,7 @@ def search_nearest(
     sample_rows: int = 20_000,
     calibration_queries: int = 128,
     branching: int = 8,
-    leaf_rows: int = 4096,
+    leaf_rows: int = 1024,
     block_rows: int = 1024,
 ) -> DataFrame:
     """The k rows of ``vectors`` with the largest inner product for each row of ``queries``, as found:

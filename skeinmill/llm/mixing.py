@@ -119,7 +119,8 @@ def mix_sources(
         _source_key(F.col(source_col)).alias("source_key"),
         F.coalesce(F.col(size_col) if size_col else F.length(text_col), F.lit(0)).cast("long").alias("size"),
     ).withColumn("h", F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit("")))
-    own = own.withColumn("bucket", F.substring("h", 1, bucket_digits))
+    # rows without an id come first, by length: each length is a bucket, in the same order
+    own = own.withColumn("bucket", F.when(F.col("id").isNull(), F.concat(F.lit(" "), F.lpad(F.col("size").cast("string"), 19, "0"))).otherwise(F.substring("h", 1, bucket_digits)))
     sums = settle(own.groupBy("source_key", "bucket").agg(F.sum("size").alias("size")), "mix-sums")
     before = F.coalesce(F.sum("size").over(W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("source_key", "bucket", before.alias("before"))

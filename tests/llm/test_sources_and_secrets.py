@@ -48,6 +48,16 @@ def test_the_schedule_holds_the_stated_weights(spark):
     assert {(r.share, r.period) for r in sizes.select("share", "period").collect()} == {(1, 2)}
 
 
+def test_rows_without_ids_are_dealt_out_by_length(spark):
+    """Starts of rows without ids are running sums in the order of their lengths, before all others of the source."""
+    rows = [(None, "s", "x" * (i % 9)) for i in range(90)] + [(i, "s", "y" * 5) for i in range(20)] + [(None, None, "z"), (None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs, block_chars=50).select("row.*", "source_key", "start").collect()
+    sizes = sorted(len(r[2] or "") for r in rows if r[0] is None and r[1])
+    assert sorted(r.start for r in got if r.doc_id is None and r.source) == [sum(sizes[:i]) for i in range(len(sizes))]
+    assert min(r.start for r in got if r.doc_id is not None) == sum(sizes) and len(got) == len(rows)
+
+
 def test_mixing_keeps_every_row_once(odd_docs, no_docs):
     got = mixing.mix_sources(odd_docs)
     assert sorted(map(repr, got.select("row.*").collect())) == sorted(map(repr, odd_docs.collect()))
@@ -91,6 +101,39 @@ def test_ownership_separates_examples_from_live_ones(spark):
     assert clean[0] == rows[0][1] and clean[10] == "[SECRET]' and [SECRET]" and clean[11] == "nothing"
 
 
+def test_added_spans_and_counts_match_brute_force(spark):
+    """Ownership counted by hand over all candidates, ids null and repeated, against every column."""
+    rng = np.random.default_rng(11)
+    weak = re.compile(r"[A-Za-z0-9_-]{32,}")
+    pool = ["token = 'shared-example-1'", "AKIA" + "Q7" * 9, "deadbeef" * 4, "".join(rng.choice(list("abcXYZ0189_-"), 40)), "Kq9" * 14, "password: lone-secret"]
+    rows = []
+    for i in range(240):
+        text = " ".join([*rng.choice(pool, rng.integers(0, 4)), f"secret={'v%02d' % rng.integers(12)}-zzzz", "Wx" * 14 + f"{rng.integers(300):06d}"])
+        owner = f"o{min(8, int(rng.exponential(2)))}"
+        rows.append((None if i % 7 == 0 else i // 2, text if i % 11 else None, owner, f"{owner}/r{rng.integers(3)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+
+    def candidates(text):
+        found = [(m.start(), i, m.end(), k, m[2] if k == "assign" else m[0]) for i, (k, p, ok) in enumerate(KINDS) for m in p.finditer(text or "") if ok(m)]
+        return sorted(found), sorted((m.start(), 3, m.end(), "opaque", m[0]) for m in weak.finditer(text or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")))
+
+    owners, repos = {}, {}
+    for _, t, o, r in rows:
+        for part in candidates(t):
+            for *_, value in part:
+                owners.setdefault(value, set()).add(o)
+                repos.setdefault(value, set()).add(r)
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 4}
+    want = []
+    for i, t, _, _ in rows:
+        base, extra = candidates(t)
+        whole = sorted([*base, *(c for c in extra if c[4] in live and len(owners[c[4]]) == 1)])
+        want.append((str(i), ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in whole), sum(c[4] in live for c in whole), sum(c[4] not in live for c in whole)))
+    got = secret_scan.scan_secrets(docs, F.col("owner"), F.col("repo")).collect()
+    assert sorted((str(r.doc_id), r.spans, r.n_live, r.n_example) for r in got) == sorted(want)
+    assert any("opaque" in w[1] for w in want) and any(w[3] for w in want)
+
+
 def test_odd_documents(odd_docs, no_docs):
     got = secret_scan.scan_secrets(odd_docs, F.col("source"), F.col("lang")).collect()
     assert len(got) == odd_docs.count() and sum(r.n_assign for r in got) == 1

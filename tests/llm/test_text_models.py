@@ -46,16 +46,56 @@ def test_language_of_odd_rows(odd_docs, no_docs):
 
 def test_pooling_covers_every_position():
     model = language_id.ByteGru(["a", "b"], hidden=4)
-    text = np.frombuffer(b"abc xyz " * 50, np.uint8)
-    offsets = np.array([0, 0, len(text), len(text)])
-    pooled = model.pooled(text, offsets)
-    total = np.zeros(2)
-    for s in range(0, len(text), language_id.WINDOW):
-        part = text[s : s + language_id.WINDOW]
-        x = np.full((language_id.WINDOW, 1), 32, np.uint8)
-        x[: len(part), 0] = part
-        total += model.positions(x)[: len(part), 0].sum(axis=0)
-    assert np.allclose(pooled[1], total / len(text), atol=1e-5) and not pooled[[0, 2]].any()
+    size = 3 * language_id.WINDOW + 17
+    text = np.random.default_rng(0).integers(97, 123, size).astype(np.uint8)
+    offsets = np.array([0, 0, size, size, size + 5])
+    pooled = model.pooled(np.concatenate([text, np.full(5, 120, np.uint8)]), offsets)
+    total, seen = np.zeros(2), 0
+    for s in range(0, size, language_id.WINDOW):
+        x = np.full((language_id.LENGTH, 1), 32, np.uint8)
+        low, high = max(0, s - language_id.CONTEXT), min(size, s + language_id.WINDOW + language_id.CONTEXT)
+        x[low - s + language_id.CONTEXT : high - s + language_id.CONTEXT, 0] = text[low:high]
+        own = min(language_id.WINDOW, size - s)
+        total += model.positions(x)[language_id.CONTEXT : language_id.CONTEXT + own, 0].sum(axis=0)
+        seen += own
+    assert seen == size and np.allclose(pooled[1], total / size, atol=1e-5) and not pooled[[0, 2]].any() and abs(pooled[3].sum() - 1) < 1e-5
+
+
+def test_masked_positions_give_no_gradient():
+    rng = np.random.default_rng(0)
+    model = language_id.ByteGru(["a", "b"], hidden=3)
+    x, y = rng.integers(97, 103, (7, 4)).astype(np.uint8), np.array([0, 1, 1, 0])
+    counts = np.ones((7, 4), bool)
+    counts[:, 3] = False
+    loss, grad = model.gradients(x, y, counts)
+    alone, same = model.gradients(x[:, :3], y[:3])
+    assert abs(loss - alone) < 1e-5 and all(np.allclose(grad[k], same[k], atol=1e-5) for k in grad)
+
+
+def test_short_and_long_texts_of_close_languages(spark):
+    """Two languages with the same letters and most of the same syllables, by texts of a few words and of thousands."""
+    rng = np.random.default_rng(4)
+    shared = ["ta", "ri", "mo", "ne", "sul"]
+    own = {"xx": ["tar", "iso", "eno"], "yy": ["rat", "osi", "one"]}
+    rows = []
+    for i in range(900):
+        k = "xy"[i % 2] * 2
+        size = (4, 40, 3000)[0 if i % 3 else 1 if i % 60 else 2]
+        rows.append((i, " ".join("".join(rng.choice([*shared, *own[k]], 3)) for _ in range(size)), k, size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, size int")
+    model = language_id.fit_language_model(docs.where(~language_id.held_out(F.col("doc_id"))))
+    got = language_id.predict_language(docs.where(language_id.held_out(F.col("doc_id"))), model).select("row.lang", "row.size", "lang_pred").collect()
+    right = lambda least, most: np.mean([r.lang == r.lang_pred for r in got if least <= r["size"] <= most])
+    assert right(0, 4) > 0.85 and right(40, 3000) > 0.97
+
+
+def test_query_rows_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(i, f"{'alpha beta' if i % 2 else 'gamma delta'} {i} " * 9, "ab"[i % 2], "s", 1) for i in range(60)]
+    rows += [(None, "alpha beta", "b", "s", 1), (None, None, None, None, None), (7, "alpha beta", "b", "s", 1), (7, "alpha beta", "b", "s", 1), (8, "", "a", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = language_id.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out for r in got if r.doc_id is None)
+    assert sum(r.doc_id == 7 for r in got) == 3 and sum(r.lang_pred == "und" for r in got) == 2
 
 
 def check_packing(docs, got, tokens, longest=1024):
@@ -158,6 +198,52 @@ def test_quality_separates_and_shrinks(spark):
     assert len(got) == 600 and np.mean([r.kept == (r.doc_id % 4 != 0) for r in got]) > 0.99
 
 
+def test_site_rates_leave_the_own_label_out(spark, monkeypatch):
+    """Rates against a reckoning by hand, broadcast and by salted keys alike; a site without labels has its host's or the global rate."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"text {rng.integers(9)}", f"h{min(3, int(rng.exponential(1)))}", f"p{rng.integers(3)}") for i in range(300)]
+    rows += [(300, "text", "new", "p0"), (301, "text", "h0", "none"), (None, "text", "h0", "p0"), (5, "again", "h0", "p1")]
+    good = {i: int(rng.random() < (0.9 if rows[i][2] == "h0" else 0.4)) for i in range(0, 300, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, good int")
+    tags = spark.createDataFrame([(f"={h}", f"={p}", good[i]) for i, _, h, p in rows if i in good], "host string, path string, good long")
+    _, _, at = quality.site_posteriors(tags)
+    known = [(h, p, good[i]) for i, _, h, p in rows if i in good]
+
+    def rates(i, h, p):
+        rest = list(known)
+        if i in good:
+            rest.remove((h, p, good[i]))
+        rate = (sum(y for *_, y in rest) + 1) / (len(rest) + 2)
+        on_host, on_path = [y for a, _, y in rest if a == h], [y for a, b, y in rest if (a, b) == (h, p)]
+        host = (sum(on_host) + at["s_h"] * rate) / (len(on_host) + at["s_h"])
+        return host, (sum(on_path) + at["s_p"] * host) / (len(on_path) + at["s_p"])
+
+    want = sorted((str(i), h, p, *np.round(rates(i, h, p), 9)) for i, _, h, p in rows)
+    for size in (quality.SITE_BYTES, 0):
+        monkeypatch.setattr(quality, "SITE_BYTES", size)
+        got = quality.classify_quality(docs, labels, F.col("host"), F.col("path")).collect()
+        assert sorted((str(r.doc_id), r.host, r.path, *np.round((r.host_rate, r.path_rate), 9)) for r in got) == want
+
+
+def test_words_tell_quality_of_texts_that_were_not_learned(spark):
+    """Texts alike in every statistic whose words differ: labelled two thirds teach, the others test."""
+    rng = np.random.default_rng(6)
+    kinds = {1: ["amber", "cedar", "delta", "ember", "fjord", "grove"], 0: ["winner", "casino", "bonus", "clicks", "offers", "prizes"]}
+    both = ["plain", "words", "about", "things"]
+    rows = [(i, " ".join(rng.choice([*both, *kinds[i % 2]], 60))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900) if i % 3], "doc_id long, good int")
+    got = quality.classify_quality(docs, labels, F.lit("h"), F.lit("p")).collect()
+    assert np.mean([r.kept == bool(r.doc_id % 2) for r in got if r.doc_id % 3 == 0]) > 0.98
+
+
+def test_a_hot_host_without_labels(spark):
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i, f"t {i}", "hot" if i % 3 == 0 else f"h{i}", "p") for i in range(200)], "doc_id long, text string, host string, path string")
+    got = quality.classify_quality(docs, spark.createDataFrame([], "doc_id long, good int"), F.col("host"), F.col("path")).collect()
+    assert len(got) == 200 and {(r.quality, r.host_rate, r.path_rate) for r in got} == {(0.5, 0.5, 0.5)}
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, None), (None, 1), (7, 1)], "doc_id long, good int")
     got = quality.classify_quality(odd_docs, labels, F.col("source"), F.col("lang")).collect()
