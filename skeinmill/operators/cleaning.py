@@ -2,18 +2,32 @@
 
 Each rule is a predicate on a line; ``drop_lines`` filters the lines of a text
 with it, in one pass inside the JVM. Rules that look across lines (headers and
-footers, duplicate paragraphs) use windows keyed by document.
+footers, duplicate paragraphs) sort small keys inside the row. Every row is
+cleaned by itself, so nothing is shuffled and null or repeated ids need no rule.
+Only the composed form of characters (NFC), which the rules compare lines by,
+comes from Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skeinmill.functions.toc import remove_toc
+from skeinmill.operators.structure import values_sql
+from skeinmill.operators.tables import tables_to_records
 from skeinmill.runtime import table
 
+#: White space of Unicode, which ends of lines are stripped of; fixed values.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # The line patterns of the cleaning rules.
 PAGE_NUMBER = (
     r"^\s*\d{1,4}\s*$",
@@ -26,6 +40,7 @@ PAGE_NUMBER = (
 DECORATION = r"^\s*(?:[-*_=]{3,}|[═━─—…·–│┃]{3,}|[─-▟]{2,})\s*$"
 EMPTY_BLOCK = (r"^\s*#{1,6}\s*$", r"^\s*[-*+]\s*$", r"^\s*[-*+](\s*[-*+])+\s*$", r"^\s*\d+\s*[\.\)、]\s*$")
 PAGE_MARK = r"(?i)^\s*(?:<!--\s*page\s*:\s*\d+\s*-->|##\s+Page\s+\d+)\s*$"
+HEADING = r"^\s*#{1,6}\s+\S"
 STRUCTURE = r"^\s*(#{1,6}\s+|[-*+]\s+|\d+\s*[\.\)、]\s+|>\s*|\|)"
 CLOSING_TAIL = r"[\s您们的大家各位我们你观看聆听倾听阅读关注支持配合参与理解指导鼓励陪伴时间耐心莅临出席.,!?！。，、；：]*"
 CLOSING = (
@@ -59,20 +74,32 @@ BOILERPLATE = (
 )
 
 
+def _strip(line: Column, more: str = "") -> Column:
+    return F.btrim(line, F.lit(WHITE + more))
+
+
 def _any(line: Column, patterns) -> Column:
     found = F.lit(False)
     for p in patterns:
-        found = found | line.rlike(p)
+        found = found | line.rlike("(?U)" + p)
     return found
 
 
+def is_page_mark(line: Column) -> Column:
+    return _any(line, (PAGE_MARK,))
+
+
+def is_heading(line: Column) -> Column:
+    return _any(line, (HEADING,))
+
+
 def is_page_number(line: Column) -> Column:
-    s = F.btrim(line, F.lit(" \t\r"))
+    s = _strip(line)
     return (s != "") & ~s.startswith("#") & _any(s, PAGE_NUMBER)
 
 
 def is_decoration(line: Column) -> Column:
-    return line.rlike(DECORATION)
+    return _any(line, (DECORATION,))
 
 
 def is_empty_block(line: Column) -> Column:
@@ -80,17 +107,17 @@ def is_empty_block(line: Column) -> Column:
 
 
 def is_closing(line: Column) -> Column:
-    s = F.btrim(line, F.lit(" \t\r*_~`"))
-    return (s != "") & (F.length(s) <= 30) & s.rlike(CLOSING_LINE)
+    s = _strip(line, "*_~`")
+    return (s != "") & (F.length(s) <= 30) & _any(s, (CLOSING_LINE,))
 
 
 def is_short_noise(line: Column, least: int = 8) -> Column:
     cjk = F.regexp_count(line, F.lit(r"[一-鿿]"))
-    return ~line.rlike(PAGE_MARK) & ~line.rlike(STRUCTURE) & ~line.rlike(r"[:：A-Za-z0-9]") & (cjk > 0) & (cjk < least)
+    return ~is_page_mark(line) & ~_any(line, (STRUCTURE,)) & ~line.rlike(r"[:：A-Za-z0-9]") & (cjk > 0) & (cjk < least)
 
 
 def is_boilerplate(paragraph: Column) -> Column:
-    return (F.btrim(paragraph, F.lit(" \t\r\n")) != "") & (F.length(paragraph) <= 300) & _any(paragraph, BOILERPLATE)
+    return (_strip(paragraph) != "") & (F.length(paragraph) <= 300) & _any(paragraph, BOILERPLATE)
 
 
 RULES = {"page_number": is_page_number, "closing": is_closing, "short_noise": is_short_noise, "decoration": is_decoration, "empty_block": is_empty_block}
@@ -105,7 +132,7 @@ def drop_lines(text: Column, rule) -> tuple[Column, Column]:
 
 
 def collapse(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))
+    return _strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def finalize_whitespace(text: Column) -> Column:
@@ -114,63 +141,217 @@ def finalize_whitespace(text: Column) -> Column:
     return collapse(F.regexp_replace(t, r"(?m)[ \t]+$", ""))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def composed(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
+
+
+def with_nfc(docs: DataFrame, text_col: str, out: str) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text_col`` in NFC as the last one, null for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.append_column(out, pa.array([composed(t) for t in texts], pa.string()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Whole lines that are page marks, to split a text at; the flags keep to ``\\n`` as the only end of a line.
+_MARK_LINES = r"(?iUdm)^[^\S\n]*(?:<!--[^\S\n]*page[^\S\n]*:[^\S\n]*\d+[^\S\n]*-->|##[^\S\n]+Page[^\S\n]+\d+)[^\S\n]*$"
+
+
+def repeated_headers(composed: Column, threshold: float = 0.5, longest: int = 30, least_marks: int = 3) -> Column:
+    """Short lines (stripped, of a text in NFC) that stand on at least max(2, half) of its pages (marks + 1), sorted.
+
+    A page counts a line once. The sorted lines of all pages hold a line that
+    often if the one ``cutoff - 1`` places on is the same.
+    """
+    fits = lambda x: (x != "") & (F.length(x) <= longest) & ~is_heading(x) & ~is_decoration(x)
+    short = lambda page: F.array_distinct(F.filter(F.transform(F.split(page, "\n", -1), lambda x: _strip(x)), fits))
 
+    def often(pages: Column) -> Column:
+        cutoff = F.greatest(F.lit(2), F.bround(threshold * F.size(pages))).cast("int")
+        every = lambda s: F.array_distinct(F.filter(s["lines"], lambda x, i: F.get(s["lines"], i + s["cutoff"] - 1) == x))
+        return _let(F.struct(F.array_sort(F.flatten(F.transform(pages, short))).alias("lines"), cutoff.alias("cutoff")), every)
 
-def repeated_headers(docs: DataFrame, threshold: float = 0.5, longest: int = 30, least_marks: int = 3) -> DataFrame:
-    """doc_id, line: short lines that stand on at least max(2, half) of a document's pages (marks + 1)."""
-    mark = F.col("line").rlike(PAGE_MARK)
-    by_doc = W.partitionBy("doc_id")
-    lines = lines_of(docs).withColumn("page", F.sum(mark.cast("int")).over(by_doc.orderBy("pos"))).withColumn("marks", F.sum(mark.cast("int")).over(by_doc))
-    key = F.btrim("line", F.lit(" \t\r"))
-    fits = (key != "") & (F.length(key) <= longest) & ~mark & ~key.startswith("#") & ~is_decoration(key)
-    counted = lines.where((F.col("marks") >= least_marks) & fits).groupBy("doc_id", key.alias("line")).agg(F.countDistinct("page").alias("pages"), F.max("marks").alias("marks"))
-    return counted.where(F.col("pages") >= F.greatest(F.lit(2), F.bround(threshold * (F.col("marks") + 1)))).select("doc_id", "line")
+    none = F.array().cast("array<string>")
+    return _let(F.split(composed, _MARK_LINES, -1), lambda pages: F.when(F.size(pages) > least_marks, often(pages)).otherwise(none))
 
 
-def remove_headers(docs: DataFrame) -> DataFrame:
-    hit = repeated_headers(docs).groupBy("doc_id").agg(F.collect_set("line").alias("hit"))
-    gone = F.coalesce("hit", F.array().cast("array<string>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, F.btrim(x, F.lit(" \t\r"))))
-    return docs.join(hit, "doc_id", "left").select("doc_id", F.array_join(kept, "\n").alias("text"), F.array_sort(gone).alias("removed_headers_footers"))
+def without_headers(text: Column, composed: Column, headers: Column) -> Column:
+    """The lines of ``text`` whose composed, stripped form is none of ``headers``."""
+    sides = F.struct(F.split(text, "\n", -1).alias("own"), F.split(composed, "\n", -1).alias("composed"), headers.alias("gone"))
+    kept = lambda s: F.filter(s["own"], lambda x, i: ~F.array_contains(s["gone"], _strip(F.get(s["composed"], i))))
+    return F.when(F.size(headers) > 0, F.array_join(_let(sides, kept), "\n")).otherwise(text)
 
 
-def remove_duplicate_paragraphs(docs: DataFrame, least_chars: int = 20, separator: str = "\n\n") -> DataFrame:
-    """Keeps the first of equal paragraphs (white space folded) of at least ``least_chars`` characters."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", separator, -1)).alias("pos", "part"))
-    key = F.btrim(F.regexp_replace("part", r"[ \t\r\n]+", " "), F.lit(" "))
-    rank = F.row_number().over(W.partitionBy("doc_id", "key").orderBy("pos"))
-    kept = parts.withColumn("key", key).withColumn("n", rank).where((F.col("n") == 1) | (F.length("key") < least_chars))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), separator).alias("text"))
+def is_protected(paragraph: Column) -> Column:
+    """Blank, all page marks or all headings."""
+    lines = F.filter(F.split(paragraph, "\n", -1), lambda x: _strip(x) != "")
+    return _let(lines, lambda own: F.forall(own, is_page_mark) | F.forall(own, is_heading))
+
+
+def unique_paragraphs(text: Column, composed: Column, least_chars: int = 20, least_times: int = 2, separator: str = "\n\n") -> Column:
+    """struct(text, removed): the first of equal paragraphs stays, others of at least ``least_chars`` characters go.
+
+    Paragraphs are compared by their lines in NFC, stripped, white space folded
+    and blank ones left out. Protected paragraphs stay and never stand for
+    others, though they count among the ``least_times``. Sorted by key and place,
+    a paragraph is a repeat if its predecessor has its key.
+    """
+    folded = lambda line: F.regexp_replace(_strip(line), r"(?U)\s+", " ")
+    key = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n", -1), folded), lambda x: x != ""), "\n")
+    sides = F.struct(F.split(text, separator, -1).alias("own"), F.split(composed, separator, -1).alias("composed"))
+    keyed = _let(sides, lambda s: F.transform(s["own"], lambda p, i: F.struct(key(F.get(s["composed"], i)).alias("k"), is_protected(p).alias("g"), i.alias("i"), p.alias("p"))))
+
+    def parted(rows: Column) -> Column:
+        able = F.array_sort(F.filter(rows, lambda x: F.length(x["k"]) >= least_chars))
+        rest = F.filter(rows, lambda x: F.length(x["k"]) < least_chars)
+
+        def first(able: Column) -> Column:
+            same = lambda x, j: F.coalesce((F.get(able, j)["k"] == x["k"]) & ~F.get(able, j)["g"], F.lit(False))
+            enough = lambda x: F.size(F.filter(able, lambda y: y["k"] == x["k"])) >= least_times if least_times > 2 else F.lit(True)
+            return F.filter(able, lambda x, n: x["g"] | ~same(x, n - 1) | ~enough(x))
+
+        return F.array_sort(F.transform(F.concat(_let(able, first), rest), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"))))
+
+    kept = _let(F.struct(keyed.alias("rows"), text.alias("text")), lambda s: F.struct(parted(s["rows"]).alias("rows"), F.size(s["rows"]).alias("n"), s["text"].alias("text")))
+    joined = lambda s: F.array_join(F.transform(s["rows"], lambda x: x["p"]), separator)
+    squeezed = lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n") if separator == "\n\n" else t
+    gone = lambda s: s["n"] - F.size(s["rows"])
+    return _let(kept, lambda s: F.struct(F.when(gone(s) > 0, squeezed(joined(s))).otherwise(s["text"]).alias("text"), gone(s).alias("removed")))
 
 
 def remove_boilerplate_tail(text: Column, tail: int = 5) -> Column:
-    parts = F.split(text, "\n\n", -1)
-    n = F.size(parts)
-    kept = F.filter(parts, lambda p, i: ~((i >= n - tail) & is_boilerplate(p)))
-    return F.when((n < 2) | (F.size(kept) == n), text).otherwise(F.concat(F.regexp_replace(F.array_join(kept, "\n\n"), r"[ \t\r\n]+$", ""), F.lit("\n")))
-
-
-def clean_markdown(docs: DataFrame) -> DataFrame:
-    """All rules in their fixed order on (doc_id, text); counts of what fired are null otherwise."""
-    df = remove_headers(docs.select("doc_id", "text"))
-    for name in ("page_number", "toc", "closing", "short_noise", "decoration", "empty_block"):
-        if name == "toc":
-            df = df.withColumn("cut", remove_toc(F.col("text"))).withColumn("text", F.col("cut.text")).withColumn("toc", F.when(F.size("cut.toc") > 0, F.col("cut.toc"))).drop("cut")
-            continue
-        text, removed = drop_lines(F.col("text"), RULES[name])
-        df = df.withColumn(f"removed_{name}", removed).withColumn("text", text)
-    unique = remove_duplicate_paragraphs(df.select("doc_id", "text"))
-    df = df.drop("text").join(unique, "doc_id")
-    return df.withColumn("text", collapse(remove_boilerplate_tail(F.col("text"))))
+    return boilerplate_tail(text, tail)["text"]
+
+
+def boilerplate_tail(text: Column, tail: int = 5) -> Column:
+    """struct(text, removed) without legal paragraphs among the last ``tail`` of two or more."""
+
+    def cut(s: Column) -> Column:
+        parts = s["parts"]
+        kept = F.filter(parts, lambda p, i: ~((i >= F.size(parts) - tail) & is_boilerplate(p)))
+        return F.struct(kept.alias("kept"), F.when(F.size(parts) > 1, F.size(parts) - F.size(kept)).otherwise(0).alias("removed"), s["text"].alias("text"))
+
+    done = lambda s: F.struct(F.when(s["removed"] > 0, F.concat(F.rtrim(F.array_join(s["kept"], "\n\n"), F.lit(WHITE)), F.lit("\n"))).otherwise(s["text"]).alias("text"), s["removed"].alias("removed"))
+    return _let(_let(F.struct(F.split(text, "\n\n", -1).alias("parts"), text.alias("text")), cut), done)
+
+
+@dataclass(frozen=True)
+class CleanOptions:
+    """Toggles and thresholds of the cleaning pipeline."""
+
+    headers_footers: bool = True
+    page_numbers: bool = True
+    toc: bool = True
+    closing: bool = True
+    short_noise: bool = True
+    decoration: bool = True
+    empty_blocks: bool = True
+    duplicates: bool = True
+    boilerplate: bool = True
+    keep_toc: bool = True
+    header_threshold: float = 0.5
+    header_longest: int = 30
+    toc_least: int = 3
+    noise_least_cjk: int = 8
+    duplicate_least_chars: int = 20
+    duplicate_least_times: int = 2
+    tail_paragraphs: int = 5
+
+
+def clean_markdown(docs: DataFrame, options: CleanOptions = CleanOptions(), text_col: str = "text") -> DataFrame:
+    """All rules in their fixed order on ``text_col``, row by row. Every row and column stays; what fired is in
+    removed_* columns and toc, null otherwise. A null or blank text stays as it is."""
+    o, count = options, lambda n: F.when(n > 0, n)
+    live = _strip(F.col(text_col)) != ""
+    df = docs.withColumn("_text", F.when(live, F.col(text_col)))
+    if o.headers_footers:
+        df = with_nfc(df, "_text", "_nfc").withColumn("_hit", repeated_headers(F.col("_nfc"), o.header_threshold, o.header_longest))
+        df = df.withColumn("removed_headers_footers", F.when(F.size("_hit") > 0, F.col("_hit"))).withColumn("_text", without_headers(F.col("_text"), F.col("_nfc"), F.col("_hit"))).drop("_nfc", "_hit")
+
+    def lines(df: DataFrame, name: str, rule) -> DataFrame:
+        kept, removed = drop_lines(F.col("_text"), rule)
+        return df.withColumn(f"removed_{name}", removed).withColumn("_text", kept)
+
+    if o.page_numbers:
+        df = lines(df, "page_number", is_page_number)
+    if o.toc:
+        df = df.withColumn("_cut", remove_toc(F.col("_text"), o.toc_least)).withColumn("_text", F.col("_cut.text")).withColumn("removed_toc", count(F.size("_cut.toc")))
+        df = (df.withColumn("toc", F.when(F.size("_cut.toc") > 0, F.col("_cut.toc"))) if o.keep_toc else df).drop("_cut")
+    if o.closing:
+        df = lines(df, "closing", is_closing)
+    if o.short_noise:
+        df = lines(df, "short_noise", lambda x: is_short_noise(x, o.noise_least_cjk))
+    if o.decoration:
+        df = lines(df, "decoration", is_decoration)
+    if o.empty_blocks:
+        df = lines(df, "empty_block", is_empty_block).withColumn("_text", F.regexp_replace("_text", r"\n{3,}", "\n\n"))
+    if o.duplicates:
+        df = with_nfc(df, "_text", "_nfc").withColumn("_cut", unique_paragraphs(F.col("_text"), F.col("_nfc"), o.duplicate_least_chars, o.duplicate_least_times))
+        df = df.withColumn("removed_duplicate", count(F.col("_cut.removed"))).withColumn("_text", F.col("_cut.text")).drop("_nfc", "_cut")
+    if o.boilerplate:
+        df = df.withColumn("_cut", boilerplate_tail(F.col("_text"), o.tail_paragraphs)).withColumn("removed_boilerplate", count(F.col("_cut.removed"))).withColumn("_text", F.col("_cut.text")).drop("_cut")
+    return df.withColumn(text_col, F.coalesce(collapse(F.col("_text")), F.col(text_col))).drop("_text")
+
+
+# Finalisation, text by text: fixed patterns of zero-width characters, tags and pipeline noise.
+ZERO_WIDTH = "[\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]"
+HTML_TAG = r"</?[a-zA-Z][\w:-]*(?:\s[^>]*)?>"
+PIPELINE_NOISE = ((r"[ \t]+", " "), (r"\n{4,}", "\n\n\n"), ("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]", ""), (r"[^\S\n]{2,}", " "))
+ORPHAN_BULLET = r"^\s*[-*]\s*$"
+
+
+def finalized(text: str | None, html_to_markdown=None) -> str:
+    """Line ends, zero-width characters, NFC and blank runs settled; HTML (with a converter) and pipe tables as text.
+
+    What a converter makes counts only if it is at least 20 characters and a quarter of the text.
+    """
+    if not (text or "").strip():
+        return ""
+    own = re.sub(ZERO_WIDTH, "", text.replace("\r\n", "\n").replace("\r", "\n"))
+    own = re.sub(r"\n{3,}", "\n\n", "\n".join(unicodedata.normalize("NFC", x.rstrip()) for x in own.split("\n"))).strip()
+    if html_to_markdown and re.search(HTML_TAG, own):
+        made = html_to_markdown(own).strip()
+        own = made if len(made) >= max(20, len(own) // 4) else own
+    return re.sub(r"\n{3,}", "\n\n", tables_to_records(own)).strip()
+
+
+def cleaned_for_pipeline(text: str | None) -> str:
+    """Blank runs, invisible characters and orphan bullets out, then finalised without HTML."""
+    own = text or ""
+    for pattern, by in PIPELINE_NOISE:
+        own = re.sub(pattern, by, own)
+    return finalized("\n".join(x for x in own.split("\n") if not re.match(ORPHAN_BULLET, x)).strip())
+
+
+def text_udf(f):
+    """A column function of a text function, in Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(f), StringType())
+
+
+def finalize_for_kb(text: Column, html: bool = True) -> Column:
+    from skeinmill.sources.readers import html_to_markdown
+
+    run = html_to_markdown if html else None
+    return text_udf(lambda t: finalized(t, run))(text)
+
+
+def clean_for_pipeline(text: Column) -> Column:
+    return text_udf(cleaned_for_pipeline)(text)
 
 
 #: Freshly written lines for rules whose inputs the driver's tables lack.
 LINES = [
     "第 3 页", "4 / 9", "Page 2 of 7", "- 5 -", "p. 8", "## Page 1", "共 12 项内容", "12345", "pp. 3-9", "Thanks!", "**Thanks!**", "## 谢谢", "Q & A", "谢谢大家的聆听",
     "感谢各位同事在过去一年里对这个项目的辛勤付出与坚持", "The end.", "Fin", "completely finished", "内部资料请注意", "内部资料请注意保管", "标题：内容", "- 列表项", "---", "═══", "░░", "text ---",
-    "##", "- ", "3.", "+ -", "3. item", "版权所有 2024", "Copyright (c) 2020", "plain text", "", "* * *", "·····", "页码 7",
+    "##", "- ", "3.", "+ -", "3. item", "版权所有 2024", "Copyright (c) 2020", "plain text", "", "* * *", "·····", "页码 7", "　第 3 页　", "　 - 7 -",
 ]
 
 
@@ -193,7 +374,7 @@ def _sql_any(col: str, patterns) -> str:
 
 
 _ALL = f"l AS (SELECT line FROM (VALUES {_values()}) v(pos, line) UNION ALL SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
-_T = "trim(line, ' ' || chr(9) || chr(13))"
+_T = "trim(line, ' ' || chr(9) || chr(13) || chr(12288) || chr(160))"
 
 
 def _rule_sql(where: str) -> str:
@@ -201,8 +382,8 @@ def _rule_sql(where: str) -> str:
 
 
 def clean_duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_duplicate_paragraphs(docs, 20, "\n").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    docs = with_nfc(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "composed")
+    return docs.select("doc_id", F.md5(unique_paragraphs(F.col("text"), F.col("composed"), 20, 2, "\n")["text"].cast("binary")).alias("text_md5"))
 
 
 def finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,12 +405,61 @@ HEADER_DOCS = [
 
 def clean_header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.createDataFrame(HEADER_DOCS, "doc_id string, text string")
-    return remove_headers(docs).select("doc_id", "text", F.array_join("removed_headers_footers", "|").alias("removed"))
+    hit = with_nfc(docs, "text", "composed").withColumn("hit", repeated_headers(F.col("composed")))
+    return hit.select("doc_id", without_headers(F.col("text"), F.col("composed"), F.col("hit")).alias("text"), F.array_join("hit", "|").alias("removed"))
+
+
+_PARAGRAPH = "a paragraph of more than twenty characters"
+_LINES9 = "这是一个足够长的中文行啊"
+#: Documents for rules that the driver's tables have no lines for: (id, text, cleaned text, rules that fired).
+CLEAN_DOCS: list[tuple[str | None, str | None, str | None, str]] = [
+    ("null", None, None, ""), (None, "kept without an id", "kept without an id", ""), ("twice", "one text", "one text", ""), ("twice", "another text", "another text", ""), ("blank", " \n ", " \n ", ""),
+    ("hf", HEADER_DOCS[0][1], "Report\n<!-- page: 1 -->\nalpha\n<!-- page: 2 -->\nbeta\n<!-- page: 3 -->\ngamma", "headers_footers"),
+    ("nfc", "x1\n## Page 1\ncafe\u0301\na\n## Page 2\ncaf\u00e9 \nb\n## Page 3\n\u3000caf\u00e9\nc", "x1\n## Page 1\na\n## Page 2\nb\n## Page 3\nc", "headers_footers"),
+    ("hash", "x1\n## Page 1\n#tag\n# Head\n## Page 2\n#tag\n# Head\n## Page 3\n#tag\n# Head", "x1\n## Page 1\n# Head\n## Page 2\n# Head\n## Page 3\n# Head", "headers_footers"),
+    ("pn", "a1\n\u3000第 3 页\u3000\n4 / 9\n## Page 1\n共 12 项内容要点说明", "a1\n## Page 1\n共 12 项内容要点说明", "page_number"),
+    ("close", "a1\n**Thanks!**\n## 谢谢\nQ & A\nthanks for a long and winding evening", "a1\nthanks for a long and winding evening", "closing"),
+    ("noise", "a1\n内部资料请注意\n内部资料请注意保\n标题：内容", "a1\n内部资料请注意保\n标题：内容", "short_noise"),
+    ("deco", "a1\n---\n═══\n░░\ntext ---", "a1\ntext ---", "decoration"), ("empty", "a1\n##\n- \n3.\n+ -\nb1", "a1\nb1", "empty_block"),
+    ("dup", f"{_PARAGRAPH}\n\nshort one here\n\n {_PARAGRAPH}\n\nshort one here\n\n{_PARAGRAPH.replace(' ', '  ')}", f"{_PARAGRAPH}\n\nshort one here\n\nshort one here", "duplicate"),
+    ("dupnfc", "re\u0301sume\u0301 of more than twenty\n\nr\u00e9sum\u00e9 of more than twenty", "re\u0301sume\u0301 of more than twenty", "duplicate"),
+    ("guarded", "## A heading that is long enough\n\nb1\n\n## A heading that is long enough\n\nb2", "## A heading that is long enough\n\nb1\n\n## A heading that is long enough\n\nb2", ""),
+    ("toc", "# T\n\n## Contents\n- a1\n- b1\n- c1\nbody", "# T\n\nbody", "toc"),
+    ("legal", "a1\n\nb1\n\nCopyright 2020 somebody", "a1\n\nb1", "boilerplate"), ("far", "Copyright 2020 x1\n\na1\n\nb1\n\nc1\n\nd1\n\ne1", "Copyright 2020 x1\n\na1\n\nb1\n\nc1\n\nd1\n\ne1", ""),
+]
+FIRED = ("headers_footers", "page_number", "toc", "closing", "short_noise", "decoration", "empty_block", "duplicate", "boilerplate")
 
 
 def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return clean_markdown(docs.unionByName(spark.createDataFrame(HEADER_DOCS, "doc_id string, text string")))
+    """The documents of every rule; the tables' own are cleaned by ``clean_documents``."""
+    docs = spark.createDataFrame([d[:2] for d in CLEAN_DOCS], "doc_id string, text string")
+    fired = F.concat_ws(" ", *[F.when(F.col(f"removed_{name}").isNotNull(), name) for name in FIRED])
+    return clean_markdown(docs).select("doc_id", "text", fired.alias("fired"))
+
+
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markdown(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+FINAL_TEXTS = [
+    ("crlf", "a \r\nb\rc\u200b\n\n\n\nd\t", "a\nb\nc\n\nd"), ("nfc", "e\u0301", "\u00e9"), ("blank", " \n", ""), ("null", None, ""),
+    ("table", "x\n| k | v |\n|---|:-:|\n| 1 | 2 |\n| 3 |\ny", "x\nk：1 v：2\nk：3\ny"), ("head", "x\n| k |\n|---|\ny", "x\ny"), ("bars", "| a | b |\n| c | d |", "| a | b |\n| c | d |"),
+    ("html", "<h1>A title of a page</h1><p>text <b>bold</b></p><ul><li>one</li></ul>", "# A title of a page\n\ntext **bold**\n\n- one"),
+    ("tag", "a<br>b", "a<br>b"),
+]
+
+
+def finalize_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([d[:2] for d in FINAL_TEXTS], "doc_id string, text string")
+    return docs.select("doc_id", finalize_for_kb(F.col("text")).alias("text"))
+
+
+PIPELINE_TEXTS = [("spaces", "a \t b\n\n\n\n\nc", "a b\n\nc"), ("bullet", "a\n - \n*\nb", "a\nb"), ("null", None, ""), ("zero", "\ufeffa\u2060b", "ab")]
+
+
+def pipeline_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([d[:2] for d in PIPELINE_TEXTS], "doc_id string, text string")
+    return docs.select("doc_id", clean_for_pipeline(F.col("text")).alias("text"))
 
 
 _HV = ", ".join("('{}', '{}')".format(d, t.replace("\n", "' || chr(10) || '")) for d, t in HEADER_DOCS)
@@ -248,9 +478,12 @@ QUERIES = {
     "finalize_whitespace": (finalize, r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[​‌‍﻿]', '', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))) AS text_md5 FROM documents"),
     "clean_header_footer": (clean_header_footer, f"""WITH d(doc_id, text) AS (VALUES {_HV}), l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
         p AS (SELECT *, sum(m) OVER (PARTITION BY doc_id ORDER BY pos) AS page, sum(m) OVER (PARTITION BY doc_id) AS marks FROM (SELECT *, regexp_matches(line, '{PAGE_MARK}')::INT AS m FROM l)),
-        h AS (SELECT doc_id, {_T} AS line FROM p WHERE marks >= 3 AND {_T} <> '' AND length({_T}) <= 30 AND m = 0 AND NOT starts_with({_T}, '#') AND NOT regexp_matches({_T}, '{DECORATION}')
+        h AS (SELECT doc_id, {_T} AS line FROM p WHERE marks >= 3 AND {_T} <> '' AND length({_T}) <= 30 AND m = 0 AND NOT regexp_matches({_T}, '{HEADING}') AND NOT regexp_matches({_T}, '{DECORATION}')
           GROUP BY ALL HAVING count(DISTINCT page) >= greatest(2, round_even(0.5 * (max(marks) + 1), 0)))
         SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, coalesce((SELECT string_agg(line, '|' ORDER BY line) FROM h WHERE h.doc_id = l.doc_id), '') AS removed
         FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.line = trim(l.line, ' ' || chr(9) || chr(13))) GROUP BY doc_id"""),
-    "clean_pipeline": (clean_pipeline, None),
+    "clean_pipeline": (clean_pipeline, values_sql(("doc_id", "text", "fired"), [(d, t, f) for d, _, t, f in CLEAN_DOCS])),
+    "clean_documents": (clean_documents, None),
+    "finalize_for_kb": (finalize_kb, values_sql(("doc_id", "text"), [(d, t) for d, _, t in FINAL_TEXTS])),
+    "clean_for_pipeline": (pipeline_clean, values_sql(("doc_id", "text"), [(d, t) for d, _, t in PIPELINE_TEXTS])),
 }

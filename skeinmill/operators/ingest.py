@@ -227,11 +227,6 @@ def is_public_url(url: Column) -> Column:
     return F.coalesce((host != "") & ~host.contains("@") & ~private, F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML-unescape to a fixpoint, three times at most."""

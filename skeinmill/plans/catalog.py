@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinmill.operators import answers, business, cleaning, ingest, neardup, retrieval, sessions
+from skeinmill.operators import answers, business, cleaning, ingest, neardup, retrieval, sessions, structure
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers)
+_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
