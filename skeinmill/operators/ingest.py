@@ -162,16 +162,6 @@ def dedup_chunks(chunks: DataFrame) -> DataFrame:
     return first.withColumn("chunk_index", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index")) - 1).drop("n")
 
 
-def drop_contained(chunks: DataFrame, least: int = 30) -> DataFrame:
-    """Drops short or heading-only chunks that a later chunk of the document contains or is titled with."""
-    weak = (F.length("text") < least) | F.col("text").rlike(r"^\s*#{1,6}\s+[^\n]*\s*$")
-    title = F.btrim(F.regexp_replace("text", r"^\s*#{1,6}\s+", ""), F.lit(" \n"))
-    a = chunks.where(weak).select(F.col("doc_id").alias("d"), F.col("chunk_index").alias("i"), title.alias("t"))
-    b = chunks.select(F.col("doc_id").alias("d"), F.col("chunk_index").alias("j"), F.col("text").alias("u"))
-    hit = a.join(b, "d").where((F.col("j") > F.col("i")) & (F.length("u") > F.length("t")) & F.col("u").contains(F.col("t"))).select("d", "i").distinct()
-    return chunks.join(hit, (F.col("doc_id") == F.col("d")) & (F.col("chunk_index") == F.col("i")), "left_anti")
-
-
 def best_record(log: DataFrame) -> DataFrame:
     """Current record of each key: the last etag's epoch, and in it the highest stage, later ones on ties."""
     own = W.partitionBy("key").orderBy("pos")
@@ -285,10 +275,6 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_chunks(_line_chunks(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "hash")
 
 
-def dedup_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_contained(_line_chunks(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("chunks"))
-
-
 def line_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_chunks(spark, sf_dir).groupBy(F.md5(F.col("text").cast("binary")).alias("line_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
@@ -353,16 +339,22 @@ QUERIES = {
         'markdown/' || regexp_replace(substr(key, 5), '\\.[^./]*$', '') || '.md' AS markdown_key, 'chunks/' || regexp_replace(substr(key, 5), '\\.[^./]*$', '') || '.json' AS chunk_key FROM k"""),
     "payload_point_id": (payload_point_id, f"""WITH h AS (SELECT doc_id, sha1(from_hex('{NAMESPACE}') || encode(md5(text) || '_0')) AS h FROM documents)
         SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ((strpos('0123456789abcdef', h[17]) - 1) % 4 + 1)::BIGINT, 1) || h[18:20] || '-' || h[21:32] AS id FROM h"""),
-    "doc_type_classify": (doc_types, None),
-    "chunk_paragraph": (_chunks("text"), None),
+    "doc_type_classify": (doc_types, rf"""WITH d AS (SELECT doc_id::VARCHAR AS doc_id, text, '' AS ext FROM documents UNION ALL SELECT * FROM (VALUES ('p', '## Slide 1' || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) || '## Slide 2', ''),
+        ('x', '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |', 'md'), ('s', 'SOP-IN-001 and SOP OUT 002', ''), ('b', '一、x' || chr(10) || '二、y', ''), ('e', 'any', 'xlsx')) v),
+        k AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines, len(regexp_extract_all(text, '(?m)^## Slide \d+')) AS slides, len(string_split(text, chr(10) || '---' || chr(10))) - 1 AS rules,
+          len(regexp_extract_all(text, '(?m)^\|[\s\-:]+\|[\s\-:]+\|')) AS seps, 3 * len(regexp_extract_all(text, '{SOP_CODE}')) + 2 * len(regexp_extract_all(text, '{SOP_STEP}')) + 2 * len(regexp_extract_all(text, '{SOP_WORD}'))
+          + len(regexp_extract_all(text, '(?s)```\w*\n.*?```')) AS sop, len(regexp_extract_all(text, '(?m)^[一二三四五六七八九十]+[、.．]')) + len(regexp_extract_all(text, '(?m)^\d+\.\d+\s')) AS titles FROM d)
+        SELECT doc_id, CASE WHEN ext IN ('ppt', 'pptx') THEN 'ppt' WHEN ext IN ('xls', 'xlsx', 'csv') THEN 'excel' WHEN slides >= 2 AND rules >= slides - 1 THEN 'ppt'
+          WHEN len(list_filter(lines, lambda x: regexp_matches(x, '^\|.*\|.*\|$'))) / greatest(1, len(lines)) > 0.4 AND seps >= 1 THEN 'excel' WHEN sop >= 4 THEN 'sop_report' WHEN titles >= 2 THEN 'structured_biz' ELSE 'general' END AS doc_type FROM k"""),
+    "chunk_paragraph": (_chunks("text"), """WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS ps FROM documents),
+        r AS (SELECT doc_id, ps, 1 AS i, 0 AS c, length(ps[1]) AS used FROM p WHERE len(ps) > 0
+          UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN used + length(ps[i + 1]) > 512 THEN c + 1 ELSE c END, CASE WHEN used + length(ps[i + 1]) > 512 THEN length(ps[i + 1]) ELSE used + length(ps[i + 1]) END FROM r WHERE i < len(ps))
+        SELECT doc_id, c::INT AS chunk_index, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS text, length(string_agg(ps[i], chr(10) || chr(10) ORDER BY i))::INT AS token_count FROM r GROUP BY doc_id, c"""),
     "chunk_recursive": (_chunks("recursive"), None),
     "chunk_semantic": (_chunks("semantic"), None),
     "chunk_markdown": (_chunks("markdown_structure"), None),
     "chunk_size_stats": (chunk_size_stats, f"WITH {_L} SELECT doc_id, count(*) AS chunks, max(length(text)) AS longest, round(avg(length(text)), 6) AS mean FROM l WHERE trim(text) <> '' GROUP BY 1"),
     "dedup_exact": (dedup_exact, f"WITH {_L}, h AS (SELECT doc_id, i, sha256({_NORM}) AS hash FROM l), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, hash ORDER BY i) = 1) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, hash FROM f"),
-    "dedup_short_contained": (dedup_contained, rf"""WITH {_L}, a AS (SELECT doc_id, i, trim(regexp_replace(text, '^\s*#{{1,6}}\s+', ''), ' ' || chr(10)) AS t FROM l WHERE length(text) < 30 OR regexp_matches(text, '^\s*#{{1,6}}\s+[^\n]*\s*$')),
-        hit AS (SELECT DISTINCT a.doc_id, a.i FROM a JOIN l ON a.doc_id = l.doc_id AND l.i > a.i AND length(l.text) > length(a.t) AND contains(l.text, a.t))
-        SELECT doc_id, count(*) AS chunks FROM l ANTI JOIN hit USING (doc_id, i) GROUP BY 1"""),
     "line_hash_dedupe": (line_hash_dedupe, f"WITH {_L} SELECT md5(text) AS line_md5, min(doc_id) AS doc_id, count(*) AS n FROM l GROUP BY 1"),
     "ingest_resume_plan": (ingest_resume_plan, f"""WITH g AS (SELECT *, CASE WHEN etag IS NOT DISTINCT FROM lag(etag) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM (VALUES {_LOG}) v(pos, key, etag, stage) WINDOW w AS (PARTITION BY key ORDER BY pos)),
         e AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY pos) AS epoch FROM g),

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinmill.operators import answers, business, cleaning, ingest, neardup, retrieval, sessions, structure
+from skeinmill.operators import answers, assistant, business, chunkdedup, cleaning, ingest, neardup, retrieval, sessions, structure
+from skeinmill.sources import objects
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure)
+_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure, chunkdedup, assistant, objects)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
