@@ -33,9 +33,14 @@ def payload(chunks: DataFrame, tenant: str = "") -> DataFrame:
     )
 
 
-def upsert(points: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """Points with those of ``incoming`` in place of equal keys; ids of a document that shrank stay, as in a keyed store."""
-    return points.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming.dropDuplicates([key]), allowMissingColumns=True)
+def upsert(points: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Points with those of ``incoming`` in place of equal keys; ids of a document that shrank stay, as in a keyed store.
+
+    Of incoming rows with one key the last by ``order`` counts, the largest row on ties and without an order.
+    """
+    row = F.struct(*incoming.columns)
+    last = incoming.groupBy(key).agg(F.max(F.struct(*([F.col(order).alias("o")] if order else []), row.alias("r"))).alias("m")).select("m.r.*")
+    return points.join(incoming.select(key).distinct(), key, "left_anti").unionByName(last.select(incoming.columns), allowMissingColumns=True)
 
 
 def soft_delete(points: DataFrame, doomed: DataFrame, key: str = "doc_uuid") -> DataFrame:

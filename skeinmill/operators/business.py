@@ -50,7 +50,7 @@ def inventory(lineitem: DataFrame) -> DataFrame:
 
 def inventory_lookup(lineitem: DataFrame, sku: int, warehouse: int | None = None) -> DataFrame:
     rows = lineitem.where(F.col("l_partkey") == sku)
-    return inventory(rows if warehouse is None else rows.where(F.col("l_suppkey") == warehouse)).limit(MAX_ROWS)
+    return inventory(rows if warehouse is None else rows.where(F.col("l_suppkey") == warehouse)).orderBy("sku", "warehouse_code").limit(MAX_ROWS)
 
 
 def inventory_batch(lineitem: DataFrame, skus: list[int], warehouse: int | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Near-duplicate groups of documents by word pairs: MinHash bands, one centre a bucket, then blocks.
+"""Near-duplicate groups of documents by token pairs: MinHash bands, one centre a bucket, then blocks.
 
 Equal sets of word pairs are one class and only its smallest id goes on. Each
 bucket's members are compared with one centre; what those links leave apart in a
 bucket is cut into blocks of bounded size, and pairs of blocks are compared
-inside their row, so only links come out, never all pairs of a group.
+inside their row, so only links come out, never all pairs of a group. A text is
+known by its id and a digest of its set, so an id with several texts is compared
+with each of them.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def _band_keys(bands: int, rows: int):
                     h *= odd[-1 - i]
                     keys[:, i // rows] = (keys[:, i // rows] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(h, starts)
                 offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "d1", "keys"])
                 first = last
 
     return run
@@ -56,8 +58,8 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 def _block_links(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score) of linked members of different components in one bucket, block against block."""
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)).cast("int")
-    packed = apart.select("band", "key", block.alias("block"), "doc_id", "component").join(feats.select("doc_id", "f"), "doc_id")
+    block = F.pmod(F.xxhash64("doc_id", "d1"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    packed = apart.select("band", "key", block.alias("block"), "doc_id", "d1", "component").join(feats.select("doc_id", "d1", "f"), ["doc_id", "d1"])
     packed = settle(packed.groupBy("band", "key", "block").agg(F.collect_list(F.struct("doc_id", "component", "f")).alias("m")), "neardup-blocks")
     left, right = (packed.select("band", "key", F.col("block").alias(f"k{s}"), F.col("m").alias(f"m{s}")) for s in "ab")
     both = left.join(right, ["band", "key"]).where("ka <= kb")
@@ -73,31 +75,34 @@ def _block_links(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFr
     return both.select(F.explode(hits).alias("h")).select("h.*").distinct()
 
 
-def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows: int = 3) -> DataFrame:
+def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows: int = 3, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, score), a > b: links that connect all documents whose sets of token pairs have at least this Jaccard similarity.
 
-    Members of a class of equal sets link with its smallest id (score 1). At the
+    Tokens of one character are left out, and a text of one token has that token
+    for a pair. Members of a class of equal sets link with its smallest id (score 1). At the
     default threshold a link has no common bucket with probability 2e-7. Texts
-    of fewer than two tokens, null texts and null ids link with nothing; an
+    without tokens, null texts and null ids link with nothing; an
     empty table gives an empty result.
     """
     pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.xxhash64(a, b))
-    whole = docs.where("doc_id IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
-    feats = whole.select("doc_id", F.array_sort(F.array_distinct(pairs)).alias("f"))
+    words = F.filter(tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(*stopwords) if stopwords else F.length(x) > 1)
+    whole = docs.where("doc_id IS NOT NULL").select("doc_id", words.alias("t")).where(F.size("t") > 0)
+    own_pairs = F.when(F.size("t") > 1, pairs).otherwise(F.transform("t", lambda x: F.xxhash64(x)))
+    feats = whole.select("doc_id", F.array_sort(F.array_distinct(own_pairs)).alias("f"))
     feats = settle(feats.select("doc_id", "f", F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")), "neardup-sets")
     classes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     copies = feats.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
-    own = feats.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "f")
-    slots = own.mapInArrow(_band_keys(bands, rows), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("band", "key"))
+    own = feats.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1"]).select("doc_id", "f", "d1")
+    slots = own.mapInArrow(_band_keys(bands, rows), "doc_id long, d1 long, keys array<long>").select("doc_id", "d1", F.posexplode("keys").alias("band", "key"))
     slots = settle(slots, "neardup-slots")
-    centre = slots.groupBy("band", "key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").drop("top")
+    centre = slots.groupBy("band", "key").agg(F.min(F.struct("doc_id", "d1")).alias("c"), F.max("doc_id").alias("top")).where("c.doc_id < top").select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.d1").alias("d1b"))
     shared = settle(slots.join(centre, ["band", "key"]), "neardup-buckets")
-    cand = shared.where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
-    side = lambda s: own.select(F.col("doc_id").alias(s), F.col("f").alias(f"f{s}"))
-    stars = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", _jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= threshold)
+    cand = shared.where("doc_id > b").select(F.col("doc_id").alias("a"), F.col("d1").alias("d1a"), "b", "d1b").distinct()
+    side = lambda s: own.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("f").alias(f"f{s}"))
+    stars = cand.join(side("a"), ["a", "d1a"]).join(side("b"), ["b", "d1b"]).select("a", "b", _jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= threshold)
     stars = settle(stars, "neardup-stars")
     merged = connected_components(stars, "a", "b")
-    labelled = settle(shared.join(merged, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "neardup-labelled")
+    labelled = settle(shared.join(merged, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", "d1", F.coalesce("component", "doc_id").alias("component")), "neardup-labelled")
     left_open = labelled.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", "members")
     more = _block_links(labelled.join(left_open, ["band", "key"]), own, threshold)
     return copies.unionByName(stars).unionByName(more).withColumn("score", F.round("score", 3))

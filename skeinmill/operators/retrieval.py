@@ -5,6 +5,7 @@ The query set is bounded (a batch of questions); documents are scanned once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinmill.runtime import table
+from skeinmill.operators.structure import values_sql
+from skeinmill.runtime import settle, table
 
 PREFETCH = 20
+MOST_QUERIES = 100_000
 RRF_K = 2
 
 
@@ -33,20 +36,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
+def term_postings(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """doc_id, term, tf, dl of the queries' terms, written once, and a row with the empty term for every document.
+
+    The documents are read and cut into tokens once; everything that scoring
+    needs, the number of documents and their lengths too, comes from this table.
+    """
+    wanted = query_terms(queries).select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    none = F.array().cast("array<string>")
+    each = cut.select("doc_id", F.size("t").alias("dl"), F.explode_outer(F.concat(F.coalesce("t", none), F.array(F.lit("")))).alias("term"))
+    return settle(each.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+
+
+def bm25_of(post: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score from ``term_postings``."""
+    lengths = post.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")).collect()[0]
+    if not lengths["avgdl"]:
+        return post.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    own = post.where("term <> ''")
+    idf = F.log(1 + (lengths["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = own.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / lengths["avgdl"]))
+    asked = query_terms(queries).join(rated, "term")
+    return own.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score of every document that shares a term with a query.
 
     Only the postings of the queries' terms are made; document frequencies and
     lengths count all documents.
     """
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).collect()[0]
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    post = postings(docs).join(wanted, "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (lengths["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / lengths["avgdl"]))
-    return post.join(df, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return bm25_of(term_postings(docs, queries), queries, k1, b)
 
 
 def _scorer(q: np.ndarray, q_ids: np.ndarray, k: int):
@@ -65,15 +87,71 @@ def _scorer(q: np.ndarray, q_ids: np.ndarray, k: int):
     return score
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose embedding is not null, finite throughout and not zero, as doubles."""
+    own = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return own.where(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0.0))
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score: each task's k rows of largest cosine for each vector of the bounded query set."""
-    asked = queries.collect()
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    q = np.array([r.embedding for r in asked], dtype=np.float64)
-    q /= np.sqrt((q * q).sum(axis=1))[:, None]
-    usable = vectors.where("embedding IS NOT NULL").select("doc_id", F.col("embedding").cast("array<double>"))
-    return usable.mapInArrow(_scorer(q, np.array([r.query_id for r in asked], np.int64), k), "query_id long, doc_id long, score double")
+    """query_id, doc_id, score: each task's k rows of largest cosine for each vector of a query set of at most ``MOST_QUERIES``.
+
+    Vectors that are null, zero or not finite take no part, and a query is compared with vectors of its own length.
+    """
+    asked = _usable(queries).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"a query set may hold {MOST_QUERIES} vectors")
+    found = vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    usable = _usable(vectors).select("doc_id", "embedding")
+    for d in sorted({len(r.embedding) for r in asked}):
+        own = [r for r in asked if len(r.embedding) == d]
+        q = np.array([r.embedding for r in own], dtype=np.float64)
+        q /= np.sqrt((q * q).sum(axis=1))[:, None]
+        scored = usable.where(F.size("embedding") == d).mapInArrow(_scorer(q, np.array([r.query_id for r in own], np.int64), k), "query_id long, doc_id long, score double")
+        found = found.unionByName(scored)
+    return found
+
+
+def base_filter(tenant: str | None = None, include_deleted: bool = False) -> Column:
+    """Rows of a tenant that are not marked deleted; a missing mark keeps."""
+    own = F.lit(True) if tenant is None else F.coalesce(F.col("tenant_id") == tenant, F.lit(False))
+    return own if include_deleted else own & ~F.coalesce("is_deleted", F.lit(False))
+
+
+def metadata_filter(doc_uuid: str | None = None, doc_type: str | None = None, filename: str | None = None, tags: tuple[str, ...] = ()) -> Column:
+    """All of the equalities that are asked for, and every tag present."""
+    wanted = F.lit(True)
+    for name, value in (("doc_uuid", doc_uuid), ("doc_type", doc_type), ("filename", filename)):
+        wanted = wanted if value is None else wanted & (F.col(name) == value)
+    for tag in tags:
+        wanted = wanted & F.array_contains("tags", tag)
+    return F.coalesce(wanted, F.lit(False))
+
+
+def scroll_by_doc(points: DataFrame, page_size: int = 256) -> DataFrame:
+    """``points`` with the page that each lies on when its document is read by chunk_index."""
+    order = W.partitionBy("doc_uuid").orderBy("chunk_index", "id")
+    return points.withColumn("page", F.floor((F.row_number().over(order) - 1) / page_size).cast("int"))
+
+
+def validate_request(collection: str, query: str, top_k: int, candidates: int, collections: tuple[str, ...]) -> None:
+    if collection not in collections:
+        raise ValueError(f"unknown collection: {collection}")
+    if not query.strip():
+        raise ValueError("the query is blank")
+    if not 1 <= top_k <= 100 or not 1 <= candidates <= 200:
+        raise ValueError("top_k lies in 1..100 and candidates in 1..200")
+
+
+def encode_query(query: str, embedder) -> tuple[list[float], list[str]]:
+    """Dense vector and sparse terms of a question that is not blank."""
+    if not query.strip():
+        raise ValueError("the query is blank")
+    vector = embedder.embed([query])[0]
+    if len(vector) != embedder.dim:
+        raise ValueError(f"expected {embedder.dim} numbers, got {len(vector)}")
+    return vector, re.findall(r"[^\W_]+", query.lower())
 
 
 def ranked(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
@@ -107,7 +185,7 @@ def _inputs(spark: SparkSession, sf_dir: str):
     deleted = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.join(F.broadcast(queries.select("query_id")), F.col("doc_id") == F.col("query_id")).select("query_id", "embedding")
+    asked = vectors.join(queries.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "embedding")
     return docs, deleted, queries, vectors, asked
 
 
@@ -143,12 +221,11 @@ def dense_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rerank stage with a deterministic scorer: the share of a question's distinct terms that a hit holds; the recall score stays beside it."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    hits = ranked(bm25_scores(docs.select("doc_id", "text"), queries), 50).select("query_id", "doc_id", F.col("rank").alias("recall_rank"))
-    question = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    body = docs.select("doc_id", tokens(F.col("text")).alias("d"))
-    scored = hits.join(question, "query_id").join(body, "doc_id").select(
-        "query_id", "doc_id", "recall_rank", (F.size(F.array_intersect("q", "d")) / F.size("q")).alias("score")
-    )
+    post = term_postings(docs.select("doc_id", "text"), queries)
+    hits = ranked(bm25_of(post, queries), 50).select("query_id", "doc_id", F.col("rank").alias("recall_rank"))
+    terms = query_terms(queries)
+    held = hits.join(terms, "query_id").join(post.select("doc_id", "term").distinct().withColumn("held", F.lit(1)), ["doc_id", "term"], "left")
+    scored = held.groupBy("query_id", "doc_id", "recall_rank").agg((F.count("held") / F.count("*")).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "recall_rank")
     return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where("rank < 10").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -178,6 +255,30 @@ def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("b")).select("query_id", F.md5(F.array_join("b.b", "\n\n").cast("binary")).alias("context_md5"))
 
 
+_POINTS = [
+    ("d", 0, "p0", "pdf", "a.pdf", ["x", "y"], None, "t1"), ("d", 1, "p1", "pdf", "a.pdf", ["x"], False, "t1"), ("d", 2, "p2", "pdf", "a.pdf", ["y", "x", "z"], True, "t1"),
+    ("e", 0, "p3", "md", "b.md", None, None, "t1"), ("e", 1, "p4", "pdf", "a.pdf", ["y", "x"], None, "t2"), ("e", 2, "p5", "pdf", None, ["x", "y"], None, None),
+]
+
+
+def _sample_points(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_POINTS, "doc_uuid string, chunk_index int, id string, doc_type string, filename string, tags array<string>, is_deleted boolean, tenant_id string")
+
+
+def metadata_filter_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filter over sample points: one row a filter and point that passes."""
+    asked = {
+        "base": base_filter("t1"), "deleted": base_filter("t1", include_deleted=True), "any": base_filter(), "tags": base_filter() & metadata_filter(tags=("x", "y")),
+        "all": base_filter("t1") & metadata_filter("d", "pdf", "a.pdf", ("x",)), "file": metadata_filter(filename="a.pdf"),
+    }
+    rows = _sample_points(spark).select("id", F.explode(F.array(*[F.when(c, n) for n, c in asked.items()])).alias("filter"))
+    return rows.where("filter IS NOT NULL")
+
+
+def scroll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scroll_by_doc(_sample_points(spark), 2).select("id", "page")
+
+
 _TOK = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: true)"
 _BM25 = f"""
 tok AS (SELECT doc_id, {_TOK} AS t FROM corpus), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
@@ -215,6 +316,8 @@ QUERIES = {
         SELECT query_id, doc_id, source, rank FROM {_rank("c", 10)}"""),
     "multi_collection_merge": (multi_collection_merge, f"""WITH corpus AS (SELECT doc_id, text FROM documents), {_BM25}, s AS (SELECT bm.*, source AS collection FROM bm JOIN documents USING (doc_id)),
         o AS (SELECT * EXCLUDE (rank) FROM {_rank("s", 10, part="query_id, collection")}) SELECT query_id, doc_id, collection, rank FROM {_rank("o", 10)}"""),
+    "metadata_filter_tags": (metadata_filter_tags, values_sql(("filter", "id"), [(f, i) for f, ids in {"base": "013", "deleted": "0123", "any": "01345", "tags": "045", "all": "01", "file": "0124"}.items() for i in (f"p{n}" for n in ids)])),
+    "scroll_by_document": (scroll_pages, values_sql(("id", "page"), [("p0", 0), ("p1", 0), ("p2", 1), ("p3", 0), ("p4", 0), ("p5", 1)])),
     "render_context": (render_context, f"""WITH corpus AS (SELECT doc_id, text FROM documents), {_BM25}, h AS (SELECT query_id, rank, source, text FROM {_rank("bm", 5)} JOIN documents USING (doc_id))
         SELECT query_id, md5(string_agg('[' || (rank + 1) || '] ' || coalesce(source, '') || chr(10) || substr(text, 1, 1800), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM h GROUP BY 1"""),
 }

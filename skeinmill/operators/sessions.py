@@ -16,10 +16,10 @@ SESSION_TTL_S = 1800
 
 
 def dedup_messages(messages: DataFrame, key: str, order: list) -> DataFrame:
-    """First message of each key; blank and null keys are never dropped."""
+    """First message of each key; blank and null keys are never dropped, nor ranked."""
     blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
     first = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return messages.withColumn("n", F.when(blank, 1).otherwise(first)).where("n = 1").drop("n")
+    return messages.where(~blank).withColumn("n", first).where("n = 1").drop("n").unionByName(messages.where(blank))
 
 
 def rate_limit_bucket(calls: DataFrame, user: str, ts: str, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S) -> DataFrame:

@@ -84,24 +84,29 @@ def test_similar_links_connect_like_brute_force(spark):
             words[draws.randrange(len(words))] = f"x{draws.randrange(1000)}"
         texts.append(" ".join(words))
     rows = [(i + 1, t) for i, t in enumerate(texts)] + [(None, texts[0])]
-    sets = {i: {*zip(w, w[1:], strict=False)} for i, t in rows if i and len(w := (t or "").split()) > 1}
-    near = lambda a, b: len(a & b) >= 0.6 * len(a | b)
-    want = {i: i for i in sets}
-    for _ in sets:
-        want = {i: min(want[j] for j in sets if near(sets[i], sets[j])) for i in sets}
+    rows += [(200, "one"), (300, " ".join(base)), (300, " ".join(f"u{i}" for i in range(40))), (301, " ".join([*(f"u{i}" for i in range(39)), "other"]))]
+    by_id: dict = {}
+    for i, t in rows:
+        if i and (w := (t or "").split()):
+            by_id.setdefault(i, []).append({*zip(w, w[1:], strict=False)} or {*w})
+    near = lambda i, j: any(len(a & b) >= 0.6 * len(a | b) for a in by_id[i] for b in by_id[j])
+    beside = {i: [j for j in by_id if near(i, j)] for i in by_id}
+    want = {i: i for i in by_id}
+    for _ in range(12):
+        want = {i: min(want[j] for j in beside[i]) for i in by_id}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     links = neardup.similar_links(docs).collect()
-    assert all(near(sets[r.a], sets[r.b]) for r in links)
+    assert all(near(r.a, r.b) for r in links)
     got = {r.node: r.component for r in connected_components(neardup.similar_links(docs), "a", "b").collect()}
-    assert {i: got.get(i, i) for i in sets} == want
+    assert {i: got.get(i, i) for i in by_id} == want and want[301] == want[300] == 1 and want[200] == want[5]
     assert neardup.similar_links(docs.limit(0)).count() == 0
 
 
 def test_crowded_buckets_lose_no_link(spark):
     """One bucket whose centre resembles nobody: the pairs in it are found block against block."""
     rows = [(0, [1, 2, 3])] + [(i, [i // 2 * 10, i // 2 * 10 + 1, 5]) for i in range(2, 202)]
-    feats = spark.createDataFrame(rows, "doc_id long, f array<long>")
-    apart = feats.select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), "doc_id", F.col("doc_id").alias("component"), F.lit(201).cast("long").alias("members"))
+    feats = spark.createDataFrame(rows, "doc_id long, f array<long>").withColumn("d1", F.xxhash64("f"))
+    apart = feats.select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), "doc_id", "d1", F.col("doc_id").alias("component"), F.lit(201).cast("long").alias("members"))
     got = {(r.a, r.b) for r in neardup._block_links(apart, feats, 0.6).collect()}
     assert got == {(i + 1, i) for i in range(2, 202, 2)}
 
