@@ -109,8 +109,8 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
 
 
 def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    return connected_components(similar_links(table(spark, sf_dir, "documents")), "a", "b")
+    with text_batches(spark):
+        return connected_components(similar_links(table(spark, sf_dir, "documents")), "a", "b")
 
 
 QUERIES = {"neardup_groups": (neardup_groups, None)}

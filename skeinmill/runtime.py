@@ -76,11 +76,15 @@ def arrow_batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(_ARROW_ROWS, before)
 
 
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole texts small in this session, unless it sets a size itself: the default of
-    10,000 rows holds tens of MB on both sides of every task."""
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Keep Arrow batches of whole texts small, unless the session sets a size itself: the default of 10,000 rows holds
+    tens of MB on both sides of every task. What runs in Python has to be written (``settle``) inside."""
     if spark.conf.get(_ARROW_ROWS, None) is None:
-        spark.conf.set(_ARROW_ROWS, str(rows))
+        with arrow_batch_rows(spark, rows):
+            yield
+    else:
+        yield
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
