@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.llm.shingles import text_runs
-from skeinmill.runtime import table, text_batches
+from skeinmill.runtime import settle, table, text_batches
 
 WINDOW, CONTEXT = 112, 16
 LENGTH = WINDOW + 2 * CONTEXT
@@ -278,11 +278,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    docs = table(spark, sf_dir, "documents")
-    model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))
-    slim = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
-    return slim.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    with text_batches(spark):
+        docs = table(spark, sf_dir, "documents")
+        model = fit_language_model(docs.where(~held_out(F.col("doc_id"))))
+        slim = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+        return settle(slim.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double"), "language-predictions")
 
 
 ORACLE = None
