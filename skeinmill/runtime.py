@@ -87,6 +87,12 @@ def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         yield
 
 
+def keep_text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """``text_batches`` for good, for a job whose frames are written by its caller."""
+    if spark.conf.get(_ARROW_ROWS, None) is None:
+        spark.conf.set(_ARROW_ROWS, str(rows))
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """The ``rows`` rows of ``df`` (which has ``total``) with the smallest hashes of ``key``.
 
