@@ -120,7 +120,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1) and line of all files below ``path``, each of which is read whole."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
     return files.select(name.alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
 
@@ -135,7 +135,7 @@ def load_line_documents(spark: SparkSession, path: str) -> DataFrame:
     first = lines.groupBy(F.md5(F.col("line").cast("binary")).alias("h")).agg(F.min(F.struct("file", "line_no", "line")).alias("x")).select("x.*")
     parsed = first.withColumn("row", F.from_json("line", "id string, text string, _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("row._bad IS NULL")
     named = F.coalesce("row.id", F.concat("file", F.lit("_line"), "line_no"))
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     whole = whole.groupBy(F.md5(F.col("value").cast("binary"))).agg(F.min(F.struct(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("doc_id"), F.trim("value").alias("text"))).alias("x")).select("x.*")
     return parsed.select(named.alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")).where("doc_id <> ''").unionByName(whole)
 
