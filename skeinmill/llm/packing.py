@@ -282,7 +282,7 @@ def with_step_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
         left += n % (step_tokens // size) * size
     value = lambda found: F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("size")] if found else F.lit(0)
     before = W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
-    starts = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = settle(counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "packing-starts")  # known to be small, so the pieces need not move
     window, a_group = F.col("before") + F.col("nth"), F.expr(f"{step_tokens} div size")
     in_whole = F.expr("div(n_all, a_group)") * F.col("a_group")
     numbered = pieces.withColumn("part", part).join(starts, ["part", "size"]).select("*", window.alias("window"), a_group.alias("a_group"), value(totals).alias("n_all"))
