@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from skeinmill.llm import (
     ann,
+    decontamination,
     embedding_join,
     language_id,
     minhash,
@@ -27,6 +28,7 @@ _MODULES = {
     "op8_quality_classifier": quality,
     "op9_secret_scan": secret_scan,
     "op10_nearest_neighbours": ann,
+    "op11_decontamination": decontamination,
 }
 
 
