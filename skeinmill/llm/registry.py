@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from skeinmill.llm import (
     ann,
+    collocations,
     decontamination,
     embedding_join,
     language_id,
@@ -29,6 +30,7 @@ _MODULES = {
     "op9_secret_scan": secret_scan,
     "op10_nearest_neighbours": ann,
     "op11_decontamination": decontamination,
+    "op13_collocations": collocations,
 }
 
 

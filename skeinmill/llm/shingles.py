@@ -71,13 +71,13 @@ def text_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many words each row has."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words in order: the bytes with A-Z lower-cased, starts, ends and hashes. ``apart`` marks the bytes between words."""
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return data, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     low = _LOWER[data]
-    solid = ~_SPACE[low]
+    solid = ~apart[low]
     edge = np.ones(n, dtype=bool)
     edge[1:] = ~solid[:-1]
     edge[offsets[:-1][offsets[:-1] < n]] = True
@@ -91,9 +91,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     prefix = np.empty(n + 1, np.uint64)
     prefix[0] = 0
     np.cumsum((low.astype(np.uint64) + _U(1)) * power[:n], out=prefix[1:])
-    hashes = mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, counts
+    return low, starts, ends, mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and how many words each row has."""
+    _, starts, _, hashes = word_spans(data, offsets)
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
