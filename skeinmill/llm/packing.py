@@ -105,6 +105,16 @@ class Encoder:
         parts = [np.array([self._special[x]], np.uint32) if i % 2 else self._plain(x) for i, x in enumerate(self._cut.split(text))]
         return np.concatenate(parts)
 
+    def ordinary(self, text: str) -> np.ndarray:
+        """Ids of a text in which the special tokens' strings are text like any other."""
+        if self._tokenizer is None:
+            return self._plain(text)
+        self._tokenizer.encode_special_tokens = True
+        try:
+            return self(text)
+        finally:
+            self._tokenizer.encode_special_tokens = False
+
     def _plain(self, text: str) -> np.ndarray:
         run = _RUN.search(text) if len(text) >= LONG_RUN else None
         if run is None:

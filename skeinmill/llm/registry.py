@@ -14,6 +14,7 @@ from skeinmill.llm import (
     packing,
     quality,
     secret_scan,
+    token_alignment,
     url_reputation,
     warc,
 )
@@ -30,6 +31,7 @@ _MODULES = {
     "op9_secret_scan": secret_scan,
     "op10_nearest_neighbours": ann,
     "op11_decontamination": decontamination,
+    "op12_token_alignment": token_alignment,
     "op13_collocations": collocations,
 }
 
