@@ -148,12 +148,6 @@ def q_answer_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
-def q_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    chars = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
-    return throttle(turns.select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), (F.col("turn") * 0.5).cast("double").alias("t"), chars.alias("chars"), F.lit(False).alias("force")), 100, 1.0)
-
-
 def streaming_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.prefixes(F.col("text"), 40).alias("p"))
     return whole.select("conv_id", "turn", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("prefixes_md5"))
@@ -199,7 +193,6 @@ QUERIES = {
     "source_labels": (q_source_labels, """WITH l AS (SELECT doc_id % 20 AS query_id, source || ' › d' || doc_id % 3 AS label, min(doc_id) AS r FROM documents GROUP BY 1, 2)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY r, label) AS n, label FROM l QUALIFY n <= 3"""),
     "answer_stage": (q_answer_stage, """SELECT CASE WHEN event_type = 'signup' THEN 'direct' WHEN user_id % 5 = 0 OR (event_id % 3 = 0 AND coalesce(value, 0) < 0.68) THEN 'refuse' ELSE 'answer' END AS stage, count(*) AS n FROM events GROUP BY 1"""),
-    "stream_throttle": (q_throttle, None),
     "streaming_prefixes": (streaming_prefixes, """WITH c AS (SELECT conv_id, turn, text, greatest(1, (length(text) + 39) // 40) AS n FROM conversations)
         SELECT conv_id, turn, n, md5(array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN i = n THEN text ELSE substr(text, 1, i * 40) END), '|')) AS prefixes_md5 FROM c"""),
     "sse_parse": (sse_parse, "SELECT conv_id, turn, md5(text || '!') AS text_md5 FROM conversations"),

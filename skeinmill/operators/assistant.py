@@ -315,44 +315,66 @@ def recent_ids(seen: DataFrame, most: int = 1000) -> DataFrame:
 SESSION_SCHEMA = "session_key string, turns array<struct<question:string,answer:string>>, summary string, summarised int, last_active double"
 
 
-def fold_memory(
-    turns: DataFrame, budget: int, summariser: Summariser | None = None, facts: Callable[[list[tuple[str, str]]], list[str]] | None = None, count: Callable[[str], int] = len, summary_chars: int = 1000, initial: DataFrame | None = None
-) -> DataFrame:
-    """State (``SESSION_SCHEMA``) of every session after its turns (session_key, turn, question, answer, t).
+@dataclass
+class Memory:
+    """Rules of one session's memory; its state is a dict of turns (question, answer), summary and summarised.
 
     Beyond ``budget`` tokens the oldest turns go, at least one stays: with a
     summariser, facts are drawn from them and they become part of the summary; if
-    it gives None they wait until three times the budget. ``initial`` has states
-    to go on from. Turns are sorted within partitions and folded as a stream, so
-    what a task holds is one session's state.
+    it gives None they wait until three times the budget.
     """
 
-    def overflow(held: list[tuple[str, str]]) -> int:
-        sizes = [count(q) + count(a) for q, a in held]
-        if len(held) < 2 or sum(sizes) <= budget:
+    budget: int
+    summariser: Summariser | None = None
+    facts: Callable[[list[tuple[str, str]]], list[str]] | None = None
+    count: Callable[[str], int] = len
+    summary_chars: int = 1000
+
+    @staticmethod
+    def fresh() -> dict:
+        return {"turns": [], "summary": "", "summarised": 0}
+
+    def _size(self, turn: tuple[str, str]) -> int:
+        return self.count(turn[0]) + self.count(turn[1])
+
+    def _overflow(self, held: list[tuple[str, str]]) -> int:
+        sizes = [self._size(t) for t in held]
+        if len(held) < 2 or sum(sizes) <= self.budget:
             return 0
         kept, n = 0, 0
         for size in reversed(sizes):
-            if n and kept + size > budget:
+            if n and kept + size > self.budget:
                 break
             kept, n = kept + size, n + 1
         return len(held) - n
 
-    def settle_down(state: dict) -> None:
+    def append(self, state: dict, question: str | None, answer: str | None) -> None:
         held = state["turns"]
-        cut = overflow(held)
+        held.append((question or "", answer or ""))
+        cut = self._overflow(held)
         if not cut:
             return
-        if summariser is not None:
+        if self.summariser is not None:
             old = held[:cut]
-            made = summariser(state["summary"], old, facts(old) if facts else [])
+            made = self.summariser(state["summary"], old, self.facts(old) if self.facts else [])
             if made is None:
-                if sum(count(q) + count(a) for q, a in held) <= 3 * budget:
+                if sum(map(self._size, held)) <= 3 * self.budget:
                     return
             else:
-                state["summary"], state["summarised"] = made[:summary_chars], state["summarised"] + cut
+                state["summary"], state["summarised"] = made[: self.summary_chars], state["summarised"] + cut
         del held[:cut]
 
+
+def fold_memory(
+    turns: DataFrame, budget: int, summariser: Summariser | None = None, facts: Callable[[list[tuple[str, str]]], list[str]] | None = None, count: Callable[[str], int] = len, summary_chars: int = 1000, initial: DataFrame | None = None
+) -> DataFrame:
+    """State (``SESSION_SCHEMA``) of every session after its turns (session_key, turn, question, answer, t), by the rules of ``Memory``.
+
+    ``initial`` has states to go on from. Turns are sorted within partitions and
+    folded as a stream, so what a task holds is one session's state.
+    """
+    memory = Memory(budget, summariser, facts, count, summary_chars)
+
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict | None = None
         done: list[tuple] = []
@@ -362,12 +384,11 @@ def fold_memory(
             for key, question, answer, t, saved, summary, n in zip(*(frame[c] for c in ("session_key", "question", "answer", "t", "saved", "summary", "summarised")), strict=True):
                 if state is None or key != state["key"]:
                     done += [row(state)] if state else []
-                    state = {"key": key, "turns": [], "summary": "", "summarised": 0, "last": 0.0}
+                    state = Memory.fresh() | {"key": key, "last": 0.0}
                 if saved is not None:
                     state |= {"turns": [(x["question"], x["answer"]) for x in saved], "summary": summary or "", "summarised": int(n)}
                 else:
-                    state["turns"].append((question or "", answer or ""))
-                    settle_down(state)
+                    memory.append(state, question, answer)
                 state["last"] = t
             if len(done) >= 1000:
                 yield pd.DataFrame(done, columns=names)

@@ -89,11 +89,6 @@ def q_rate_limit_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_limit_bucket(_events(spark, sf_dir), "user_id", "ts", 1, 3600).select("event_id", "user_id", "allowed")
 
 
-def q_rate_limit_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _events(spark, sf_dir).select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return rate_limit_sliding(calls, 3, 36_000)
-
-
 def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions(_events(spark, sf_dir), "user_id", "ts")
     return found.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -160,7 +155,6 @@ _EV = "epoch_us(ts)"
 QUERIES = {
     "message_dedup": (message_dedup, "SELECT event_id, concat_ws('/', user_id, event_type, props) AS message_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) = 1"),
     "rate_limit_bucket": (q_rate_limit_bucket, f"SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, {_EV} // 3600000000 ORDER BY ts, event_id) <= 1 AS allowed FROM events"),
-    "rate_limit_sliding": (q_rate_limit_sliding, None),
     "session_ttl": (session_ttl, f"""WITH g AS (SELECT *, {_EV} - lag({_EV}) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM g)
         SELECT user_id, session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2"""),

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinmill.operators import answers, assistant, business, chunkdedup, cleaning, ingest, neardup, retrieval, sessions, structure
 from skeinmill.sources import objects
+from skeinmill.streaming import limits, memory
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure, chunkdedup, assistant, objects)
+_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure, chunkdedup, assistant, objects, limits, memory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
