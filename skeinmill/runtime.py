@@ -33,10 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the cluster sees them."""
     jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -44,8 +45,8 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop_path, fs = _hadoop_path(spark, path)
-    fs.deleteOnExit(hadoop_path)
+    written, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(written)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     return out
@@ -55,8 +56,8 @@ def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that ``settle`` returned, once nothing reads it any more."""
     path = getattr(df, "_settled_path", None)
     if path:
-        hadoop_path, fs = _hadoop_path(df.sparkSession, path)
-        fs.delete(hadoop_path, True)
+        written, fs = hadoop_path(df.sparkSession, path)
+        fs.delete(written, True)
 
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -78,7 +78,8 @@ def test_memory_in_cuts_with_recovery(spark, summariser):
 
 def test_stream_memory_is_the_batch_fold_within_a_topic(spark):
     turns = _turns(spark).where("session_key = 2")
-    batch = fold_memory(turns, 100, memory.digest_summary).first()
+    named = turns.withColumn("session_key", F.col("session_key").cast("string"))
+    batch = fold_memory(named, 100, memory.digest_summary).first()
     source, out, checkpoint = (fresh_folder(spark, f"t-{x}") for x in "ghi")
     arrive(turns, source)
     run_to_table(memory.stream_memory(arrived(spark, source, turns.schema), Memory(100, memory.digest_summary)), out, checkpoint)
