@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ _EDGES = r"(?U)^\s+|\s+$"
 CUT_MARK = "\n...[已截断]"  # fixed value
 
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinmill.operators.graph import connected_components
-from skeinmill.operators.retrieval import tokens
+from skeinmill.operators.inverted_index import tokens
 from skeinmill.runtime import settle, table, text_batches
 
 BLOCK = 32

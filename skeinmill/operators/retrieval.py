@@ -14,63 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinmill.operators.inverted_index import InvertedIndex, index_of, query_terms
 from skeinmill.operators.structure import values_sql
-from skeinmill.runtime import settle, table
+from skeinmill.runtime import table
 
 PREFETCH = 20
 MOST_QUERIES = 100_000
 RRF_K = 2
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, dl."""
-    counted = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return counted.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-
-
-def term_postings(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """doc_id, term, tf, dl of the queries' terms, written once, and a row with the empty term for every document.
-
-    The documents are read and cut into tokens once; everything that scoring
-    needs, the number of documents and their lengths too, comes from this table.
-    """
-    wanted = query_terms(queries).select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    none = F.array().cast("array<string>")
-    each = cut.select("doc_id", F.size("t").alias("dl"), F.explode_outer(F.concat(F.coalesce("t", none), F.array(F.lit("")))).alias("term"))
-    return settle(each.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
-
-
-def bm25_of(post: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score from ``term_postings``."""
-    lengths = post.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl")).collect()[0]
-    if not lengths["avgdl"]:
-        return post.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    own = post.where("term <> ''")
-    idf = F.log(1 + (lengths["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = own.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / lengths["avgdl"]))
-    asked = query_terms(queries).join(rated, "term")
-    return own.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score of every document that shares a term with a query.
-
-    Only the postings of the queries' terms are made; document frequencies and
-    lengths count all documents.
-    """
-    return bm25_of(term_postings(docs, queries), queries, k1, b)
-
-
 def _scorer(q: np.ndarray, q_ids: np.ndarray, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,22 +141,28 @@ def _inputs(spark: SparkSession, sf_dir: str):
     return docs, deleted, queries, vectors, asked
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The index that all BM25 queries over the whole corpus share."""
+    return index_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents", [f"{sf_dir}/documents.parquet"])
+
+
 def recall_hybrid(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
     """Both legs, filtered by soft deletion, fused; a question's dense vector is the one with its id."""
     docs, deleted, queries, vectors, asked = _inputs(spark, sf_dir)
     size = max(limit, PREFETCH)
-    sparse = ranked(bm25_scores(live(docs.select("doc_id", "text"), deleted), queries), size)
+    index = index_of(live(docs.select("doc_id", "text"), deleted), "live documents", [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"])
+    sparse = index.search(queries, size).select("query_id", "doc_id", "score", "rank")
     dense = ranked(dense_scores(live(vectors, deleted), asked, size), size)
     return ranked(fuse([dense, sparse]), limit).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    return ranked(bm25_scores(docs.select("doc_id", "text"), queries), 10).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    _, _, queries, _, _ = _inputs(spark, sf_dir)
+    return document_index(spark, sf_dir).search(queries, 10).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return document_index(spark, sf_dir).rows().groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
 
 
 def dense_knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,12 +178,10 @@ def dense_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rerank stage with a deterministic scorer: the share of a question's distinct terms that a hit holds; the recall score stays beside it."""
-    docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    post = term_postings(docs.select("doc_id", "text"), queries)
-    hits = ranked(bm25_of(post, queries), 50).select("query_id", "doc_id", F.col("rank").alias("recall_rank"))
-    terms = query_terms(queries)
-    held = hits.join(terms, "query_id").join(post.select("doc_id", "term").distinct().withColumn("held", F.lit(1)), ["doc_id", "term"], "left")
-    scored = held.groupBy("query_id", "doc_id", "recall_rank").agg((F.count("held") / F.count("*")).alias("score"))
+    _, _, queries, _, _ = _inputs(spark, sf_dir)
+    hits = document_index(spark, sf_dir).search(queries, 50).select("query_id", "doc_id", F.col("rank").alias("recall_rank"), "matched")
+    terms = query_terms(queries).groupBy("query_id").agg(F.count("*").alias("terms"))
+    scored = hits.join(terms, "query_id").withColumn("score", F.col("matched") / F.col("terms"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "recall_rank")
     return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where("rank < 10").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -233,7 +189,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_filter_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score filter, then the cap of three hits a document (here: a source), then the first ten."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    hits = ranked(bm25_scores(docs.select("doc_id", "text"), queries), 50).where("round(score, 9) >= 1.0").join(docs.select("doc_id", "source"), "doc_id")
+    hits = document_index(spark, sf_dir).search(queries, 50).where("round(score, 9) >= 1.0").join(docs.select("doc_id", "source"), "doc_id")
     capped = per_document_cap(hits.withColumn("score", F.round("score", 9)), 3, "source")
     return ranked(capped.drop("rank"), 10).select("query_id", "doc_id", "source", "rank")
 
@@ -241,7 +197,9 @@ def score_filter_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_collection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each collection (source) recalls its own ten; the union is cut to ten again."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    scores = bm25_scores(docs.select("doc_id", "text"), queries).join(docs.select("doc_id", F.col("source").alias("collection")), "doc_id")
+    index = document_index(spark, sf_dir)
+    asked, _ = index.of_terms(queries)
+    scores = index.scores(asked).join(docs.select("doc_id", F.col("source").alias("collection")), "doc_id")
     order = W.partitionBy("query_id", "collection").orderBy(F.desc(F.round("score", 9)), "doc_id")
     own = scores.withColumn("n", F.row_number().over(order)).where("n <= 10").drop("n")
     return ranked(own, 10).select("query_id", "doc_id", "collection", "rank")
@@ -250,7 +208,7 @@ def multi_collection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered blocks of a question's hits, bodies cut at 1800 characters."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    hits = ranked(bm25_scores(docs.select("doc_id", "text"), queries), 5).join(docs.select("doc_id", "source", F.col("text").alias("body")), "doc_id")
+    hits = document_index(spark, sf_dir).search(queries, 5).join(docs.select("doc_id", "source", F.col("text").alias("body")), "doc_id")
     block = F.concat(F.lit("["), F.col("rank") + 1, F.lit("] "), F.coalesce("source", F.lit("")), F.lit("\n"), F.substring("body", 1, 1800))
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("b")).select("query_id", F.md5(F.array_join("b.b", "\n\n").cast("binary")).alias("context_md5"))
 
