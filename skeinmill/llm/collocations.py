@@ -11,11 +11,12 @@
    phrase, so false survivors go.
 4. Scores and subsumption are joins over the frequent phrases.
 
-The width of a sketch follows the size of the corpus between ``CELLS``, so its
-memory and its broadcast bits are bounded (at most 2 * 2**25 counters of four
-bytes in a task, 8 MB of bits); a sketch that is too narrow lets more phrases
-into the exact pass and changes no result. Phrases are told apart by 64-bit
-hashes inside a task and by their text after it.
+The width of a sketch is fixed, so its memory and its broadcast bits are bounded
+(2 * 2**24 counters of four bytes in a task, 4 MB of bits) and what tasks hand on
+grows with their number alone; where it is too narrow for a corpus, more phrases get
+into the exact pass and no result changes. A task reads at least ``TASK_BYTES``
+of text if that leaves every core one, so that its own sums go before the shuffle.
+Phrases are told apart by 64-bit hashes inside a task and by their text after it.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from skeinmill.llm.shingles import mix64, text_runs, word_spans
 from skeinmill.runtime import settle, table, text_batches
 
-#: Least and most cells of a row of a sketch, as powers of two; rows of a sketch; cells of a block.
-CELLS, ROWS, BLOCK = (16, 25), 2, 1 << 16
+#: Cells of a row of a sketch, as a power of two; rows of a sketch; cells of a block.
+CELL_BITS, ROWS, BLOCK = 24, 2, 1 << 16
+
+#: Bytes of text that a task reads at least.
+TASK_BYTES = 1 << 26
 
 #: Phrases that a task holds before it hands its counts on.
 HELD = 500_000
@@ -106,7 +110,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]
             yield _Words(data, offsets, np.array([salt[x] for x in part], dtype=np.uint64)), part
 
 
-def _sketcher(bits: int, min_count: int, words: Broadcast | None, word_bits: int, longest: int):
+def _sketcher(bits: int, min_count: int, words: Broadcast | None, longest: int):
     """Sketch of the words, or with the words' bits of the phrases, in blocks (block, counts cut off at ``min_count``)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +122,7 @@ def _sketcher(bits: int, min_count: int, words: Broadcast | None, word_bits: int
             if passed is None:
                 hashes = [w.hashes]
             else:
-                w.only(_reached(w.hashes, passed, word_bits))
+                w.only(_reached(w.hashes, passed, bits))
                 hashes = [h for _, _, h in w.phrases(longest)]
             for h in hashes:
                 for row in range(ROWS):
@@ -150,10 +154,10 @@ def _adder(min_count: int):
     return add
 
 
-def _merged_sketch(rows: DataFrame, bits: int, min_count: int, words: Broadcast | None, word_bits: int, longest: int) -> Broadcast:
-    parts = rows.mapInArrow(_sketcher(bits, min_count, words, word_bits, longest), "block int, counts binary").repartition("block")
+def _merged_sketch(rows: DataFrame, bits: int, min_count: int, words: Broadcast | None, longest: int) -> Broadcast:
+    parts = rows.mapInArrow(_sketcher(bits, min_count, words, longest), "block int, counts binary").repartition("block")
     passed = np.zeros((ROWS << bits) // 8, np.uint8)
-    for r in parts.mapInArrow(_adder(min_count), "block int, bits binary").collect():  # a bit a cell, 8 MB at most
+    for r in parts.mapInArrow(_adder(min_count), "block int, bits binary").collect():  # a bit a cell, 4 MB
         passed[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
     return rows.sparkSession.sparkContext.broadcast(passed.tobytes())
 
@@ -183,7 +187,7 @@ class _Held:
         return pa.record_batch(columns, names=["lang", "phrase", "size", "f"])
 
 
-def _exact(words: Broadcast, word_bits: int, phrases: Broadcast, phrase_bits: int, longest: int):
+def _exact(words: Broadcast, phrases: Broadcast, bits: int, longest: int):
     """(lang, phrase, size, f) of what passes both sketches, summed in the task; a row without phrase has a language's words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +196,12 @@ def _exact(words: Broadcast, word_bits: int, phrases: Broadcast, phrase_bits: in
         for w, languages in _runs(batches):
             for row, n in enumerate(np.bincount(w.row, minlength=len(languages)).tolist()):
                 total[languages[row]] = total.get(languages[row], 0) + n
-            w.only(_reached(w.hashes, word_passed, word_bits))
+            w.only(_reached(w.hashes, word_passed, bits))
             found = [(1, np.arange(len(w.hashes)), w.hashes)]
             shorter = np.ones(len(w.hashes) + 1, dtype=bool)
             for n, at, h in w.phrases(longest):
                 good = shorter[at] & shorter[at + 1]
-                good[good] = _reached(h[good], passed, phrase_bits)
+                good[good] = _reached(h[good], passed, bits)
                 shorter = np.zeros(len(w.hashes) + 1, dtype=bool)
                 shorter[at[good]] = True
                 found.append((n, at[good], h[good]))
@@ -228,12 +232,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, te
         raise ValueError("min_count and longest have to be at least 1")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = lambda items: min(max(int(max(1, 4 * items // min_count) - 1).bit_length(), CELLS[0]), CELLS[1])
-    word_bits, phrase_bits = width(size // 6), width(size // 3)  # bytes a word, about; phrases of frequent words only
+    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+    bits = CELL_BITS
     with text_batches(docs.sparkSession):
-        words = _merged_sketch(rows, word_bits, min_count, None, word_bits, longest)
-        phrases = _merged_sketch(rows, phrase_bits, min_count, words, word_bits, longest)
-        counted = rows.mapInArrow(_exact(words, word_bits, phrases, phrase_bits, longest), "lang string, phrase string, size int, f long")
+        words = _merged_sketch(rows, bits, min_count, None, longest)
+        phrases = _merged_sketch(rows, bits, min_count, words, longest)
+        counted = rows.mapInArrow(_exact(words, phrases, bits, longest), "lang string, phrase string, size int, f long")
         summed = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
         return settle(summed.where((F.col("size") == 0) | (F.col("f") >= min_count)), "collocation-phrases")
 
