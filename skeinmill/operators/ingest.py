@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinmill.functions.text import let
 from skeinmill.runtime import table
 
 # Collections, document-type patterns, pipeline stages by rank.
@@ -210,11 +211,59 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, text string")
 
 
+# IPv4 ranges (first address, bits) and IPv6 prefixes inside 2000::/3 that are not global, by the address registries.
+PRIVATE_V4 = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+PRIVATE_V6 = r"^(2001:0?[01]?[0-9a-f]?[0-9a-f]?:|2001::|2001:0?db8:|2002:|3fff:0?[0-9a-f]{1,3}:)"
+
+
+def _v4_number(host: Column) -> Column:
+    """The address that a host of one to four decimal, octal or hexadecimal parts stands for; null if it is none."""
+    parts = F.split(host, r"\.")
+    number = lambda x: F.when(x.rlike("^0x[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 8)), 16, 10)).when(x.rlike("^0[0-7]{0,11}$"), F.conv(x, 8, 10)).when(x.rlike("^[1-9][0-9]{0,9}$"), x).cast("long")
+
+    def value(n: Column) -> Column:
+        size = F.size(n)
+        last, head = F.element_at(n, -1), F.slice(n, 1, size - 1)
+        fits = F.forall(head, lambda x: x < 256) & (last < F.pow(F.lit(256), 5 - size)) & F.forall(n, lambda x: x.isNotNull())
+        whole = F.aggregate(F.transform(head, lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.when((size <= 4) & fits, whole + last)
+
+    return let(F.transform(parts, number), value)
+
+
+def _is_global_v4(number: Column) -> Column:
+    """Whether a number is the address of a host in the public network; false for null."""
+    outside = F.lit(True)
+    for first, bits in PRIVATE_V4:
+        low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(first.split(".")))
+        outside = outside & ~number.between(low, low + (1 << (32 - bits)) - 1)
+    return F.coalesce(outside, F.lit(False))
+
+
 def is_public_url(url: Column) -> Column:
-    """http or https, a host, no credentials, no literal private address."""
-    host = F.regexp_extract(url, r"^https?://([^/?#]*)", 1)
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.|\[)")
-    return F.coalesce((host != "") & ~host.contains("@") & ~private, F.lit(False))
+    """http or https in any case, a host without credentials, and if the host is an address, one of the public network.
+
+    Addresses count in every form that a resolver takes: parts in decimal, octal
+    or hexadecimal, fewer than four of them, IPv6 and IPv4 mapped into it. A host
+    whose last part is a number but which is no address is refused, and so are
+    ``localhost`` and names below it. Names are not resolved. Null is not public.
+    """
+    authority = F.regexp_extract(F.trim(url), r"^(?i:https?)://([^/?#\\]*)", 1)
+    host = F.lower(F.regexp_replace(authority, r":[0-9]*$", ""))
+    name = F.regexp_replace(host, r"\.$", "")
+    inner = F.regexp_extract(host, r"^\[([0-9a-f:.]+)\]$", 1)
+    mapped = F.regexp_extract(inner, r"^(?:::|(?:0{1,4}:){5})ffff:([0-9a-f:.]+)$", 1)
+    pair = F.split(mapped, ":")
+    mapped_number = F.when(mapped.contains("."), _v4_number(mapped)).when((F.size(pair) == 2) & mapped.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.conv(F.get(pair, F.lit(0)), 16, 10).cast("long") * 65536 + F.conv(F.get(pair, F.lit(1)), 16, 10).cast("long"))
+    groups = r"^(?!.*::.*::)(?!.*:::)(?:[0-9a-f]{1,4}:){1,7}(?::|[0-9a-f]{1,4}|(?::[0-9a-f]{1,4}){1,6})$"
+    v6 = F.when(mapped != "", _is_global_v4(mapped_number)).otherwise(inner.rlike(groups) & inner.rlike("^[23][0-9a-f]{3}:") & ~inner.rlike(PRIVATE_V6))
+    numeric = F.regexp_extract(name, r"([^.]*)$", 1).rlike(r"^(0x[0-9a-f]*|[0-9]+)$")
+    named = (name != "") & name.rlike(r"^[^\s@\[\]:]+$") & ~name.rlike(r"^(.*\.)?localhost$")
+    ok = F.when(host.startswith("["), v6).when(numeric, _is_global_v4(_v4_number(name))).otherwise(named)
+    return F.coalesce(ok & (authority != "") & ~authority.contains("@"), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())

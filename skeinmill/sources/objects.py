@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinmill.functions.text import stripped
 from skeinmill.operators.structure import values_sql
 
 # Kinds of files that are taken in, where linked documents are, characters that no file name may hold.
@@ -118,26 +120,46 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1) and line of all files below ``path``, each of which is read whole."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
-    return files.select(name.alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
+def numbered_lines(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """file, line_no (from 1) and line of the files below ``path`` whose names match; large files are read by many tasks.
+
+    A line's number is its rank in its byte range and the lines of the file's
+    ranges before; a task sorts one range at most, and only counts go further.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
+    lines = read.select("_metadata.file_path", "_metadata.file_name", F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at"))
+    place = ["file_path", "start"]
+    ranked = lines.withColumn("n", F.row_number().over(W.partitionBy(*place).orderBy("at")))
+    ranges = lines.groupBy(*place).agg(F.count("*").alias("many"))
+    before = F.sum("many").over(W.partitionBy("file_path").orderBy("start").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    starts = ranges.withColumn("before", F.coalesce(before, F.lit(0))).drop("many")
+    return ranked.join(starts, place).select(F.col("file_name").alias("file"), (F.col("before") + F.col("n")).alias("line_no"), F.col("value").alias("line"))
 
 
 def load_line_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and text of JSON lines and of whole ``.txt`` files below ``path``.
+    """doc_id and text of JSON lines (``.jsonl``) and of whole ``.txt`` files below ``path``.
 
-    Of equal lines, by MD5, the first by file and line counts; a line without id
-    is named after its place, blank and broken lines are left out.
+    Lines count without the white space at their ends. Of equal ones, by MD5, the
+    first by file and line counts, and a text file that equals a line or an
+    earlier text file, white space included, is left out. A line without ``id`` is
+    named after its place; one whose id is null, empty, zero or false, one that is
+    no JSON object, and a blank one are left out.
     """
-    lines = numbered_lines(spark, path).where(~F.col("file").endswith(".txt") & (F.trim("line") != ""))
-    first = lines.groupBy(F.md5(F.col("line").cast("binary")).alias("h")).agg(F.min(F.struct("file", "line_no", "line")).alias("x")).select("x.*")
-    parsed = first.withColumn("row", F.from_json("line", "id string, text string, _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("row._bad IS NULL")
-    named = F.coalesce("row.id", F.concat("file", F.lit("_line"), "line_no"))
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    whole = whole.groupBy(F.md5(F.col("value").cast("binary"))).agg(F.min(F.struct(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("doc_id"), F.trim("value").alias("text"))).alias("x")).select("x.*")
-    return parsed.select(named.alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text")).where("doc_id <> ''").unionByName(whole)
+    digest = lambda c: F.md5(c.cast("binary"))
+    lines = numbered_lines(spark, path, "*.jsonl").withColumn("line", stripped(F.col("line"))).where("line <> ''")
+    lines = lines.select(digest(F.col("line")).alias("h"), F.lit(0).alias("kind"), "file", F.col("line_no").cast("long").alias("line_no"), "line")
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    whole = whole.select(digest(text).alias("h"), F.lit(1).alias("kind"), F.col("_metadata.file_name").alias("file"), F.lit(0).cast("long").alias("line_no"), text.alias("line"))
+    first = lines.unionByName(whole).groupBy("h").agg(F.min(F.struct("kind", "file", "line_no", "line")).alias("x")).select("x.*")
+    row = first.withColumn("v", F.when(F.col("kind") == 0, F.try_parse_json("line")))
+    held = F.try_variant_get("v", "$.id", "string")
+    given = F.expr("try_variant_get(v, '$.id', 'variant')")
+    falsy = F.schema_of_variant(given).isin("VOID", "BOOLEAN") & (F.coalesce(held, F.lit("false")) == "false") | (held == "") | (F.schema_of_variant(given).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (held.try_cast("double") == 0))
+    name = F.when(given.isNull(), F.concat(F.col("file"), F.lit("_line"), F.col("line_no").cast("string"))).when(~F.coalesce(falsy, F.lit(False)), held)
+    own = F.when(F.col("kind") == 1, F.col("file")).when(F.schema_of_variant("v").startswith("OBJECT"), name)
+    said = F.when(F.col("kind") == 1, stripped(F.col("line"))).otherwise(F.coalesce(F.try_variant_get("v", "$.text", "string"), F.lit("")))
+    return row.select(own.alias("doc_id"), said.alias("text")).where("doc_id IS NOT NULL")
 
 
 def load_test_set(spark: SparkSession, path: str) -> DataFrame:
