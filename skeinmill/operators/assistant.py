@@ -15,10 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.functions.text import strip_mentions, stripped
+from skeinmill.functions.text import let, strip_mentions, stripped
 from skeinmill.operators.business import has_business_intent
 from skeinmill.operators.sessions import RATE_LIMIT, RATE_WINDOW_S, rate_limit_sliding
-from skeinmill.operators.structure import values_sql
 
 # The argument pairs that a date window may come in, in the order in which they are looked at.
 DATE_PAIRS = (
@@ -223,13 +222,16 @@ def _local_time(value: Column) -> Column:
 def date_window_guard(arguments: Column, days: int = 30) -> Column:
     """ALLOW, INVALID_TIME_RANGE or TIME_RANGE_TOO_LARGE of a map of arguments: the first pair that offends decides; pairs
     that do not parse are not judged, and exactly ``days`` days pass."""
-    code = None
-    for start, end in DATE_PAIRS:
-        a, b = (_local_time(F.try_element_at(arguments, F.lit(k))).cast("timestamp") for k in (start, end))
-        span = F.unix_micros(b) - F.unix_micros(a)
-        verdict = F.when(span < 0, "INVALID_TIME_RANGE").when(span > days * 86_400_000_000, "TIME_RANGE_TOO_LARGE")
-        code = verdict if code is None else F.coalesce(code, verdict)
-    return F.coalesce(code, F.lit("ALLOW"))
+
+    def first_offence(given: Column) -> Column:
+        codes = []
+        for start, end in DATE_PAIRS:
+            a, b = (_local_time(F.try_element_at(given, F.lit(k))).cast("timestamp") for k in (start, end))
+            span = F.unix_micros(b) - F.unix_micros(a)
+            codes.append(F.when(span < 0, "INVALID_TIME_RANGE").when(span > days * 86_400_000_000, "TIME_RANGE_TOO_LARGE"))
+        return F.coalesce(*codes, F.lit("ALLOW"))
+
+    return F.coalesce(let(arguments, first_offence), F.lit("ALLOW"))
 
 
 def guarded_calls(calls: DataFrame, days: int = 30, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S) -> DataFrame:
@@ -420,99 +422,12 @@ def live_sessions(saved: DataFrame, now: float, ttl_s: float = 1800) -> DataFram
     return last.where(~F.col("deleted") & (now - F.col("last_active") <= ttl_s)).select("session_key", turns.alias("turns"), "summary", "summarised", "last_active")
 
 
-# Queries: freshly written rows and what is due for them ---------------------------------
-_CALLS: list[tuple[int, str, float, dict[str, str], str]] = [
-    (1, "a", 0.0, {"start_date": "2024-01-01", "end_date": "2024-01-31"}, "ALLOW"), (2, "a", 1.0, {"start_date": "2024-01-01", "end_date": "2024-02-01"}, "TIME_RANGE_TOO_LARGE"),
-    (3, "a", 2.0, {"from_time": "2024-01-02T00:00:00Z", "to_time": "2024-01-01T23:59:59+08:00"}, "INVALID_TIME_RANGE"), (4, "a", 3.0, {"start_date": "soon", "end_date": "2024-02-01"}, "ALLOW"),
-    (5, "a", 4.0, {"updated_at_start": "2024-01-01 00:00", "updated_at_end": "2024-01-31T00:00:00.000001"}, "TIME_RANGE_TOO_LARGE"), (6, "a", 5.0, {}, "ALLOW"), (7, "a", 6.0, {}, "RATE_LIMIT_EXCEEDED"),
-    (8, "a", 60.0, {}, "ALLOW"), (9, "b", 6.0, {"created_start": "2024-02-30", "created_end": "2024-03-01", "begin_date": "2024-03-01"}, "ALLOW"),
-]
-
-
-def q_guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spark.createDataFrame([(i, {"a": 1, "b": 2}[u], t, a) for i, u, t, a, _ in _CALLS], "event_id long, user_id long, t double, arguments map<string,string>")
-    return guarded_calls(calls).select("event_id", "code")
-
-
-_EVENTS = [
-    ('{"message": {"message_id": "m1", "chat_type": "p2p", "message_type": "text", "content": "{\\"text\\": \\" hi \\"}"}, "sender": {"sender_id": {"open_id": "u1"}}}', "m1", "p2p", "u1", "hi"),
-    ('{"chat_type": "group", "message": {"message_id": "m2", "message_type": "text", "content": "@Bot what now"}, "sender": {"open_id": "u2"}}', "m2", "group", "u2", "what now"),
-    ('{"message": {"message_id": "m3", "chat_type": "p2p", "message_type": "image", "content": null}}', "m3", "p2p", None, None),
-]
-
-
-def q_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(e[0],) for e in _EVENTS], "event string").select(normalised_event(F.col("event")).alias("e")).select("e.*")
-    return rows.select("message_id", "chat_type", "open_id", question_of(F.col("message_type"), F.col("chat_type"), F.col("text"), F.array(F.lit("bot")), F.array(F.lit("@Bot")), "bot").alias("question"))
-
-
-_MEMORY = [("a", i, "q" * 10, "r" * 20, float(i)) for i in range(6)] + [("b", 0, "x" * 250, "y" * 250, 7.0), ("c", 0, "one", "two", 8.0)]
-
-
-def _joined(summary: str, turns: list[tuple[str, str]], found: list[str]) -> str:
-    return f"{summary}+{len(turns)}" + "".join(found)
-
-
-def q_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trimmed, summarised with facts, and with a summariser that fails."""
-    turns = spark.createDataFrame(_MEMORY, "session_key string, turn int, question string, answer string, t double")
-    ways = {"trim": fold_memory(turns, 100), "sum": fold_memory(turns, 100, _joined, lambda t: ["!"] * len(t)), "fail": fold_memory(turns, 50, lambda s, t, f: None)}
-    out = None
-    for name, states in ways.items():
-        rows = states.select(F.lit(name).alias("way"), "session_key", F.size("turns").alias("kept"), "summary", "summarised")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def q_live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = '[{"question": "q", "answer": "a"}]'
-    saved = [("a", one, "old", 0, 10.0, 1.0, False), ("a", one, "new", 2, 20.0, 2.0, False), ("b", "{broken", "", 0, 20.0, 1.0, False), ("c", one, "", 0, 20.0, 1.0, False), ("c", None, None, 0, 0.0, 2.0, True), ("d", one, "", 0, -1781.0, 1.0, False), ("e", one, "", 0, -1780.0, 1.0, False)]
-    states = live_sessions(spark.createDataFrame(saved, "session_key string, turns string, summary string, summarised int, last_active double, saved_at double, deleted boolean"), 20.0)
-    after = fold_memory(spark.createDataFrame([("a", 5, "q2", "a2", 30.0)], "session_key string, turn int, question string, answer string, t double"), 100, initial=states)
-    return after.select("session_key", F.size("turns").alias("kept"), "summary", "summarised")
-
-
-def q_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '{"sku": "A-1"}'), (2, "{oops"), (3, "[1]"), (4, None)], "n int, j string")
-    return rows.select("n", tool_call(F.col("j"), "sku string").alias("c")).select("n", F.col("c.arguments.sku").alias("sku"), "c.error")
-
-
-def q_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "p2p", "u1", "库存 SKU-9"), (2, "group", "u1", "库存"), (3, "p2p", "u2", "order SO-20240001"), (4, "p2p", "u1", "good morning"), (5, None, None, None)], "n int, chat string, u string, t string")
-    return rows.select("n", may_use(F.lit("business"), F.col("chat"), F.col("u"), ("u1",)).alias("business"), may_use(F.lit("web"), F.col("chat"), F.col("u"), ()).alias("web"), attaches_skill(True, F.col("chat"), F.col("u"), ("u1",), F.col("t")).alias("attached"))
-
-
-def q_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("x", i, float(t), 10.0) for i, t in enumerate([0, 0, 1, 2, 10, 10, 25])], "lane string, event_id long, t double, seconds double")
-    return admitted(rows, workers=1, queue=1).select("event_id", "admitted")
-
-
-def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = spark.createDataFrame([(1, "raw/oc_ab1/om_9_wiki_T1.md", "om_9_wiki_T1.md", "d1"), (2, "raw/x", "om_9_om_8_plan.md", "d2"), (3, None, None, "d3"), (4, None, "", None)], "n int, source string, filename string, doc_uuid string")
-    names = lambda rows: spark.createDataFrame(rows, "id string, name string")
-    return display_label(hits, names([("oc_ab1", "Team")]), names([("T1", "Handbook")])).select("n", "label")
-
-
-def q_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "head", [("q", "a")], "now?", ["x", "y"]), (2, None, [], "now?", [])], "n int, h string, t array<struct<question:string,answer:string>>, q string, b array<string>")
-    return rows.select("n", prompt(F.col("h"), F.col("t"), F.col("q"), F.col("b")).alias("prompt"))
-
-
+# Query -----------------------------------------------------------------------
 def q_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     return envelope(rows, "product_lookup", 3, ["p_partkey"]).select("operation", "row_count", F.array_join("rows", ";").alias("rows"))
 
 
 QUERIES = {
-    "business_guard_chain": (q_guard_chain, values_sql(("event_id", "code"), [(i, c) for i, _, _, _, c in _CALLS])),
-    "message_intake": (q_intake, values_sql(("message_id", "chat_type", "open_id", "question"), [e[1:] for e in _EVENTS])),
-    "memory_summary": (q_memory, values_sql(("way", "session_key", "kept", "summary", "summarised"), [
-        ("trim", "a", 3, "", 0), ("trim", "b", 1, "", 0), ("trim", "c", 1, "", 0), ("sum", "a", 3, "+1!+1!+1!", 3), ("sum", "b", 1, "", 0), ("sum", "c", 1, "", 0), ("fail", "a", 1, "", 0), ("fail", "b", 1, "", 0), ("fail", "c", 1, "", 0)])),
-    "session_recovery": (q_live_sessions, values_sql(("session_key", "kept", "summary", "summarised"), [("a", 2, "new", 2), ("e", 1, "", 0)])),
-    "tool_call_arguments": (q_tool_calls, values_sql(("n", "sku", "error"), [(1, "A-1", None), (2, None, "invalid arguments: {oops"), (3, None, "invalid arguments: [1]"), (4, None, "invalid arguments: null")])),
-    "tool_permissions": (q_permissions, "SELECT * FROM (VALUES (1, true, true, true), (2, false, true, false), (3, false, true, false), (4, true, true, false), (5, false, true, false)) v(n, business, web, attached)"),
-    "admission_control": (q_admission, "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, true), (5, false), (6, true)) v(event_id, admitted)"),
-    "display_labels": (q_labels, values_sql(("n", "label"), [(1, "Team / Handbook"), (2, "plan.md"), (3, "d3"), (4, "未知来源")])),
-    "prompt_assembly": (q_prompt, values_sql(("n", "prompt"), [(1, "head\n\nQ: q\nA: a\n\nnow?\n\n[1] x\n\n[2] y"), (2, "now?")])),
     "business_envelope": (q_envelope, """SELECT 'product_lookup' AS operation, 3 AS row_count, string_agg(j, ';' ORDER BY j) AS rows FROM (SELECT '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS j FROM part ORDER BY p_partkey LIMIT 3)"""),
 }

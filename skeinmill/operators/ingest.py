@@ -328,15 +328,10 @@ def line_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_chunks(spark, sf_dir).groupBy(F.md5(F.col("text").cast("binary")).alias("line_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-LOG = [(1, "a", "e1", "markdown"), (2, "a", "e1", "raw"), (3, "b", "e1", "chunk"), (4, "b", "e2", "raw"), (5, "c", "e1", "chunk"), (6, "c", "e1", "chunk"), (7, "d", None, "raw"), (8, "d", None, "markdown"), (9, "e", "e1", "vectorized")]
-
-
-def ingest_resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources against the log: skip what is vectorised, chunk what is converted, convert the rest."""
-    current = best_record(spark.createDataFrame(LOG, "pos long, key string, etag string, stage string"))
-    sources = spark.createDataFrame([(k, "e1") for k in "abcdef"], "key string, now string")
-    action = F.when(F.col("etag").isNotNull() & (F.col("etag") != F.col("now")), "full").when(F.col("stage") == "vectorized", "skip").when(F.col("stage") == "chunk", "vectorize").when(F.col("stage") == "markdown", "chunk").otherwise("full")
-    return sources.join(current, "key", "left").select("key", "stage", action.alias("action"))
+def resume_action(stage: Column, etag: Column, now: Column) -> Column:
+    """What a source of content ``now`` needs, whose best record is of ``stage`` and ``etag``: skip, vectorize, chunk or full."""
+    changed = etag.isNotNull() & (etag != now)
+    return F.when(changed, "full").when(stage == "vectorized", "skip").when(stage == "chunk", "vectorize").when(stage == "markdown", "chunk").otherwise("full")
 
 
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +375,6 @@ def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _L = "l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 _NORM = r"trim(regexp_replace(regexp_replace(text, '\\([\\`*_{}\[\]()#+\-.!|>~])', '\1', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
-_LOG = ", ".join(f"({p}, '{k}', {repr(e) if e else 'NULL'}, '{s}')" for p, k, e, s in LOG)
 _COLL = ", ".join(f"'{c}'" for c in COLLECTIONS)
 QUERIES = {
     "route_collection": (route, f"""WITH k AS (SELECT 'raw/' || CASE page_id % 3 WHEN 0 THEN 'rules' WHEN 1 THEN regexp_extract(url, '://[^/]*/([^/?#]*)', 1) ELSE 'cases' END || '/p' || page_id || '.html' AS key FROM pages)
@@ -405,11 +399,6 @@ QUERIES = {
     "chunk_size_stats": (chunk_size_stats, f"WITH {_L} SELECT doc_id, count(*) AS chunks, max(length(text)) AS longest, round(avg(length(text)), 6) AS mean FROM l WHERE trim(text) <> '' GROUP BY 1"),
     "dedup_exact": (dedup_exact, f"WITH {_L}, h AS (SELECT doc_id, i, sha256({_NORM}) AS hash FROM l), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, hash ORDER BY i) = 1) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, hash FROM f"),
     "line_hash_dedupe": (line_hash_dedupe, f"WITH {_L} SELECT md5(text) AS line_md5, min(doc_id) AS doc_id, count(*) AS n FROM l GROUP BY 1"),
-    "ingest_resume_plan": (ingest_resume_plan, f"""WITH g AS (SELECT *, CASE WHEN etag IS NOT DISTINCT FROM lag(etag) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM (VALUES {_LOG}) v(pos, key, etag, stage) WINDOW w AS (PARTITION BY key ORDER BY pos)),
-        e AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY pos) AS epoch FROM g),
-        b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY epoch DESC, list_position(['raw', 'markdown', 'chunk', 'vectorized'], stage) DESC, pos DESC) = 1)
-        SELECT s.key, b.stage, CASE WHEN etag IS NOT NULL AND etag <> 'e1' THEN 'full' WHEN stage = 'vectorized' THEN 'skip' WHEN stage = 'chunk' THEN 'vectorize' WHEN stage = 'markdown' THEN 'chunk' ELSE 'full' END AS action
-        FROM (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS key) s LEFT JOIN b USING (key)"""),
     "ingest_stats": (ingest_stats, "SELECT user_id, count(*) AS total, count_if(event_type = 'error')::BIGINT AS error, count_if(event_type = 'view')::BIGINT AS view, count_if(event_type = 'signup')::BIGINT AS signup FROM events GROUP BY 1"),
     "web_page_extract": (web_page_extract, None),
     "url_guard": (url_guard, r"""WITH u AS (SELECT url FROM pages UNION ALL SELECT unnest(['http://10.0.0.1/', 'ftp://x/', 'http://u:p@x.com/', 'https://172.20.1.1/', NULL])), h AS (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM u)

@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.operators.inverted_index import InvertedIndex, index_of, query_terms
-from skeinmill.operators.structure import values_sql
 from skeinmill.runtime import table
 
 PREFETCH = 20
@@ -213,30 +212,6 @@ def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("b")).select("query_id", F.md5(F.array_join("b.b", "\n\n").cast("binary")).alias("context_md5"))
 
 
-_POINTS = [
-    ("d", 0, "p0", "pdf", "a.pdf", ["x", "y"], None, "t1"), ("d", 1, "p1", "pdf", "a.pdf", ["x"], False, "t1"), ("d", 2, "p2", "pdf", "a.pdf", ["y", "x", "z"], True, "t1"),
-    ("e", 0, "p3", "md", "b.md", None, None, "t1"), ("e", 1, "p4", "pdf", "a.pdf", ["y", "x"], None, "t2"), ("e", 2, "p5", "pdf", None, ["x", "y"], None, None),
-]
-
-
-def _sample_points(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_POINTS, "doc_uuid string, chunk_index int, id string, doc_type string, filename string, tags array<string>, is_deleted boolean, tenant_id string")
-
-
-def metadata_filter_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every filter over sample points: one row a filter and point that passes."""
-    asked = {
-        "base": base_filter("t1"), "deleted": base_filter("t1", include_deleted=True), "any": base_filter(), "tags": base_filter() & metadata_filter(tags=("x", "y")),
-        "all": base_filter("t1") & metadata_filter("d", "pdf", "a.pdf", ("x",)), "file": metadata_filter(filename="a.pdf"),
-    }
-    rows = _sample_points(spark).select("id", F.explode(F.array(*[F.when(c, n) for n, c in asked.items()])).alias("filter"))
-    return rows.where("filter IS NOT NULL")
-
-
-def scroll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scroll_by_doc(_sample_points(spark), 2).select("id", "page")
-
-
 _TOK = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: true)"
 _BM25 = f"""
 tok AS (SELECT doc_id, {_TOK} AS t FROM corpus), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
@@ -274,8 +249,6 @@ QUERIES = {
         SELECT query_id, doc_id, source, rank FROM {_rank("c", 10)}"""),
     "multi_collection_merge": (multi_collection_merge, f"""WITH corpus AS (SELECT doc_id, text FROM documents), {_BM25}, s AS (SELECT bm.*, source AS collection FROM bm JOIN documents USING (doc_id)),
         o AS (SELECT * EXCLUDE (rank) FROM {_rank("s", 10, part="query_id, collection")}) SELECT query_id, doc_id, collection, rank FROM {_rank("o", 10)}"""),
-    "metadata_filter_tags": (metadata_filter_tags, values_sql(("filter", "id"), [(f, i) for f, ids in {"base": "013", "deleted": "0123", "any": "01345", "tags": "045", "all": "01", "file": "0124"}.items() for i in (f"p{n}" for n in ids)])),
-    "scroll_by_document": (scroll_pages, values_sql(("id", "page"), [("p0", 0), ("p1", 0), ("p2", 1), ("p3", 0), ("p4", 0), ("p5", 1)])),
     "render_context": (render_context, f"""WITH corpus AS (SELECT doc_id, text FROM documents), {_BM25}, h AS (SELECT query_id, rank, source, text FROM {_rank("bm", 5)} JOIN documents USING (doc_id))
         SELECT query_id, md5(string_agg('[' || (rank + 1) || '] ' || coalesce(source, '') || chr(10) || substr(text, 1, 1800), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM h GROUP BY 1"""),
 }

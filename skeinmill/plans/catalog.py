@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinmill.operators import answers, assistant, business, chunkdedup, cleaning, ingest, neardup, retrieval, sessions, structure
-from skeinmill.sources import objects, points
+from skeinmill.plans import on_tables
+from skeinmill.sources import points
 from skeinmill.streaming import ingest as stream_ingest
 from skeinmill.streaming import feedback, limits, memory
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure, chunkdedup, assistant, objects, points, limits, memory, feedback, stream_ingest)
+_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, structure, chunkdedup, assistant, on_tables, points, limits, memory, feedback, stream_ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.functions.text import stripped
-from skeinmill.operators.structure import values_sql
 
 # Kinds of files that are taken in, where linked documents are, characters that no file name may hold.
 SUPPORTED = ("pdf", "docx", "pptx", "ppt", "xlsx", "xls", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "json", "md", "markdown", "txt")
@@ -289,44 +288,3 @@ def messages_between(messages: DataFrame, low: int | None, high: int | None, new
     rows = messages if low is None else messages.where(F.col("t") >= low)
     rows = rows if high is None else rows.where(F.col("t") <= high)
     return rows.orderBy(F.desc("t") if newest_first else F.asc("t"))
-
-
-# Queries ---------------------------------------------------------------------
-_KEY_CASES = [("raw/a.PDF", True, True), ("raw/", False, False), ("", False, False), (None, False, False), ("markdown/a.md", False, False), ("raw/x.exe", False, True), ("raw/.md", False, True), ("raw/b.tar.md", True, True)]
-
-
-def object_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.createDataFrame([(i, k) for i, (k, _, _) in enumerate(_KEY_CASES)], "n int, key string")
-    return keys.select("n", is_source_key(F.col("key")).alias("wanted"), is_source_key(F.col("key"), extensions=None).alias("staged"))
-
-
-_MESSAGES = [
-    (1, "m1", "file", '{"file_key": "f1", "file_name": "a/b.pdf"}'), (2, "m1", "file", '{"file_key": "f1", "file_name": "a/b.pdf"}'), (3, "m2", "post", '{"body": [{"image_key": "i1"}, {"text": "see https://x.example/wiki/T1?from=a and https://x.example/sheets/S1"}]}'),
-    (4, "m3", "text", "plain https://y.example/wiki/T1 https://y.example/docx"), (5, "m4", "file", '{"file_key": "f2", "file_name": "run.exe"}'), (6, "m5", "text", None),
-]
-_FOUND = [("m1", "file", "f1", "a_b.pdf", True), ("m2", "image", "i1", "m2_image_i1.jpg", True), ("m2", "linked wiki", "T1", "m2_wiki_T1", True), ("m2", "linked sheet", "S1", "m2_sheet_S1", True), ("m4", "file", "f2", "run.exe", False)]
-
-
-def q_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attachment_candidates(spark.createDataFrame(_MESSAGES, "pos long, message_id string, msg_type string, content string"))
-
-
-_NAMES = [(' a<b>:"/c. ', "a_b____c", ' a_b___/c. '.strip()), ("", "download", "unknown"), (None, "download", "unknown"), ("/x/y\\", "_x_y_", "x/y"), ("n" * 200, "n" * 180, "n" * 200)]
-
-
-def q_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, n) for i, (n, _, _) in enumerate(_NAMES)], "n int, name string")
-    return rows.select("n", safe_filename(F.col("name")).alias("file"), path_part(F.col("name")).alias("part"))
-
-
-def q_merged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = lambda rows: spark.createDataFrame(rows, "key string, pos long, stage string, etag string")
-    return merged_index([log([("a", 1, "raw", "e1"), ("b", 2, "raw", "e1"), ("b", 9, "raw", "e2"), (None, 3, "raw", "x")]), log([("a", 1, "markdown", "e1")]), log([("c", 5, "chunk", None), ("a", 0, "chunk", "e0")])])
-
-
-QUERIES = {
-    "object_pruning": (object_pruning, "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (_, a, b) in enumerate(_KEY_CASES)) + ") v(n, wanted, staged)"),
-    "attachment_candidates": (q_attachments, "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{k}', '{x}', '{f}', {s})" for m, k, x, f, s in _FOUND) + ") v(message_id, kind, key, filename, supported)"),
-    "safe_names": (q_safe_names, values_sql(("n", "file", "part"), [(i, f, p) for i, (_, f, p) in enumerate(_NAMES)])),
-    "merged_index": (q_merged_index, "SELECT * FROM (VALUES ('a', 'chunk', 'e0'), ('b', 'raw', 'e2'), ('c', 'chunk', NULL)) v(key, stage, etag)"),
-}
