@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.operators.structure import values_sql
 from skeinmill.runtime import table
 
 ESCAPED = re.compile(r"\\([\\`*_{}\[\]()#+\-.!|>~])")  # fixed value: what Markdown escapes
@@ -104,26 +103,6 @@ def dedup_document_chunks(docs: DataFrame, near: bool = True, short: int = 30) -
     return docs.selectExpr("cast(doc_id as string) doc_id", "chunks").mapInPandas(run, "doc_id string, chunk_index int, from_index int, text string, title string, token_count int")
 
 
-_NEAR = "this passage of the manual is long enough to be compared with the other passage word by word for all of its length"
-CASES: list[tuple[str, list[Chunk], list[int]]] = [
-    ("exact", [("alpha  beta \\* gamma and more words than thirty", ""), ("other text that is longer than thirty characters", ""), (" alpha beta * gamma and more words than thirty ", "")], [0, 1]),
-    ("heading", [("## Setup", ""), ("## Setup\nhow the thing is set up, at length", "Setup")], [1]),
-    ("prefix", [("### Setup", ""), ("## Setup of more\nhow the thing is set up, at length", "Other")], [1]),
-    ("titled", [("short one", "Same"), ("a quite different and longer text that says no such thing", "Same")], [1]),
-    ("contained", [("said before", ""), ("what was said before is said again, and then some", "")], [1]),
-    ("earlier", [("what was said before is said again, and then some", ""), ("said before", "")], [0, 1]),
-    ("twins", [("# Only", ""), ("# Only", "")], [0]),
-    ("twintitles", [("# Only", "Only"), ("# Only", "Only")], []),
-    ("near", [("T\n" + _NEAR, "T"), ("T\n" + _NEAR + " indeed", "T"), ("T\n" + _NEAR + " too", "U")], [1, 2]),
-    ("blank", [(" \n", ""), ("", "T")], []),
-]
-
-
-def chunk_dedup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(d, [{"text": t, "title": n} for t, n in c]) for d, c, _ in CASES], "doc_id string, chunks array<struct<text:string,title:string>>")
-    return dedup_document_chunks(docs).select("doc_id", "chunk_index", "from_index")
-
-
 def dedup_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as chunks, without the near ones."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), F.lit("").alias("title")))
@@ -133,7 +112,6 @@ def dedup_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = r"trim(regexp_replace(regexp_replace(text, '\\([\\`*_{}\[\]()#+\-.!|>~])', '\1', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')"
 QUERIES = {
-    "chunk_dedup_pipeline": (chunk_dedup_pipeline, values_sql(("doc_id", "chunk_index", "from_index"), [(d, n, i) for d, _, kept in CASES for n, i in enumerate(kept)])),
     "dedup_short_contained": (dedup_contained, rf"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
         n AS (SELECT doc_id, i, {_NORM} AS n, regexp_extract(trim(text, ' ' || chr(9) || chr(13)), '^#{{1,6}}\s+(.+?)\s*$', 1) AS h FROM l WHERE trim(text, ' ' || chr(9) || chr(13)) <> ''),
         f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY i) = 1),

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from skeinmill.functions.toc import remove_toc
-from skeinmill.operators.structure import values_sql
 from skeinmill.operators.tables import tables_to_records
 from skeinmill.runtime import table
 
@@ -268,10 +267,10 @@ class CleanOptions:
 
 def clean_markdown(docs: DataFrame, options: CleanOptions = CleanOptions(), text_col: str = "text") -> DataFrame:
     """All rules in their fixed order on ``text_col``, row by row. Every row and column stays; what fired is in
-    removed_* columns and toc, null otherwise. A null or blank text stays as it is."""
+    removed_* columns and toc, null otherwise, which an input should not have. A null or blank text stays as it is."""
     o, count = options, lambda n: F.when(n > 0, n)
-    live = _strip(F.col(text_col)) != ""
-    df = docs.withColumn("_text", F.when(live, F.col(text_col)))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_whole"))
+    df = own.withColumn("_text", F.when(_strip(F.col("_whole")) != "", F.col("_whole")))
     if o.headers_footers:
         df = with_nfc(df, "_text", "_nfc").withColumn("_hit", repeated_headers(F.col("_nfc"), o.header_threshold, o.header_longest))
         df = df.withColumn("removed_headers_footers", F.when(F.size("_hit") > 0, F.col("_hit"))).withColumn("_text", without_headers(F.col("_text"), F.col("_nfc"), F.col("_hit"))).drop("_nfc", "_hit")
@@ -298,7 +297,9 @@ def clean_markdown(docs: DataFrame, options: CleanOptions = CleanOptions(), text
         df = df.withColumn("removed_duplicate", count(F.col("_cut.removed"))).withColumn("_text", F.col("_cut.text")).drop("_nfc", "_cut")
     if o.boilerplate:
         df = df.withColumn("_cut", boilerplate_tail(F.col("_text"), o.tail_paragraphs)).withColumn("removed_boilerplate", count(F.col("_cut.removed"))).withColumn("_text", F.col("_cut.text")).drop("_cut")
-    return df.withColumn(text_col, F.coalesce(collapse(F.col("_text")), F.col(text_col))).drop("_text")
+    clean = F.coalesce(collapse(F.col("_text")), F.col("_whole"))
+    rest = [c for c in df.columns if c not in ("_row", "_whole", "_text")]
+    return df.select(*[clean.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], *rest)
 
 
 # Finalisation, text by text: fixed patterns of zero-width characters, tags and pipeline noise.
@@ -396,73 +397,102 @@ def boilerplate_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(hit).cast("long").alias("n")).where("n > 0")
 
 
-HEADER_DOCS = [
-    ("hf3", "Report\n<!-- page: 1 -->\nAcme Confidential Memo\nalpha\n<!-- page: 2 -->\nAcme Confidential Memo\nbeta\n<!-- page: 3 -->\nAcme Confidential Memo\ngamma"),
-    ("hf2", "Report\n<!-- page: 1 -->\nSame line\nalpha\n<!-- page: 2 -->\nSame line\nbeta"),
-    ("hf4", "## Page 1\nfoot\nx\n## Page 2\nfoot\ny\n## Page 3\nz\nonce"),
-]
-
-
-def clean_header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame(HEADER_DOCS, "doc_id string, text string")
-    hit = with_nfc(docs, "text", "composed").withColumn("hit", repeated_headers(F.col("composed")))
-    return hit.select("doc_id", without_headers(F.col("text"), F.col("composed"), F.col("hit")).alias("text"), F.array_join("hit", "|").alias("removed"))
-
-
-_PARAGRAPH = "a paragraph of more than twenty characters"
-_LINES9 = "这是一个足够长的中文行啊"
-#: Documents for rules that the driver's tables have no lines for: (id, text, cleaned text, rules that fired).
-CLEAN_DOCS: list[tuple[str | None, str | None, str | None, str]] = [
-    ("null", None, None, ""), (None, "kept without an id", "kept without an id", ""), ("twice", "one text", "one text", ""), ("twice", "another text", "another text", ""), ("blank", " \n ", " \n ", ""),
-    ("hf", HEADER_DOCS[0][1], "Report\n<!-- page: 1 -->\nalpha\n<!-- page: 2 -->\nbeta\n<!-- page: 3 -->\ngamma", "headers_footers"),
-    ("nfc", "x1\n## Page 1\ncafe\u0301\na\n## Page 2\ncaf\u00e9 \nb\n## Page 3\n\u3000caf\u00e9\nc", "x1\n## Page 1\na\n## Page 2\nb\n## Page 3\nc", "headers_footers"),
-    ("hash", "x1\n## Page 1\n#tag\n# Head\n## Page 2\n#tag\n# Head\n## Page 3\n#tag\n# Head", "x1\n## Page 1\n# Head\n## Page 2\n# Head\n## Page 3\n# Head", "headers_footers"),
-    ("pn", "a1\n\u3000第 3 页\u3000\n4 / 9\n## Page 1\n共 12 项内容要点说明", "a1\n## Page 1\n共 12 项内容要点说明", "page_number"),
-    ("close", "a1\n**Thanks!**\n## 谢谢\nQ & A\nthanks for a long and winding evening", "a1\nthanks for a long and winding evening", "closing"),
-    ("noise", "a1\n内部资料请注意\n内部资料请注意保\n标题：内容", "a1\n内部资料请注意保\n标题：内容", "short_noise"),
-    ("deco", "a1\n---\n═══\n░░\ntext ---", "a1\ntext ---", "decoration"), ("empty", "a1\n##\n- \n3.\n+ -\nb1", "a1\nb1", "empty_block"),
-    ("dup", f"{_PARAGRAPH}\n\nshort one here\n\n {_PARAGRAPH}\n\nshort one here\n\n{_PARAGRAPH.replace(' ', '  ')}", f"{_PARAGRAPH}\n\nshort one here\n\nshort one here", "duplicate"),
-    ("dupnfc", "re\u0301sume\u0301 of more than twenty\n\nr\u00e9sum\u00e9 of more than twenty", "re\u0301sume\u0301 of more than twenty", "duplicate"),
-    ("guarded", "## A heading that is long enough\n\nb1\n\n## A heading that is long enough\n\nb2", "## A heading that is long enough\n\nb1\n\n## A heading that is long enough\n\nb2", ""),
-    ("toc", "# T\n\n## Contents\n- a1\n- b1\n- c1\nbody", "# T\n\nbody", "toc"),
-    ("legal", "a1\n\nb1\n\nCopyright 2020 somebody", "a1\n\nb1", "boilerplate"), ("far", "Copyright 2020 x1\n\na1\n\nb1\n\nc1\n\nd1\n\ne1", "Copyright 2020 x1\n\na1\n\nb1\n\nc1\n\nd1\n\ne1", ""),
-]
-FIRED = ("headers_footers", "page_number", "toc", "closing", "short_noise", "decoration", "empty_block", "duplicate", "boilerplate")
+_NOISE = ((r"[ \t]+", " "), (r"\n{4,}", "\n\n\n"), ("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]", ""), (r"[^\S\n]{2,}", " "))
+ORPHAN_BULLET = r"^\s*[-*]\s*$"
 
 
-def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of every rule; the tables' own are cleaned by ``clean_documents``."""
-    docs = spark.createDataFrame([d[:2] for d in CLEAN_DOCS], "doc_id string, text string")
-    fired = F.concat_ws(" ", *[F.when(F.col(f"removed_{name}").isNotNull(), name) for name in FIRED])
-    return clean_markdown(docs).select("doc_id", "text", fired.alias("fired"))
+def finalized(text: str | None, html_to_markdown=None) -> str:
+    """Line ends, zero-width characters, NFC and blank runs settled; HTML (with a converter) and pipe tables as text.
 
+    What a converter makes counts only if it is at least 20 characters and a quarter of the text.
+    """
+    if not (text or "").strip():
+        return ""
+    own = re.sub(ZERO_WIDTH, "", text.replace("\r\n", "\n").replace("\r", "\n"))
+    own = re.sub(r"\n{3,}", "\n\n", "\n".join(unicodedata.normalize("NFC", x.rstrip()) for x in own.split("\n"))).strip()
+    if html_to_markdown and re.search(HTML_TAG, own):
+        made = html_to_markdown(own).strip()
+        own = made if len(made) >= max(20, len(own) // 4) else own
+    return re.sub(r"\n{3,}", "\n\n", tables_to_records(own)).strip()
+
+
+def cleaned_for_pipeline(text: str | None) -> str:
+    """Blank runs, invisible characters and orphan bullets out, then finalised without HTML."""
+    own = text or ""
+    for pattern, by in PIPELINE_NOISE:
+        own = re.sub(pattern, by, own)
+    return finalized("\n".join(x for x in own.split("\n") if not re.match(ORPHAN_BULLET, x)).strip())
 
-def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_markdown(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
+def text_udf(f):
+    """A column function of a text function, in Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(f), StringType())
 
-FINAL_TEXTS = [
-    ("crlf", "a \r\nb\rc\u200b\n\n\n\nd\t", "a\nb\nc\n\nd"), ("nfc", "e\u0301", "\u00e9"), ("blank", " \n", ""), ("null", None, ""),
-    ("table", "x\n| k | v |\n|---|:-:|\n| 1 | 2 |\n| 3 |\ny", "x\nk：1 v：2\nk：3\ny"), ("head", "x\n| k |\n|---|\ny", "x\ny"), ("bars", "| a | b |\n| c | d |", "| a | b |\n| c | d |"),
-    ("html", "<h1>A title of a page</h1><p>text <b>bold</b></p><ul><li>one</li></ul>", "# A title of a page\n\ntext **bold**\n\n- one"),
-    ("tag", "a<br>b", "a<br>b"),
+
+def finalize_for_kb(text: Column, html: bool = True) -> Column:
+    from skeinmill.sources.readers import html_to_markdown
+
+    run = html_to_markdown if html else None
+    return text_udf(lambda t: finalized(t, run))(text)
+
+
+def clean_for_pipeline(text: Column) -> Column:
+    return text_udf(cleaned_for_pipeline)(text)
+
+
+#: Freshly written lines for rules whose inputs the driver's tables lack.
+LINES = [
+    "第 3 页", "4 / 9", "Page 2 of 7", "- 5 -", "p. 8", "## Page 1", "共 12 项内容", "12345", "pp. 3-9", "Thanks!", "**Thanks!**", "## 谢谢", "Q & A", "谢谢大家的聆听",
+    "感谢各位同事在过去一年里对这个项目的辛勤付出与坚持", "The end.", "Fin", "completely finished", "内部资料请注意", "内部资料请注意保管", "标题：内容", "- 列表项", "---", "═══", "░░", "text ---",
+    "##", "- ", "3.", "+ -", "3. item", "版权所有 2024", "Copyright (c) 2020", "plain text", "", "* * *", "·····", "页码 7", "　第 3 页　", "　 - 7 -",
 ]
 
 
-def finalize_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([d[:2] for d in FINAL_TEXTS], "doc_id string, text string")
-    return docs.select("doc_id", finalize_for_kb(F.col("text")).alias("text"))
+def _values() -> str:
+    return ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINES))
 
 
-PIPELINE_TEXTS = [("spaces", "a \t b\n\n\n\n\nc", "a b\n\nc"), ("bullet", "a\n - \n*\nb", "a\nb"), ("null", None, ""), ("zero", "\ufeffa\u2060b", "ab")]
+def _rule_query(rule):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = spark.createDataFrame(list(enumerate(LINES)), "pos long, line string")
+        own = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
+        whole = lines.select("line").unionByName(own)
+        return whole.where(rule(F.col("line"))).groupBy("line").agg(F.count("*").alias("n"))
 
+    return run
 
-def pipeline_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([d[:2] for d in PIPELINE_TEXTS], "doc_id string, text string")
-    return docs.select("doc_id", clean_for_pipeline(F.col("text")).alias("text"))
+
+def _sql_any(col: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, '{p}')" for p in patterns) + ")"
+
+
+_ALL = f"l AS (SELECT line FROM (VALUES {_values()}) v(pos, line) UNION ALL SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
+_T = "trim(line, ' ' || chr(9) || chr(13) || chr(12288) || chr(160))"
+
+
+def _rule_sql(where: str) -> str:
+    return f"WITH {_ALL} SELECT line, count(*) AS n FROM l WHERE {where} GROUP BY 1"
+
+
+def clean_duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_nfc(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "composed")
+    return docs.select("doc_id", F.md5(unique_paragraphs(F.col("text"), F.col("composed"), 20, 2, "\n")["text"].cast("binary")).alias("text_md5"))
+
+
+def finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(finalize_whitespace(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+def boilerplate_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.filter(F.split("text", "\n", -1), is_boilerplate)
+    return docs.select("doc_id", F.size(hit).cast("long").alias("n")).where("n > 0")
+
+
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markdown(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_HV = ", ".join("('{}', '{}')".format(d, t.replace("\n", "' || chr(10) || '")) for d, t in HEADER_DOCS)
 _NOISE = rf"NOT regexp_matches(line, '{PAGE_MARK}') AND NOT regexp_matches(line, '{STRUCTURE}') AND NOT regexp_matches(line, '[:：A-Za-z0-9]') AND len(regexp_extract_all(line, '[一-鿿]')) BETWEEN 1 AND 7"
 QUERIES = {
     "clean_page_numbers": (_rule_query(is_page_number), _rule_sql(f"{_T} <> '' AND NOT starts_with({_T}, '#') AND {_sql_any(_T, PAGE_NUMBER)}")),
@@ -476,14 +506,4 @@ QUERIES = {
         k AS (SELECT *, trim(regexp_replace(part, '[ \t\r\n]+', ' ', 'g'), ' ') AS key FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS n FROM k)
         SELECT doc_id, md5(string_agg(part, chr(10) ORDER BY pos)) AS text_md5 FROM r WHERE n = 1 OR length(key) < 20 GROUP BY 1"""),
     "finalize_whitespace": (finalize, r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[​‌‍﻿]', '', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))) AS text_md5 FROM documents"),
-    "clean_header_footer": (clean_header_footer, f"""WITH d(doc_id, text) AS (VALUES {_HV}), l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM d)),
-        p AS (SELECT *, sum(m) OVER (PARTITION BY doc_id ORDER BY pos) AS page, sum(m) OVER (PARTITION BY doc_id) AS marks FROM (SELECT *, regexp_matches(line, '{PAGE_MARK}')::INT AS m FROM l)),
-        h AS (SELECT doc_id, {_T} AS line FROM p WHERE marks >= 3 AND {_T} <> '' AND length({_T}) <= 30 AND m = 0 AND NOT regexp_matches({_T}, '{HEADING}') AND NOT regexp_matches({_T}, '{DECORATION}')
-          GROUP BY ALL HAVING count(DISTINCT page) >= greatest(2, round_even(0.5 * (max(marks) + 1), 0)))
-        SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, coalesce((SELECT string_agg(line, '|' ORDER BY line) FROM h WHERE h.doc_id = l.doc_id), '') AS removed
-        FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.line = trim(l.line, ' ' || chr(9) || chr(13))) GROUP BY doc_id"""),
-    "clean_pipeline": (clean_pipeline, values_sql(("doc_id", "text", "fired"), [(d, t, f) for d, _, t, f in CLEAN_DOCS])),
-    "clean_documents": (clean_documents, None),
-    "finalize_for_kb": (finalize_kb, values_sql(("doc_id", "text"), [(d, t) for d, _, t in FINAL_TEXTS])),
-    "clean_for_pipeline": (pipeline_clean, values_sql(("doc_id", "text"), [(d, t) for d, _, t in PIPELINE_TEXTS])),
 }
