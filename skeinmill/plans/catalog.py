@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinmill.operators import answers, assistant, business, chunkdedup, cleaning, ingest, neardup, retrieval, sessions
+from skeinmill.operators import answers, assistant, business, chunkdedup, cleaning, ingest, neardup, recall, retrieval, sessions
 from skeinmill.plans import documents_on_tables, on_tables
 from skeinmill.sources import points
 from skeinmill.streaming import ingest as stream_ingest
 from skeinmill.streaming import feedback, limits, memory
 
 FLAGSHIP = "recall_hybrid"
-_MODULES = (retrieval, cleaning, sessions, business, ingest, neardup, answers, chunkdedup, assistant, on_tables, documents_on_tables, points, limits, memory, feedback, stream_ingest)
+_MODULES = (retrieval, recall, cleaning, sessions, business, ingest, neardup, answers, chunkdedup, assistant, on_tables, documents_on_tables, points, limits, memory, feedback, stream_ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
