@@ -53,3 +53,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
     )
+
+
+def greedy_dropped(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``node``: what a pass over the nodes in rising order drops, that keeps a node unless a kept one is linked with it.
+
+    A node without an undecided smaller neighbour is kept, and its neighbours go;
+    links of those that are decided are left out, so links shrink from round to
+    round, all over the table at once. There are as many rounds as the longest
+    chain of decisions. Null ends and self loops are ignored, repeated links count
+    once. Nodes that no link touches are kept.
+    """
+    a, b = F.col(src), F.col(dst)
+    open_links = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((a != b) & a.isNotNull() & b.isNotNull()).distinct(), "greedy-links")
+    dropped = open_links.select(F.col("u").alias("node")).limit(0)
+    while not open_links.isEmpty():
+        first = open_links.select("v").distinct().join(open_links.select(F.col("u").alias("v")), "v", "left_anti")
+        gone = settle(open_links.join(first, "v", "left_semi").select(F.col("u").alias("node")).distinct(), "greedy-gone")
+        dropped = dropped.unionByName(gone)
+        rest = open_links.join(gone.select(F.col("node").alias("u")), "u", "left_anti").join(gone.select(F.col("node").alias("v")), "v", "left_anti")
+        following = settle(rest.select("u", "v"), "greedy-links")
+        discard(open_links)
+        open_links = following
+    return dropped

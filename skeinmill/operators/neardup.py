@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinmill.operators.graph import connected_components
+from skeinmill.operators.graph import connected_components, greedy_dropped
 from skeinmill.operators.inverted_index import tokens
 from skeinmill.runtime import settle, table, text_batches
 
@@ -84,11 +84,7 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
     without tokens, null texts and null ids link with nothing; an
     empty table gives an empty result.
     """
-    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.xxhash64(a, b))
-    words = F.filter(tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(*stopwords) if stopwords else F.length(x) > 1)
-    whole = docs.where("doc_id IS NOT NULL").select("doc_id", words.alias("t")).where(F.size("t") > 0)
-    own_pairs = F.when(F.size("t") > 1, pairs).otherwise(F.transform("t", lambda x: F.xxhash64(x)))
-    feats = whole.select("doc_id", F.array_sort(F.array_distinct(own_pairs)).alias("f"))
+    feats = pair_sets(docs, stopwords)
     feats = settle(feats.select("doc_id", "f", F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")), "neardup-sets")
     classes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     copies = feats.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
@@ -108,9 +104,78 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
     return copies.unionByName(stars).unionByName(more).withColumn("score", F.round("score", 3))
 
 
+def pair_sets(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the sorted set ``f`` of hashes of a document's token pairs, where it has any."""
+    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.xxhash64(a, b))
+    words = F.filter(tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(*stopwords) if stopwords else F.length(x) > 1)
+    whole = docs.where("doc_id IS NOT NULL").select("doc_id", words.alias("t")).where(F.size("t") > 0)
+    own = F.when(F.size("t") > 1, pairs).otherwise(F.transform("t", lambda x: F.xxhash64(x)))
+    return whole.select("doc_id", F.array_sort(F.array_distinct(own)).alias("f"))
+
+
+def similar_classes(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Every document with the smallest id of its class of equal sets (doc_id, rep), and all links (a, b), a > b, between
+    classes whose sets have at least this Jaccard similarity.
+
+    An exact join by prefixes: of two such sets the rarest elements, all but a
+    share ``threshold`` of each, have one in common, so only those are joined;
+    then the sets of each candidate are compared. Ids are expected once.
+    """
+    feats = settle(pair_sets(docs, stopwords), "neardup-sets")
+    classes = feats.groupBy("f").agg(F.min("doc_id").alias("rep"))
+    members = feats.join(classes, "f").select("doc_id", "rep")
+    own = settle(classes.select(F.col("rep").alias("doc_id"), "f"), "neardup-classes")
+    each = own.select("doc_id", F.size("f").alias("n"), F.explode("f").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("often")).where("often > 1")
+    # elements of one class alone join with nothing and come first: only their number counts
+    shared = each.join(often, "x").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("s"))
+    least = F.ceil(threshold * F.col("n") - 1e-9).cast("int")
+    room = F.greatest(F.lit(0), F.size("s") - least + 1)
+    prefix = shared.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), room)).alias("e")).select("doc_id", "n", F.col("e.x").alias("x"))
+    prefix = settle(prefix, "neardup-prefixes")
+    side = lambda s: prefix.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), "x")
+    fits = (F.col("a") > F.col("b")) & (F.col("na") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)
+    pairs = side("a").join(side("b"), "x").where(fits).select("a", "b").distinct()
+    sets = lambda s: own.select(F.col("doc_id").alias(s), F.col("f").alias(f"f{s}"))
+    return members, pairs.join(sets("a"), "a").join(sets("b"), "b").where(_jaccard(F.col("fa"), F.col("fb")) >= threshold).select("a", "b")
+
+
+def greedy_keep(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id of the documents that stay if they are gone through by id and one goes whenever a kept one is similar.
+
+    Of a class of equal sets only the smallest can stay: what drops it drops all.
+    Documents without tokens are like nothing and stay; rows without an id are left out.
+    """
+    members, links = similar_classes(docs, threshold, stopwords)
+    dropped = greedy_dropped(links, "a", "b").select(F.col("node").alias("doc_id"))
+    copies = members.where("doc_id <> rep").select("doc_id")
+    return docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(dropped.unionByName(copies), "doc_id", "left_anti")
+
+
+def write_survivors(docs: DataFrame, kept: DataFrame, path: str) -> None:
+    """The rows of ``docs`` whose doc_id is among ``kept``, one of equal rows, as JSON lines below ``path``."""
+    docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates().write.mode("overwrite").json(path)
+
+
+def neardup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy_keep(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     with text_batches(spark):
         return connected_components(similar_links(table(spark, sf_dir, "documents")), "a", "b")
 
 
-QUERIES = {"neardup_groups": (neardup_groups, None)}
+_TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) > 1)"
+_LINKS = f"""tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    fs AS (SELECT doc_id, list_distinct(CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE t END) AS f FROM tok WHERE len(t) > 0),
+    pr AS (SELECT doc_id, len(f) AS n, unnest(f) AS x FROM fs),
+    co AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM pr a JOIN pr b ON a.x = b.x AND a.doc_id > b.doc_id AND a.n * 0.6 <= b.n AND b.n * 0.6 <= a.n GROUP BY 1, 2),
+    ln AS MATERIALIZED (SELECT a, b FROM co WHERE c >= 0.6 * (na + nb - c))"""
+QUERIES = {
+    "neardup_groups": (neardup_groups, f"""WITH RECURSIVE {_LINKS}, e AS MATERIALIZED (SELECT a, b FROM ln UNION SELECT b, a FROM ln), r AS (SELECT DISTINCT a AS node, a AS x FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.x)
+        SELECT node, min(x) AS component FROM r GROUP BY 1"""),
+    "neardup_kept": (neardup_kept, f"""WITH RECURSIVE {_LINKS}, od AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, coalesce(nb, []) AS nb FROM documents LEFT JOIN (SELECT a AS doc_id, list(b) AS nb FROM ln GROUP BY 1) USING (doc_id) WHERE doc_id IS NOT NULL),
+        g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(o.nb, g.kept) THEN g.kept ELSE list_append(g.kept, o.doc_id) END FROM g JOIN od o ON o.i = g.i + 1)
+        SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)"""),
+}
