@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinmill.llm.shingles import text_runs
 from skeinmill.runtime import settle, table, text_batches
@@ -268,8 +269,8 @@ def predict_language(docs: DataFrame, model: ByteGru | None, text_col: str = "te
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     slim = docs.select(F.col(text_col).alias("text"), row)
-    schema = slim.schema["row"].dataType.simpleString()
-    return slim.mapInArrow(_predictor(model), f"row {schema}, lang_pred string, score double")
+    schema = T.StructType([T.StructField("row", slim.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return slim.mapInArrow(_predictor(model), schema)
 
 
 def held_out(doc_id: Column) -> Column:

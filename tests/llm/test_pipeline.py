@@ -61,3 +61,16 @@ def test_documents_stay_without_a_labelled_text(spark):
     rows = [(1, "one two", None, "s", 7), (2, "\u00e9", None, "s", 1), (3, "12 !", None, "s", 4), (4, None, None, "s", 0), (5, None, "aa", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 2]
+
+
+def test_stages_bear_columns_of_odd_names_and_types(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `my col:x` string, facts map<string,int>, `a.b` array<struct<x:int>>, row string, slot long"
+    rows = [(i, f"some plain words of number {'abcdefgh'[i % 8]} " * 9, "aa", "s", 0, "v", {"k": i}, [(i,)], "r", 1) for i in range(6)]
+    rows += [(0, rows[0][1], "aa", "s", 0, "v", {"k": 0}, [(0,)], "r", 1), (None, "another text without an id", None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.settle(stage(spark, docs, ""), "t")
+        assert docs.columns == columns, name
+    assert docs.count() > 0 and docs.where("facts IS NOT NULL").count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
