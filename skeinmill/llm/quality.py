@@ -137,7 +137,8 @@ def classify_quality(
     ``labels`` has ``id_col`` and good (0 or 1; nulls are no label; of repeated
     labels the worst counts). The logistic model is fitted on the ``sample_rows``
     labelled texts with the smallest id hashes; site counts cover all labels. The
-    rates of a labelled row leave its own label out, in the global rate too.
+    rates of a labelled row leave its own label out, in the global rate too; an id
+    counts once on a path however many rows it has there.
     Null and empty texts have features of zero. A null host or path is one of
     its own. Without labels every score is one half. Null and repeated ids get a
     row each; a row without an id has no label. An empty table gives an empty
@@ -155,7 +156,7 @@ def classify_quality(
     x = np.frombuffer(b"".join(seen.column("f").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
     weights, bias = fit_logistic(x, np.asarray(seen.column("good"), dtype=float))
 
-    paths, hosts, at = site_posteriors(labelled)
+    paths, hosts, at = site_posteriors(labelled.select("doc_id", "host", "path", "good").distinct())
     id_type = own.schema["doc_id"].dataType.simpleString()
     rows = own.mapInArrow(_scorer(weights, bias), f"doc_id {id_type}, host string, path string, log_odds double")
     rows = settle(rows, "quality-scores")

@@ -262,3 +262,10 @@ def test_encoder_equals_the_tokenizer():
     for at in range(0, len(points), 8192):
         text = "".join(f"a{chr(c)}b {chr(c)}1 \n" for c in points[at : at + 8192])
         assert tok.encode(text, add_special_tokens=False).ids == enc(text).tolist()
+
+
+def test_repeated_labelled_rows_leave_no_copy_of_their_label(spark):
+    base = [(i, f"word{i % 3} text", "h" if i < 6 else "k", "p") for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, good int")
+    rate = lambda rows: {r.doc_id: (r.host_rate, r.path_rate) for r in quality.classify_quality(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), labels, F.col("host"), F.col("path")).collect()}
+    assert rate(base + [base[1]] * 3) == rate(base)
