@@ -26,10 +26,11 @@ from skeinmill.operators.cleaning import (
     with_nfc,
     without_headers,
 )
-from skeinmill.operators.structure import chunk_structure
+from skeinmill.operators.structure import SEPARATORS, chunk_structure
 from skeinmill.runtime import table
 
-LARGE = 1 << 24  # characters; no piece of the derived documents is longer
+LARGE = 1 << 24  # characters; no piece of the documents that are not cut by size is longer
+SIZE, OVERLAP = 512, 128
 _OUT = ("doc_id", "chunk_index", "text_md5", "kind", "title", "level", "breadcrumb", "page", "slide", "sheet", "row_index", "part_index")
 
 
@@ -39,8 +40,8 @@ def _joined(rows: DataFrame, key: str, order: str, part, joint: str, kind: str)
     return rows.groupBy(F.col(key).cast("string").alias("doc_id")).agg(F.array_join(parts, joint).alias("text")).withColumn("doc_type", F.lit(kind))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    return chunk_structure(docs, LARGE).withColumn("text_md5", F.md5(F.col("text").cast("binary"))).select(*_OUT)
+def _chunks(docs: DataFrame, size: int = LARGE) -> DataFrame:
+    return chunk_structure(docs, size, OVERLAP).withColumn("text_md5", F.md5(F.col("text").cast("binary"))).select(*_OUT)
 
 
 def _plain(text):
@@ -51,15 +52,39 @@ def _plain(text):
 _SQL_PLAIN = "trim(regexp_replace(text, '[^A-Za-zÀ-ÿ ]+', ' ', 'g'), ' ')"
 
 
+_BLANKS = "' \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　'"  # what str.strip removes
+
+
+def _sql_parts(pieces: str) -> str:
+    """CTEs that cut the texts ``t`` of ``pieces`` (doc, piece, t and facts) to ``SIZE``: ``parts`` has doc, piece, n (number of the part) and t.
+
+    At each separator, from coarse to fine, what is too long is split, and neighbours are joined again as long as they fit.
+    """
+    out = f"c0 AS (SELECT doc, piece, []::INT[] AS path, t FROM {pieces})"
+    for k, mark in enumerate(SEPARATORS, 1):
+        joint = "'" + mark.replace("\n", "' || chr(10) || '") + "'"
+        units = f"list_transform(list_filter(list_transform(string_split(t, {joint}), lambda x: trim(x, {_BLANKS})), lambda x: x <> ''), lambda x: [x])"
+        fits = f"len(a) > 0 AND length(a[-1]) + length({joint}) + length(x[1]) <= {SIZE}"
+        cut = f"list_reduce({units}, lambda a, x: CASE WHEN {fits} THEN a[:-2] || [a[-1] || {joint} || x[1]] ELSE a || x END, []::VARCHAR[])"
+        if not mark:
+            cut = f"list_transform(range(0, length(t), {SIZE - OVERLAP}), lambda a: substr(t, a + 1, {SIZE}))"
+        whole = f"SELECT doc, piece, path, CASE WHEN length(t) > {SIZE} THEN {cut} ELSE [t] END AS l FROM c{k - 1}"
+        out += f",\n    c{k} AS (SELECT doc, piece, list_append(path, j::INT) AS path, t FROM (SELECT doc, piece, path, unnest(l) AS t, generate_subscripts(l, 1) AS j FROM ({whole})))"
+    return out + f""",
+    parts AS (SELECT doc, piece, n, trim(t, {_BLANKS}) AS t FROM (SELECT *, (row_number() OVER (PARTITION BY doc, piece ORDER BY path) - 1)::INT AS n FROM c{len(SEPARATORS)}) WHERE trim(t, {_BLANKS}) <> '')"""
+
+
 def chunk_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck a conversation, a slide a turn with its whole text, long ones in parts. The SQL knows that no turn has a heading or a page mark of its own."""
     said = table(spark, sf_dir, "conversations")
-    slide = F.concat(F.lit("## Slide "), F.col("turn") + 1, F.lit("\n\n"), _plain(F.col("text")))
-    return _chunks(_joined(said, "conv_id", "turn", slide, "\n\n---\n\n", "ppt"))
+    slide = F.concat(F.lit("## Slide "), F.col("turn") + 1, F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return _chunks(_joined(said, "conv_id", "turn", slide, "\n\n---\n\n", "ppt"), SIZE)
 
 
-_SLIDES = f"""WITH s AS (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, {_SQL_PLAIN} AS p FROM conversations)
-    SELECT conv_id::VARCHAR AS doc_id, n AS chunk_index, md5(trim('## Slide ' || (turn + 1) || chr(10) || chr(10) || p, ' ' || chr(10)) || CASE WHEN last THEN '' ELSE CASE WHEN p = '' THEN chr(10) || chr(10) || chr(10) || chr(10) ELSE chr(10) || chr(10) END || '---' END) AS text_md5, 'slide' AS kind,
-      'Slide ' || (turn + 1) AS title, NULL::INT AS level, NULL::VARCHAR AS breadcrumb, NULL::INT AS page, (turn + 1)::INT AS slide, NULL::VARCHAR AS sheet, NULL::INT AS row_index, NULL::INT AS part_index FROM s"""
+_SLIDES = f"""WITH s AS (SELECT conv_id AS doc, turn AS piece, trim('## Slide ' || (turn + 1) || chr(10) || chr(10) || coalesce(text, '') || CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN '' ELSE chr(10) || chr(10) || '---' END, {_BLANKS}) AS t FROM conversations),
+    {_sql_parts("s")}
+    SELECT doc::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc ORDER BY piece, n) - 1)::INT AS chunk_index, md5(parts.t) AS text_md5, 'slide' AS kind, 'Slide ' || (piece + 1) AS title, NULL::INT AS level, NULL::VARCHAR AS breadcrumb,
+      NULL::INT AS page, (piece + 1)::INT AS slide, NULL::VARCHAR AS sheet, NULL::INT AS row_index, CASE WHEN length(s.t) > {SIZE} THEN n END AS part_index FROM parts JOIN s USING (doc, piece)"""
 
 
 def chunk_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skeinmill.operators.chunkdedup import Chunk, dedup_document_chunks
 from skeinmill.operators.cleaning import HEADING, DECORATION, PAGE_MARK, _T, clean_for_pipeline, clean_markdown, finalize_for_kb, repeated_headers, with_nfc, without_headers
-from skeinmill.operators.structure import chunk_structure, values_sql
+from skeinmill.operators.structure import chunk_structure, structure_chunks, values_sql
+from skeinmill.plans import documents_on_tables as plans
 
 _LONG = "一二三四五六七八九十" * 6
 CHUNKED: dict[str, tuple[list[tuple[str, str, str]], list[tuple]]] = {
@@ -192,3 +193,27 @@ def test_example(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(repr([r[c] for c in names]) for r in df.collect()) == sorted(repr(list(r)) for r in found.fetchall())
+
+
+ODD_TEXTS = ["Costs: 12.50 (net)!", "", None, "\u3000 \n", "一二。三", "a. " * 400, "x" * 1300, ("word; " * 100 + "\n") * 3 + "y" * 600 + " end. 7", "p\n\n" + "q" * 513 + "\n\nr", "s" * 384 + " " * 500 + "t"]
+
+
+@pytest.mark.parametrize("name", ["chunk_slides"])
+def test_whole_texts_are_cut_by_size(spark, tmp_path, name):
+    turns = [(i // 4, i % 4, "user", t) for i, t in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = plans.QUERIES[name]
+    con = duckdb.connect()
+    for table in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = query(spark, str(tmp_path))
+    rows = sorted(map(repr, map(tuple, got.collect())))
+    cur = con.execute(sql)
+    assert [d[0] for d in cur.description] == got.columns
+    assert rows == sorted(map(repr, cur.fetchall()))
+    assert got.where("part_index > 0").count() > 5
+    if name == "chunk_image":
+        whole = [p.text for t in ODD_TEXTS for p in structure_chunks(t or "", "image")]
+        md5s = sorted(r[0] for r in con.execute("SELECT md5(unnest($1))", [whole]).fetchall())
+        assert sorted(r.text_md5 for r in got.collect()) == md5s and any("12.50" in t for t in whole)
