@@ -100,12 +100,15 @@ _SHEETS = """SELECT p_size::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY
 
 
 def chunk_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole document as the text of an image, long ones in parts."""
     docs = table(spark, sf_dir, "documents")
-    return _chunks(docs.select("doc_id", F.lit("image").alias("doc_type"), F.concat(F.lit(" \n"), _plain(F.col("text"))).alias("text")))
+    return _chunks(docs.select("doc_id", F.lit("image").alias("doc_type"), F.concat(F.lit(" \n"), F.col("text")).alias("text")), SIZE)
 
 
-_IMAGE = f"""SELECT doc_id::VARCHAR AS doc_id, 0 AS chunk_index, md5({_SQL_PLAIN}) AS text_md5, 'ocr' AS kind, '' AS title, NULL::INT AS level, NULL::VARCHAR AS breadcrumb, 1 AS page, NULL::INT AS slide, NULL::VARCHAR AS sheet, NULL::INT AS row_index, NULL::INT AS part_index
-    FROM documents WHERE {_SQL_PLAIN} <> ''"""
+_IMAGE = f"""WITH s AS (SELECT doc_id AS doc, 0 AS piece, trim(text, {_BLANKS}) AS t FROM documents),
+    {_sql_parts("s")}
+    SELECT doc::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY doc ORDER BY n) - 1)::INT AS chunk_index, md5(parts.t) AS text_md5, 'ocr' AS kind, '' AS title, NULL::INT AS level, NULL::VARCHAR AS breadcrumb,
+      1 AS page, NULL::INT AS slide, NULL::VARCHAR AS sheet, NULL::INT AS row_index, CASE WHEN length(s.t) > {SIZE} THEN n END AS part_index FROM parts JOIN s USING (doc, piece)"""
 
 
 def chunk_word(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def test_example(spark, name):
 ODD_TEXTS = ["Costs: 12.50 (net)!", "", None, "\u3000 \n", "一二。三", "a. " * 400, "x" * 1300, ("word; " * 100 + "\n") * 3 + "y" * 600 + " end. 7", "p\n\n" + "q" * 513 + "\n\nr", "s" * 384 + " " * 500 + "t"]
 
 
-@pytest.mark.parametrize("name", ["chunk_slides"])
+@pytest.mark.parametrize("name", ["chunk_slides", "chunk_image"])
 def test_whole_texts_are_cut_by_size(spark, tmp_path, name):
     turns = [(i // 4, i % 4, "user", t) for i, t in enumerate(ODD_TEXTS)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
