@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.operators.inverted_index import InvertedIndex, index_of, query_terms
-from skeinmill.runtime import table
+from skeinmill.runtime import settle, table
 
 PREFETCH = 20
 MOST_QUERIES = 100_000
@@ -108,7 +108,7 @@ def encode_query(query: str, embedder) -> tuple[list[float], list[str]]:
 def ranked(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
     """The k best of each query, ranks from 0, ties to the smaller document."""
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scores.withColumn(name, (F.row_number().over(order) - 1).cast("long")).where(F.col(name) < k)
+    return scores.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def fuse(legs: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -142,7 +142,7 @@ def _inputs(spark: SparkSession, sf_dir: str):
 
 def document_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
     """The index that all BM25 queries over the whole corpus share."""
-    return index_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents", [f"{sf_dir}/documents.parquet"])
+    return index_of(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("collection")), "documents", [f"{sf_dir}/documents.parquet"])
 
 
 def recall_hybrid(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
@@ -188,17 +188,17 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_filter_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score filter, then the cap of three hits a document (here: a source), then the first ten."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    hits = document_index(spark, sf_dir).search(queries, 50).where("round(score, 9) >= 1.0").join(docs.select("doc_id", "source"), "doc_id")
+    hits = F.broadcast(document_index(spark, sf_dir).search(queries, 50).where("round(score, 9) >= 1.0")).join(docs.select("doc_id", "source"), "doc_id")
     capped = per_document_cap(hits.withColumn("score", F.round("score", 9)), 3, "source")
     return ranked(capped.drop("rank"), 10).select("query_id", "doc_id", "source", "rank")
 
 
 def multi_collection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each collection (source) recalls its own ten; the union is cut to ten again."""
-    docs, _, queries, _, _ = _inputs(spark, sf_dir)
+    _, _, queries, _, _ = _inputs(spark, sf_dir)
     index = document_index(spark, sf_dir)
     asked, _ = index.of_terms(queries)
-    scores = index.scores(asked).join(docs.select("doc_id", F.col("source").alias("collection")), "doc_id")
+    scores = index.scores(settle(asked, "bm25-asked"))
     order = W.partitionBy("query_id", "collection").orderBy(F.desc(F.round("score", 9)), "doc_id")
     own = scores.withColumn("n", F.row_number().over(order)).where("n <= 10").drop("n")
     return ranked(own, 10).select("query_id", "doc_id", "collection", "rank")
@@ -207,7 +207,7 @@ def multi_collection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered blocks of a question's hits, bodies cut at 1800 characters."""
     docs, _, queries, _, _ = _inputs(spark, sf_dir)
-    hits = document_index(spark, sf_dir).search(queries, 5).join(docs.select("doc_id", "source", F.col("text").alias("body")), "doc_id")
+    hits = F.broadcast(document_index(spark, sf_dir).search(queries, 5)).join(docs.select("doc_id", "source", F.col("text").alias("body")), "doc_id")
     block = F.concat(F.lit("["), F.col("rank") + 1, F.lit("] "), F.coalesce("source", F.lit("")), F.lit("\n"), F.substring("body", 1, 1800))
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("b")).select("query_id", F.md5(F.array_join("b.b", "\n\n").cast("binary")).alias("context_md5"))
 
