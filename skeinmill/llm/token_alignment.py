@@ -9,12 +9,13 @@ maximum. Components are exactly the minimal groups of tokens that cover the
 same bytes.
 
 All A-B pairs of a component are links. Documents are read in blocks of about
-``BLOCK_BYTES`` of text: a block is one row with its distinct linked id pairs, in
-how many of its documents each occurs, and per document which of them it holds
-and how often. So a pair is counted over the corpus by rows (block, pair), the counts
-return to the blocks by a join on the pair, and each block sums up its own
-documents. Nothing of the corpus goes to the driver or to all tasks; a pair has one
-row a block however many documents link it.
+``BLOCK_BYTES`` of text: a block has rows with its distinct linked id pairs (at most
+``ROW_PAIRS`` in one) and in how many of its documents each occurs, and a row a document
+with which of them it holds and how often. So a pair is counted over the corpus by rows
+(block, pair), the counts return to the blocks by a join on the pair, and each block
+sums up its own documents. Nothing of the corpus goes to the driver or to all tasks; a
+pair has one row a block however many documents link it. No row holds more than a
+document or ``ROW_PAIRS`` pairs, as readers and writers of Parquet hold many rows at once.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinmill.llm.packing import _byte_of, encoder
-from skeinmill.runtime import arrow_batch_rows, discard, settle, table, text_batches
+from skeinmill.runtime import discard, settle, table, text_batches
 
 #: Bytes of text after which a block is closed, and those worked on at a time.
 BLOCK_BYTES, CHUNK_BYTES = 1 << 22, 1 << 19
 
+#: Distinct pairs of a block in one row.
+ROW_PAIRS = 1 << 13
+
 #: A component with more links than this is expanded over its distinct ids.
 MANY_LINKS = 1 << 12
 
@@ -198,24 +202,26 @@ class _Block:
         self.held.append(np.bincount(key // (len(side_a.pieces) * size), minlength=len(texts)))
         self.bytes += sum(map(len, raw))
 
-    def row(self, block: int, schema: pa.Schema) -> pa.RecordBatch:
-        each = np.concatenate(self.pairs)
-        pairs, which = np.unique(each, return_inverse=True)
-        docs = {"id": pa.concat_arrays(self.ids), "sha": pa.array(self.sha, pa.string())}
+    def rows(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """A row a document, and rows with the pairs from number ``first`` on."""
+        pairs, which = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        held = np.concatenate([[0], np.cumsum(np.concatenate(self.held))]).astype(np.int32)
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        docs = {"id": pa.concat_arrays(self.ids), "sha": pa.array(self.sha, pa.string()), "groups": pa.array(self.groups or [None] * len(self.sha), pa.string())}
         docs |= {k: pa.array(v) for k, v in zip(self.FIGURES, np.concatenate(self.figures, axis=1), strict=True)}
-        docs |= {"groups": pa.array(self.groups or [None] * len(self.sha), pa.string()), "held": pa.array(np.concatenate(self.held).astype(np.int64))}
-        flat = {"pairs": pa.array(pairs), "docs": pa.array(np.bincount(which, minlength=len(pairs)).astype(np.int64)), "which": pa.array(which.astype(np.int32)), "often": pa.array(np.concatenate(self.often))}
-        columns = [pa.array([block], pa.int64())]
-        for field in list(schema)[1:]:
-            values = (docs | flat)[field.name]
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(field.type))
-        return pa.record_batch(columns, schema=schema)
+        docs |= {"which": lists(held, which.astype(np.int32)), "often": lists(held, np.concatenate(self.often))}
+        ends = np.append(np.arange(0, len(pairs), ROW_PAIRS), len(pairs))
+        found = {"first": pa.array(ends[:-1].astype(np.int64)), "pairs": lists(ends, pairs), "docs": lists(ends, np.bincount(which, minlength=len(pairs)).astype(np.int64))}
+        for own, n in ((docs, len(self.sha)), (found, len(ends) - 1)):
+            own["block"] = pa.array(np.full(n, block))
+            yield pa.record_batch([own[f.name].cast(f.type) if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _block_schema(id_type: T.DataType) -> T.StructType:
-    lists = {"id": id_type, "sha": T.StringType()} | {k: T.LongType() for k in _Block.FIGURES} | {"groups": T.StringType(), "held": T.LongType()}
-    lists |= {"pairs": T.LongType(), "docs": T.LongType(), "which": T.IntegerType(), "often": T.LongType()}
-    return T.StructType([T.StructField("block", T.LongType())] + [T.StructField(k, T.ArrayType(t)) for k, t in lists.items()])
+    kinds = {"block": T.LongType(), "id": id_type, "sha": T.StringType()} | {k: T.LongType() for k in _Block.FIGURES} | {"groups": T.StringType()}
+    kinds |= {"which": T.ArrayType(T.IntegerType()), "often": T.ArrayType(T.LongType())}
+    kinds |= {"first": T.LongType(), "pairs": T.ArrayType(T.LongType()), "docs": T.ArrayType(T.LongType())}
+    return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
 
 
 def _aligner(path_a: str, path_b: str, keep_groups: bool, schema: T.StructType):
@@ -237,10 +243,10 @@ def _aligner(path_a: str, path_b: str, keep_groups: bool, schema: T.StructType):
                 block.add(batch.column(0).slice(at, end - at), texts[at:end], sides)
                 at = end
                 if block.bytes >= BLOCK_BYTES:
-                    yield block.row(count, arrow)
+                    yield from block.rows(count, arrow)
                     block, count = new(), count + 1
         if block.ids:
-            yield block.row(count, arrow)
+            yield from block.rows(count, arrow)
 
     return align
 
@@ -255,33 +261,30 @@ def aligned_blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col:
 
 def pair_counts(blocks: DataFrame, size_b: int) -> DataFrame:
     """(pair, a, b, n, best): in how many documents each pair of ids is linked, and whether no other B id has more with its A id."""
-    each = blocks.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.*")
+    each = blocks.where("first IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("x.*")
     n = each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("n"))
     most = F.max("n").over(W.partitionBy("a"))  # no more rows than B has ids
     return n.select("pair", F.expr(f"pair div {size_b}").alias("a"), F.expr(f"pair % {size_b}").alias("b"), "n").withColumn("best", F.col("n") == most)
 
 
 def _summer(id_name: str, schema: T.StructType):
-    """Per document of each block: links whose pair is best, and the sum of all links' counts."""
+    """Per document of a block: links whose pair is best, and the sum of all links' counts. ``met`` has the block's pairs by number."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(docs: pa.Table, met: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        lists = lambda name: docs.column(name).combine_chunks()
+        which, often = lists("which").flatten().to_numpy(), lists("often").flatten().to_numpy()
+        upto = np.cumsum(lists("which").value_lengths().to_numpy())
+        held = np.diff(upto, prepend=0)
+        at, size = met.column("i").to_numpy(), int(which.max(initial=-1)) + 1
+        n, best = np.zeros(size, np.int64), np.zeros(size, bool)
+        n[at], best[at] = met.column("n").to_numpy(), met.column("best").to_numpy()
+        total = lambda x: (t := np.concatenate([[0], np.cumsum(x)]))[upto] - t[upto - held]
+        sums = {"n_best": pa.array(total(often * best[which])), "count_sum": pa.array(total(often * n[which]))}
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                column = lambda name: batch.column(name)[i].values  # noqa: E731, B023
-                often, which, held = column("often").to_numpy(), column("which").to_numpy(), column("held").to_numpy()
-                n, best = np.zeros(len(column("pairs")), np.int64), np.zeros(len(column("pairs")), bool)
-                met = batch.column("met")[i].values
-                if met is not None and len(met):
-                    at = met.field("i").to_numpy()
-                    n[at], best[at] = met.field("n").to_numpy(), met.field("best").to_numpy(zero_copy_only=False)
-                upto = np.cumsum(held)
-                total = lambda x: (t := np.concatenate([[0], np.cumsum(x)]))[upto] - t[upto - held]  # noqa: E731, B023
-                sums = {"n_best": pa.array(total(often * best[which])), "count_sum": pa.array(total(often * n[which]))}
-                columns = [sums[f.name] if f.name in sums else column("id" if f.name == id_name else f.name) for f in arrow]
-                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        columns = [sums[f.name] if f.name in sums else docs.column("id" if f.name == id_name else f.name) for f in arrow]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return add
 
@@ -298,13 +301,14 @@ def align_tokens(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col: st
     blocks = aligned_blocks(docs, tokenizer_a, tokenizer_b, id_col, text_col, keep_groups)
     size_b = len(_sides(tokenizer_a, tokenizer_b)[1].pieces)
     counts = settle(pair_counts(blocks, size_b).select("pair", "n", "best"), "token-pairs")
-    met = blocks.select("block", F.posexplode("pairs").alias("i", "pair")).join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("i", "n", "best")).alias("met"))
+    each = blocks.where("first IS NOT NULL").select("block", "first", F.posexplode("pairs").alias("j", "pair"))
+    met = each.select("block", (F.col("first") + F.col("j")).alias("i"), "pair").join(counts, "pair").select(F.col("block").alias("of"), "i", "n", "best")
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType)]
         + [T.StructField(k, T.LongType()) for k in (*_Block.FIGURES, "n_best", "count_sum")] + [T.StructField("sha", T.StringType()), T.StructField("groups", T.StringType())]
     )
-    with arrow_batch_rows(docs.sparkSession, 1):  # a row is a block
-        out = settle(blocks.join(met, "block", "left").mapInArrow(_summer("id", schema), schema), "token-alignment")
+    own = blocks.where("first IS NULL").drop("first", "pairs", "docs")
+    out = settle(own.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(_summer("id", schema), schema), "token-alignment")
     discard(blocks)
     return out.withColumnRenamed("id", id_col)
 

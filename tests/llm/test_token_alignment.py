@@ -110,3 +110,12 @@ def test_query_on_the_small_table(spark):
     want = {d.doc_id: (*w[:6], w[7]) for d, w in zip(docs, plain([d.text for d in docs]), strict=True)}
     got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in ta.query(spark, data).collect()}
     assert got == want
+
+
+def test_no_row_holds_a_block(spark, monkeypatch):
+    texts = [(i, f"some text {i} with more words, n. {i * i}" * 3) for i in range(50)]
+    blocks = ta.aligned_blocks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), A, B)
+    assert blocks.select("block").distinct().count() == 1
+    docs = blocks.where("first IS NULL")
+    assert docs.count() == 50 and sorted(r.id for r in docs.select("id").collect()) == list(range(50))
+    assert blocks.selectExpr("max(size(pairs)) AS n").first().n <= ta.ROW_PAIRS
