@@ -119,12 +119,15 @@ def similar_classes(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[st
 
     An exact join by prefixes: of two such sets the rarest elements, all but a
     share ``threshold`` of each, have one in common, so only those are joined;
-    then the sets of each candidate are compared. Ids are expected once.
+    then the sets of each candidate are compared. Ids are expected once. Equal sets
+    are found by two digests, so only the texts of the smallest ids are shuffled and
+    only their sets are stored.
     """
-    feats = settle(pair_sets(docs, stopwords), "neardup-sets")
-    classes = feats.groupBy("f").agg(F.min("doc_id").alias("rep"))
-    members = feats.join(classes, "f").select("doc_id", "rep")
-    own = settle(classes.select(F.col("rep").alias("doc_id"), "f"), "neardup-classes")
+    digests = [F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")]
+    feats = settle(pair_sets(docs, stopwords).select("doc_id", *digests), "neardup-digests")
+    classes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    members = feats.join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    own = settle(pair_sets(docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), stopwords), "neardup-classes")
     each = own.select("doc_id", F.size("f").alias("n"), F.explode("f").alias("x"))
     often = each.groupBy("x").agg(F.count("*").alias("often")).where("often > 1")
     # elements of one class alone join with nothing and come first: only their number counts

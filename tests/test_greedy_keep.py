@@ -59,3 +59,20 @@ def test_kept_documents(spark, tmp_path):
     rows = [json.loads(line) for f in (tmp_path / "out").glob("*.json") for line in f.read_text().splitlines()]
     assert sorted(r["doc_id"] for r in rows) == one_pass(sets, links)
     assert neardup.greedy_keep(frame.limit(0)).count() == 0
+
+
+def test_sets_are_stored_once_a_class(spark, monkeypatch):
+    from skeinmill.operators import neardup
+
+    stored, plain = [], neardup.settle
+
+    def settle(df, label):
+        out = plain(df, label)
+        stored.append(out.count() if "f" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "settle", settle)
+    docs = spark.createDataFrame([(i, f"one text of {'abcd'[i % 4] * 3} words") for i in range(40)] + [(40, None), (41, "!")], "doc_id long, text string")
+    members, links = neardup.similar_classes(docs)
+    assert sorted((r.doc_id, r.rep) for r in members.collect()) == [(i, i % 4) for i in range(40)]
+    assert links.count() == 0 and max(stored) == 4
