@@ -1,20 +1,18 @@
-"""Phrase collocations from merged count-min sketches and one exact pass.
-
-1. Every task counts the words it sees in a count-min sketch; the tasks' sketches
-   are added block by block. Of the sum only one bit a cell goes on: whether it
-   reached ``min_count``. A sketch never counts too little, so no frequent word
-   is lost.
-2. The same for phrases of 2 to ``longest`` words, all of whose words may be
-   frequent.
-3. Only what passes both sketches (a phrase with both of its one word shorter
-   parts) is counted exactly, in each task first and then by language and
-   phrase, so false survivors go.
-4. Scores and subsumption are joins over the frequent phrases.
-
-The width of a sketch is fixed, so its memory and its broadcast bits are bounded
-(2 * 2**24 counters of four bytes in a task, 4 MB of bits) and what tasks hand on
-grows with their number alone; where it is too narrow for a corpus, more phrases get
-into the exact pass and no result changes. A task reads at least ``TASK_BYTES``
+"""Phrase collocations from frequent hashes, level by level, and one exact pass.
+
+1. Every task counts the hashes of its words; they are shuffled by hash and
+   summed. Of those that reach ``min_count`` one bit goes on, at the hash's place in
+   a table of fixed size, so no frequent word is lost.
+2. The same for pairs of words, both of whose words may be frequent.
+3. The same for phrases of 3 to ``longest`` words, all of whose pairs may be frequent.
+4. Only what passes these tables is counted by language and phrase, in each task
+   first and then over all, so false survivors go.
+5. Scores and subsumption are joins over the frequent phrases.
+
+The sums are exact whatever the size of the corpus: it makes more rows to shuffle,
+of 8 bytes of hash and a count, never more phrases that pass without being frequent,
+but for those that share a bit with a frequent one. Memory is bounded: ``HASHES``
+hashes in a task, three tables of 16 MB. A task reads at least ``TASK_BYTES``
 of text if that leaves every core one, so that its own sums go before the shuffle.
 Phrases are told apart by 64-bit hashes inside a task and by their text after it.
 """
@@ -22,7 +20,7 @@ Phrases are told apart by 64-bit hashes inside a task and by their text after it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +32,8 @@ from pyspark.sql import functions as F
 from skeinmill.llm.shingles import mix64, text_runs, word_spans
 from skeinmill.runtime import settle, table, text_batches
 
-#: Cells of a row of a sketch, as a power of two; rows of a sketch; cells of a block.
-CELL_BITS, ROWS, BLOCK = 24, 2, 1 << 16
+#: Bits of a table of frequent hashes, as a power of two; bits of a block of it.
+CELL_BITS, BLOCK = 27, 1 << 16
 
 #: Bytes of text that a task reads at least.
 TASK_BYTES = 1 << 26
@@ -43,6 +41,9 @@ TASK_BYTES = 1 << 26
 #: Phrases that a task holds before it hands its counts on.
 HELD = 500_000
 
+#: Hashes that a task holds before it sums them and hands them on, and the rows of a batch of sums.
+HASHES, SUMS = 1 << 22, 1 << 16
+
 _U = np.uint64
 _SEED = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
 #: What ends a piece, and what parts the words of a piece; fixed by the task.
@@ -67,6 +68,17 @@ class _Words:
         self.piece = (self.piece + np.cumsum(~keep))[keep]
         self.starts, self.ends, self.hashes, self.row = self.starts[keep], self.ends[keep], self.hashes[keep], self.row[keep]
 
+    def only_pairs(self, passed: np.ndarray, bits: int) -> None:
+        """Drops what is in no pair that passes; pieces end where a pair does not."""
+        _, at, h = next(self.phrases(2))
+        at = at[_reached(h, passed, bits)]
+        first = np.ones(len(self.hashes), dtype=bool)
+        first[at + 1] = False
+        self.piece = np.cumsum(first)
+        keep = ~first
+        keep[at] = True
+        self.only(keep)
+
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of words, index of the first word, hash) of all phrases of 2 to ``longest`` words."""
         h, at = self.hashes, np.arange(len(self.hashes))
@@ -87,17 +99,10 @@ def _spread(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h * _SEED[row] + _U(row)) >> _U(64 - bits)).astype(np.int64)
-
-
 def _reached(h: np.ndarray, passed: np.ndarray, bits: int) -> np.ndarray:
-    """Whether all of a hash's cells reached the count."""
-    out = np.ones(len(h), dtype=bool)
-    for row in range(ROWS):
-        cell = _cells(h, row, bits) + (row << bits)
-        out &= (passed[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-    return out
+    """Whether a hash's bit is set."""
+    cell = (h >> _U(64 - bits)).astype(np.int64)
+    return (passed[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]]]:
@@ -110,55 +115,60 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[str]
             yield _Words(data, offsets, np.array([salt[x] for x in part], dtype=np.uint64)), part
 
 
-def _sketcher(bits: int, min_count: int, words: Broadcast | None, longest: int):
-    """Sketch of the words, or with the words' bits of the phrases, in blocks (block, counts cut off at ``min_count``)."""
+def _tally(frequent: list[Broadcast], bits: int, longest: int):
+    """(h, f): hashes of words; with the words' table of pairs of frequent words; with the pairs' too of longer phrases of frequent pairs. Summed ``HASHES`` at a time."""
+
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(held)
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, counts = h[first].view(np.int64), np.diff(first, append=len(h))
+        for i in range(0, len(h), SUMS):
+            yield pa.record_batch([pa.array(h[i : i + SUMS]), pa.array(counts[i : i + SUMS])], names=["h", "f"])
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ROWS << bits, np.uint32)
-        passed = None if words is None else np.frombuffer(words.value, np.uint8)
-        seen = False
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = [np.frombuffer(x.value, np.uint8) for x in frequent]
+        held, n = [], 0
         for w, _ in _runs(batches):
-            seen = True
-            if passed is None:
-                hashes = [w.hashes]
-            else:
-                w.only(_reached(w.hashes, passed, bits))
-                hashes = [h for _, _, h in w.phrases(longest)]
-            for h in hashes:
-                for row in range(ROWS):
-                    np.add.at(counts, _cells(h, row, bits) + (row << bits), np.uint32(1))
-        if not seen:
-            return
-        kept = np.minimum(counts, min_count).astype(np.uint8 if min_count < 1 << 8 else np.uint16 if min_count < 1 << 16 else np.uint32)
-        for block in range(len(kept) // BLOCK):
-            part = kept[block * BLOCK : (block + 1) * BLOCK]
-            if part.any():
-                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["block", "counts"])
-
-    return sketch
-
-
-def _adder(min_count: int):
-    """Adds the sketches' blocks; gives (block, bits of the cells that reached ``min_count``)."""
-    kind = np.uint8 if min_count < 1 << 8 else np.uint16 if min_count < 1 << 16 else np.uint32
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+            if passed:
+                w.only(_reached(w.hashes, passed[0], bits))
+            if len(passed) > 1:
+                w.only_pairs(passed[1], bits)
+            found = [h for size, _, h in w.phrases((2, longest)[len(passed) - 1]) if size > len(passed)] if passed else [w.hashes]
+            held += found
+            n += sum(len(h) for h in found)
+            if n >= HASHES:
+                yield from summed(held)
+                held, n = [], 0
+        if n:
+            yield from summed(held)
+
+    return tally
+
+
+def _bit_blocks(bits: int):
+    """(block, bits) of a table with the bits of the hashes ``h`` set."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(pa.decompress(counts, BLOCK * kind().itemsize, codec="zstd", asbytes=True), kind).astype(np.uint64)
-                total[block] = np.minimum(total[block] + part, min_count).astype(kind) if block in total else part.astype(kind)
-        for block, counts in total.items():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(counts >= min_count, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    return add
-
-
-def _merged_sketch(rows: DataFrame, bits: int, min_count: int, words: Broadcast | None, longest: int) -> Broadcast:
-    parts = rows.mapInArrow(_sketcher(bits, min_count, words, longest), "block int, counts binary").repartition("block")
-    passed = np.zeros((ROWS << bits) // 8, np.uint8)
-    for r in parts.mapInArrow(_adder(min_count), "block int, bits binary").collect():  # a bit a cell, 4 MB
-        passed[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
+            cell = (batch.column("h").to_numpy().view(np.uint64) >> _U(64 - bits)).astype(np.int64)
+            for block in np.unique(cell // BLOCK).tolist():
+                blocks.setdefault(block, np.zeros(BLOCK, dtype=bool))[cell[cell // BLOCK == block] % BLOCK] = True
+        for block, marks in blocks.items():
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    return fold
+
+
+def _frequent(rows: DataFrame, frequent: list[Broadcast], bits: int, min_count: int, longest: int) -> Broadcast:
+    """The table of the next level: a bit for each hash that reaches ``min_count`` over all rows."""
+    counted = rows.mapInArrow(_tally(frequent, bits, longest), "h long, f long").repartition("h")  # summed in the task already
+    often = counted.groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h")
+    often = often.repartition(F.shiftrightunsigned("h", 64 - bits + BLOCK.bit_length() - 1))
+    passed = np.zeros(max(1 << bits, BLOCK) // 8, np.uint8)
+    for r in often.mapInArrow(_bit_blocks(bits), "block int, bits binary").collect():  # a bit a cell, 16 MB
+        passed[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] |= np.frombuffer(r.bits, np.uint8)
     return rows.sparkSession.sparkContext.broadcast(passed.tobytes())
 
 
@@ -187,33 +197,20 @@ class _Held:
         return pa.record_batch(columns, names=["lang", "phrase", "size", "f"])
 
 
-def _exact(words: Broadcast, phrases: Broadcast, bits: int, longest: int):
-    """(lang, phrase, size, f) of what passes both sketches, summed in the task; a row without phrase has a language's words."""
+def _exact(frequent: list[Broadcast], bits: int, longest: int):
+    """(lang, phrase, size, f) of what passes the tables, summed in the task; a row without phrase has a language's words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_passed, passed = np.frombuffer(words.value, np.uint8), np.frombuffer(phrases.value, np.uint8)
+        passed = [np.frombuffer(x.value, np.uint8) for x in frequent]
         held, total = _Held(), {}
         for w, languages in _runs(batches):
             for row, n in enumerate(np.bincount(w.row, minlength=len(languages)).tolist()):
                 total[languages[row]] = total.get(languages[row], 0) + n
-            w.only(_reached(w.hashes, word_passed, bits))
-            found = [(1, np.arange(len(w.hashes)), w.hashes)]
-            shorter = np.ones(len(w.hashes) + 1, dtype=bool)
-            for n, at, h in w.phrases(longest):
-                good = shorter[at] & shorter[at + 1]
-                good[good] = _reached(h[good], passed, bits)
-                shorter = np.zeros(len(w.hashes) + 1, dtype=bool)
-                shorter[at[good]] = True
-                found.append((n, at[good], h[good]))
-            for n, at, h in found:
-                keys, first, counts = np.unique(h, return_index=True, return_counts=True)
-                head = at[first]
-
-                def text_of(i: int, n=n, head=head, w=w, languages=languages) -> tuple[str, str, int]:
-                    spans = zip(w.starts[head[i] : head[i] + n].tolist(), w.ends[head[i] : head[i] + n].tolist(), strict=True)
-                    return languages[w.row[head[i]]], b" ".join(w.low[a:b].tobytes() for a, b in spans).decode("utf-8", "surrogatepass"), n
-
-                held.add(keys, counts, text_of)
+            w.only(_reached(w.hashes, passed[0], bits))
+            add(held, w, languages, [(1, np.arange(len(w.hashes)), w.hashes)])
+            if longest > 1:
+                w.only_pairs(passed[1], bits)
+                add(held, w, languages, ((n, at[good], h[good]) for n, at, h in w.phrases(longest) for good in [_reached(h, passed[min(n, 3) - 1], bits)]))
             if len(held.keys) >= HELD:
                 yield held.batch()
                 held = _Held()
@@ -222,6 +219,17 @@ def _exact(words: Broadcast, phrases: Broadcast, bits: int, longest: int):
         if total:
             yield pa.record_batch([pa.array(list(total)), pa.array([None] * len(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "size", "f"])
 
+    def add(held: _Held, w: _Words, languages: list[str], found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        for n, at, h in found:
+            keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+            head = at[first]
+
+            def text_of(i: int, n=n, head=head) -> tuple[str, str, int]:
+                spans = zip(w.starts[head[i] : head[i] + n].tolist(), w.ends[head[i] : head[i] + n].tolist(), strict=True)
+                return languages[w.row[head[i]]], b" ".join(w.low[a:b].tobytes() for a, b in spans).decode("utf-8", "surrogatepass"), n
+
+            held.add(keys, counts, text_of)
+
     return count
 
 
@@ -233,13 +241,16 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, te
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
-    bits = CELL_BITS
+    bits, frequent = CELL_BITS, []
     with text_batches(docs.sparkSession):
-        words = _merged_sketch(rows, bits, min_count, None, longest)
-        phrases = _merged_sketch(rows, bits, min_count, words, longest)
-        counted = rows.mapInArrow(_exact(words, phrases, bits, longest), "lang string, phrase string, size int, f long")
+        for _ in range(min(longest, 3)):
+            frequent.append(_frequent(rows, list(frequent), bits, min_count, longest))
+        counted = rows.mapInArrow(_exact(frequent, bits, longest), "lang string, phrase string, size int, f long")
         summed = counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-        return settle(summed.where((F.col("size") == 0) | (F.col("f") >= min_count)), "collocation-phrases")
+        found = settle(summed.where((F.col("size") == 0) | (F.col("f") >= min_count)), "collocation-phrases")
+    for x in frequent:
+        x.destroy()
+    return found
 
 
 def collocations(

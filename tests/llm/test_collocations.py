@@ -72,3 +72,22 @@ def test_empty_table_and_large_numbers(spark, monkeypatch):
     monkeypatch.setattr(co, "frequent_phrases", lambda *a: spark.createDataFrame(rows, "lang string, phrase string, size int, f long"))
     got = co.collocations(spark.createDataFrame([], "lang string, text string")).first()
     assert got.score == 1000 * (big // 7) * 9 * big // ((big + 1) * (big // 3))
+
+
+def test_rare_phrases_stay_out_of_the_exact_pass(spark, monkeypatch):
+    """However many phrases share a cell, only frequent ones are counted by text."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([("en", " ".join(f"w{x}" for x in rng.integers(0, 12, 200))) for _ in range(100)], "lang string, text string").repartition(2)
+    handed, plain_map = [], type(docs).mapInArrow
+
+    def map_in_arrow(self, f, schema, *a, **b):
+        out = plain_map(self, f, schema, *a, **b)
+        if "phrase" in out.columns:
+            handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", map_in_arrow)
+    monkeypatch.setattr(co, "CELL_BITS", 9)
+    got = co.frequent_phrases(docs, min_count=100)
+    n = Counter(r["size"] for r in got.collect())
+    assert n[1] == 12 and n[2] > 100 and not n[4] and handed and max(handed) <= 2 * (1 + 12 + 144 + n[3])
