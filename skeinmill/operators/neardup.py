@@ -5,11 +5,13 @@ bucket's members are compared with one centre; what those links leave apart in a
 bucket is cut into blocks of bounded size, and pairs of blocks are compared
 inside their row, so only links come out, never all pairs of a group. A text is
 known by its id and a digest of its set, so an id with several texts is compared
-with each of them.
+with each of them. Up to the comparison only band keys and a byte of each minimum
+are handed on; sets are made again for those texts alone that are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skeinmill.operators.graph import connected_components, greedy_dropped
 from skeinmill.operators.inverted_index import tokens
-from skeinmill.runtime import settle, table, text_batches
+from skeinmill.runtime import discard, settle, table, text_batches
 
 BLOCK = 32
 _VALUES = 1 << 17
@@ -39,18 +41,45 @@ def _band_keys(bands: int, rows: int):
                 last = min(last, batch.num_rows)
                 flat, starts = values[ends[first] : ends[last]], ends[first:last] - ends[first]
                 keys = np.zeros((last - first, bands), np.uint64)
+                low = np.empty((last - first, bands * rows), np.uint8)
                 for i in range(bands * rows):
                     h = flat * odd[i]
                     h ^= h >> np.uint64(29)
                     h *= odd[-1 - i]
-                    keys[:, i // rows] = (keys[:, i // rows] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(h, starts)
+                    least = np.minimum.reduceat(h, starts)
+                    keys[:, i // rows] = (keys[:, i // rows] * np.uint64(0x9E3779B97F4A7C15)) ^ least
+                    low[:, i] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
                 offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "d1", "keys"])
+                known = [batch.column(c).slice(first, last - first) for c in ("doc_id", "d1", "d2", "n")]
+                yield pa.RecordBatch.from_arrays([*known, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "d1", "d2", "n", "keys", "low"])
                 first = last
 
     return run
 
 
+def _least_equal(threshold: float, draws: int, risk: float = 1e-9) -> int:
+    """The number of equal minima that two sets with this similarity fall short of with at most the probability ``risk``."""
+    below, k = 0.0, 0
+    while k < draws:
+        below += math.comb(draws, k) * threshold**k * (1 - threshold) ** (draws - k)
+        if below > risk:
+            break
+        k += 1
+    return k
+
+
+def _alike(least: int):
+    """The pairs (a, d1a, b, d1b) of those with both texts' ``low`` in which at least ``least`` bytes are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("lowa", "lowb")]
+                yield batch.select(["a", "d1a", "b", "d1b"]).filter(pa.array((low[0] == low[1]).sum(axis=1) >= least))
+
+    return run
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
@@ -80,27 +109,41 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
 
     Tokens of one character are left out, and a text of one token has that token
     for a pair. Members of a class of equal sets link with its smallest id (score 1). At the
-    default threshold a link has no common bucket with probability 2e-7. Texts
+    default threshold a link has no common bucket with probability 2e-7, and too few equal
+    minima to be compared with 1e-9. Texts
     without tokens, null texts and null ids link with nothing; an
     empty table gives an empty result.
     """
-    feats = pair_sets(docs, stopwords)
-    feats = settle(feats.select("doc_id", "f", F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")), "neardup-sets")
-    classes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = feats.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
-    own = feats.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1"]).select("doc_id", "f", "d1")
-    slots = own.mapInArrow(_band_keys(bands, rows), "doc_id long, d1 long, keys array<long>").select("doc_id", "d1", F.posexplode("keys").alias("band", "key"))
-    slots = settle(slots, "neardup-slots")
-    centre = slots.groupBy("band", "key").agg(F.min(F.struct("doc_id", "d1")).alias("c"), F.max("doc_id").alias("top")).where("c.doc_id < top").select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.d1").alias("d1b"))
+    digests = [F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")]
+    sketches = pair_sets(docs, stopwords).select("doc_id", "f", *digests, F.size("f").alias("n"))
+    sketches = settle(sketches.mapInArrow(_band_keys(bands, rows), "doc_id long, d1 long, d2 long, n int, keys array<long>, low binary"), "neardup-sketches")
+    reps = sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    copies = sketches.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
+    copies = settle(copies, "neardup-copies")
+    first = settle(sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "low")]), "neardup-first")  # equal sets have these in common
+    discard(sketches)
+    slots = first.select("doc_id", "d1", "n", F.posexplode("keys").alias("band", "key"))
+    centre = slots.groupBy("band", "key").agg(F.min(F.struct("doc_id", "d1", "n")).alias("c"), F.max("doc_id").alias("top"), F.count("*").alias("members")).where("c.doc_id < top")
+    centre = settle(centre.select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.d1").alias("d1b"), F.col("c.n").alias("nb"), "members"), "neardup-centres")
     shared = settle(slots.join(centre, ["band", "key"]), "neardup-buckets")
-    cand = shared.where("doc_id > b").select(F.col("doc_id").alias("a"), F.col("d1").alias("d1a"), "b", "d1b").distinct()
+    fits = (F.col("n") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("n") + 1e-9)
+    cand = shared.where((F.col("doc_id") > F.col("b")) & fits).select(F.col("doc_id").alias("a"), F.col("d1").alias("d1a"), "b", "d1b").distinct()
+    low = lambda s: first.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("low").alias(f"low{s}"))
+    cand = cand.join(low("a"), ["a", "d1a"]).join(low("b"), ["b", "d1b"]).select("a", "d1a", "b", "d1b", "lowa", "lowb")
+    cand = settle(cand.mapInArrow(_alike(_least_equal(threshold, bands * rows)), "a long, d1a long, b long, d1b long"), "neardup-candidates")
+
+    crowded = shared.where("members > 2")  # of two the centre is one
+    wanted = cand.select(F.col("a").alias("doc_id"), F.col("d1a").alias("d1")).unionByName(cand.select(F.col("b").alias("doc_id"), F.col("d1b").alias("d1"))).unionByName(crowded.select("doc_id", "d1"))
+    wanted = settle(wanted.distinct(), "neardup-wanted")
+    again = pair_sets(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), stopwords).select("doc_id", "f", digests[0])
+    own = settle(again.join(wanted, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), "neardup-sets")
     side = lambda s: own.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("f").alias(f"f{s}"))
     stars = cand.join(side("a"), ["a", "d1a"]).join(side("b"), ["b", "d1b"]).select("a", "b", _jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= threshold)
     stars = settle(stars, "neardup-stars")
     merged = connected_components(stars, "a", "b")
-    labelled = settle(shared.join(merged, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", "d1", F.coalesce("component", "doc_id").alias("component")), "neardup-labelled")
+    labelled = settle(crowded.join(merged, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", "d1", F.coalesce("component", "doc_id").alias("component")), "neardup-labelled")
     left_open = labelled.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", "members")
-    more = _block_links(labelled.join(left_open, ["band", "key"]), own, threshold)
+    more = settle(_block_links(labelled.join(left_open, ["band", "key"]), own, threshold), "neardup-block-links")
     return copies.unionByName(stars).unionByName(more).withColumn("score", F.round("score", 3))
 
 

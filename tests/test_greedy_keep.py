@@ -76,3 +76,26 @@ def test_sets_are_stored_once_a_class(spark, monkeypatch):
     members, links = neardup.similar_classes(docs)
     assert sorted((r.doc_id, r.rep) for r in members.collect()) == [(i, i % 4) for i in range(40)]
     assert links.count() == 0 and max(stored) == 4
+
+
+def test_groups_store_sets_of_compared_texts_alone(spark, monkeypatch):
+    """Unlike texts are told apart by a few bytes each; only sets that may be similar are stored."""
+    stored, plain = [], neardup.settle
+
+    def settle(df, label):
+        out = plain(df, label)
+        stored.append(out.count() if "f" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "settle", settle)
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(40)]
+    rows = [*enumerate(texts), (100, texts[3] + " more"), (101, texts[5]), (102, None)]
+    links = neardup.similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.a, r.b) for r in links) == [(100, 3), (101, 5)] and 2 <= max(stored) <= 6
+
+
+def test_equal_minima_lose_next_to_no_link():
+    least = neardup._least_equal(0.6, 192)
+    rng = random.Random(7)
+    assert 60 < least < 90 and neardup._least_equal(0.6, 3) == 0
+    assert min(sum(rng.random() < 0.6 for _ in range(192)) for _ in range(3000)) > least
