@@ -19,8 +19,8 @@ GOOD_SCORE = 0.68
 
 
 # Points ----------------------------------------------------------------------
-def payload(chunks: DataFrame, tenant: str = "") -> DataFrame:
-    """Points of chunks (doc_uuid, chunk_index, text, and optional title, breadcrumb array, level): ids from names, breadcrumb as a path."""
+def payload(chunks: DataFrame, tenant: str = "", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Points of chunks (doc_uuid, chunk_index, text, and optional title, breadcrumb array, level): ids from names, breadcrumb as a path; with the columns ``carried``."""
     has = lambda c, d: F.col(c) if c in chunks.columns else d
     crumbs = F.filter(has("breadcrumb", F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")) != "")
     last = F.try_element_at(crumbs, F.lit(-1))
@@ -29,7 +29,7 @@ def payload(chunks: DataFrame, tenant: str = "") -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).alias("token_count"),
         F.when(F.size(crumbs) > 0, F.coalesce(F.nullif(has("title", F.lit(None).cast("string")), F.lit("")), last)).otherwise("").alias("title"),
         F.array_join(crumbs, " > ").alias("breadcrumb"), F.coalesce(has("level", F.lit(0)), F.lit(0)).cast("int").alias("level"),
-        F.lit(tenant).alias("tenant_id"), F.lit(False).alias("is_deleted"),
+        F.lit(tenant).alias("tenant_id"), F.lit(False).alias("is_deleted"), *carried,
     )
 
 

@@ -77,7 +77,7 @@ class PointTable:
             own = puts.select([F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
             row = F.struct(*[F.col(f"`{c}`") for c in own.columns])
             first = own.withColumn("row", row).groupBy(*KEYS).agg(F.max("row").alias("row")).select("row.*").withColumn("put_version", F.lit(version).cast("long"))
-            first.select(self._stored.names).write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/puts/version={version}")
+            first.select(self._stored.names).write.mode("overwrite").option("compression", "zstd").partitionBy("collection").parquet(f"{self.path}/puts/version={version}")
         if marks is not None:
             marks.select("collection", "doc_uuid", F.coalesce("hard", F.lit(False)).alias("hard")).write.mode("overwrite").parquet(f"{self.path}/marks/version={version}")
         self._touch(f"commits/version={version}")

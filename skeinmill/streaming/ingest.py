@@ -8,7 +8,9 @@ one that is done is left out, any other starts anew. Each stage writes a table o
 its own for the batch, then its log entries; a batch that is run again after a
 failure finds its finished stages and goes on behind them, so no stage is done
 twice and none is lost. What a stage fails to give stays logged at the stage
-before and is tried again when the source next arrives.
+before and is tried again when the source next arrives. Texts are read from the
+batch, plans hold none, and of a finished batch only the Markdown that gave no
+chunks is kept besides its points and log.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ class Ingest:
     def _once(self, name: str, batch: int, rows: Callable[[], DataFrame]) -> None:
         """Writes a stage's table of this batch unless it is whole already."""
         if not self._has(f"{name}/batch={batch}/_SUCCESS"):
-            rows().write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+            rows().write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/batch={batch}")
 
     def _log(self, stage: str, batch: int, rows: Callable[[], DataFrame]) -> None:
         pos = F.lit(batch * 10 + STAGE_RANK[stage]).cast("long")
@@ -74,28 +76,41 @@ class Ingest:
         """The best record of every source: key, etag, stage."""
         return best_record(self.log()).drop("pos")
 
-    def _plan(self, batch: DataFrame, n: int) -> DataFrame:
-        """The batch's sources, each once, with the stage that they go on from; only the log entries of their keys are read together."""
+    def _own(self, batch: DataFrame, *rest: str) -> DataFrame:
+        """The batch's sources, each once: key, etag, collection and ``rest``, of its largest row."""
         own = batch.withColumn("etag", known_etag(F.col("etag"), F.col("size"))).where("key IS NOT NULL")
-        own = own.groupBy("key").agg(F.max(F.struct("etag", "collection", "text")).alias("r")).select("key", "r.*")
+        return own.groupBy("key").agg(F.max(F.struct("etag", "collection", *rest)).alias("r")).select("key", "r.*")
+
+    def _plan(self, batch: DataFrame, n: int) -> DataFrame:
+        """The batch's sources with the stage that they go on from; only the log entries of their keys are read together."""
+        own = self._own(batch)
         past = best_record(self.log(n).join(own.select("key"), "key", "left_semi")).select("key", F.col("etag").alias("old"), F.col("stage").alias("reached"))
         reached = F.when(F.col("old") == F.col("etag"), F.col("reached")).otherwise("raw")
-        return own.join(past, "key", "left").withColumn("reached", F.coalesce(reached, F.lit("raw"))).select("key", "collection", "etag", "text", "reached")
+        return own.join(past, "key", "left").withColumn("reached", F.coalesce(reached, F.lit("raw"))).select("key", "collection", "etag", "reached")
 
     def _earlier(self, name: str, schema: str, plan: DataFrame, reached: str, n: int) -> DataFrame:
-        """What earlier batches made of the sources that go on from ``reached``."""
+        """What earlier batches made of the sources that go on from ``reached``, in whole tables or those of finished batches."""
         wanted = plan.where(F.col("reached") == reached).select("key", "etag")
-        past = self._read(name, schema).where(F.col("batch") < n).join(wanted, ["key", "etag"], "left_semi")
+        past = self._read(name, schema).unionByName(self._read(f"{name}-open", schema))
+        past = past.where(F.col("batch") < n).join(wanted, ["key", "etag"], "left_semi")
         return past.groupBy("key").agg(F.max_by(F.struct(*[c for c in past.columns if c != "key"]), "batch").alias("r")).select("key", "r.*").drop("batch")
 
+    def _finish(self, n: int) -> None:
+        """Removes a finished batch's tables that no later batch reads."""
+        for name in ("plan", "markdown", "chunks"):
+            path, fs = hadoop_path(self.spark, f"{self.root}/{name}/batch={n}")
+            fs.delete(path, True)
+
     def process(self, batch: DataFrame, n: int) -> None:
+        if self._has(f"log-vectorized/batch={n}/_SUCCESS"):  # the log's last table
+            return self._finish(n)
         self._once("plan", n, lambda: self._plan(batch, n))
         plan = self.spark.read.parquet(f"{self.root}/plan/batch={n}")
         made = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch={n}")
 
         self.before("markdown", n)
-        fresh = plan.where("reached = 'raw'")
-        self._once("markdown", n, lambda: fresh.withColumn("markdown", self.convert(F.col("text"))).select("key", "collection", "etag", "markdown"))
+        fresh = lambda: self._own(batch, "text").join(plan.where("reached = 'raw'").select("key"), "key", "left_semi")
+        self._once("markdown", n, lambda: fresh().withColumn("markdown", self.convert(F.col("text"))).select("key", "collection", "etag", "markdown"))
         done = made("markdown", _MARKDOWN)
         self._log("raw", n, lambda: done.where("markdown IS NULL"))
         self._log("markdown", n, lambda: done.where("markdown IS NOT NULL"))
@@ -109,9 +124,10 @@ class Ingest:
         self.before("vectorized", n)
         ready = cut.unionByName(self._earlier("chunks", _CHUNKS, plan, "chunk", n))
         rows = ready.select("collection", F.col("key").alias("doc_uuid"), F.posexplode("chunks").alias("chunk_index", "text"))
-        points = payload(rows).join(rows.select("doc_uuid", "chunk_index", "collection"), ["doc_uuid", "chunk_index"])
-        self.points.commit(n + 1, points)
+        self.points.commit(n + 1, payload(rows, carried=("collection",)))
+        self._once("markdown-open", n, lambda: done.where("markdown IS NOT NULL").join(cut.select("key"), "key", "left_anti").select("key", "collection", "etag", "markdown"))
         self._log("vectorized", n, lambda: ready)
+        self._finish(n)
 
     def run(self, sources: DataFrame, checkpoint: str) -> None:
         """Works off all batches of the stream ``sources`` (``SOURCE``) that have arrived."""

@@ -36,7 +36,7 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 def arrive(rows: DataFrame, folder: str) -> None:
     """Puts rows among the files that a stream of ``folder`` reads next."""
-    rows.write.mode("append").parquet(folder)
+    rows.write.mode("append").option("compression", "zstd").parquet(folder)
 
 
 def arrived(spark: SparkSession, folder: str, schema, files_a_batch: int | None = None) -> DataFrame:

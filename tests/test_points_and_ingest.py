@@ -146,3 +146,16 @@ def test_a_failed_stage_is_tried_again_from_there(spark):
     arrive(sources(spark, ("bad", "1", None), ("good", "1", None)).coalesce(1), folder)  # not read again: the Markdown is there
     job.run(arrived(spark, folder, ingest.SOURCE), checkpoint)
     assert state(job) == ([("bad", "vectorized"), ("good", "vectorized")], [("bad", 0, "bad"), ("good", 0, "good")])
+
+
+def test_finished_batches_keep_no_texts_but_failed_markdown(spark):
+    root, folder, checkpoint = (fresh_folder(spark, f"t-{x}") for x in ("root", "in", "checkpoint"))
+    broken = lambda m: F.when(m == "bad", F.lit(None).cast("array<string>")).otherwise(ingest.lines(m))
+    job = job_of(spark, root, chunk=broken)
+    arrive(sources(spark, ("bad", "1", "bad"), ("good", "1", "good")).coalesce(1), folder)
+    job.run(arrived(spark, folder, ingest.SOURCE), checkpoint)
+    kept = [f"{name}/batch=0" for name in ("plan", "markdown", "chunks") if job._has(f"{name}/batch=0")]
+    assert kept == [] and [r.key for r in job._read("markdown-open", ingest._MARKDOWN).collect()] == ["bad"]
+    before = state(job)
+    job.process(sources(spark, ("bad", "1", "bad"), ("good", "1", "good")), 0)  # the stream repeats its last batch
+    assert state(job) == before == ([("bad", "markdown"), ("good", "vectorized")], [("good", 0, "good")]) and job.log().count() == 4
