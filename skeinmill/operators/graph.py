@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +57,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
 
 
-def greedy_dropped(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def greedy_dropped(links: DataFrame, src: str = "src", dst: str = "dst", holds: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``node``: what a pass over the nodes in rising order drops, that keeps a node unless a kept one is linked with it.
 
     A node without an undecided smaller neighbour is kept, and its neighbours go;
     links of those that are decided are left out, so links shrink from round to
     round, all over the table at once. There are as many rounds as the longest
-    chain of decisions. Null ends and self loops are ignored, repeated links count
+    chain of decisions. Where ``links`` only may hold, ``holds`` is given those (u, v) whose
+    ``v`` is kept, and all that are left once they are no more, and returns those that do. Null ends and self loops are ignored, repeated links count
     once. Nodes that no link touches are kept.
     """
     a, b = F.col(src), F.col(dst)
     open_links = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((a != b) & a.isNotNull() & b.isNotNull()).distinct(), "greedy-links")
     dropped = open_links.select(F.col("u").alias("node")).limit(0)
+    given = 0
     while not open_links.isEmpty():
+        if given and open_links.count() <= given:
+            true_links, given, holds = settle(holds(open_links).select("u", "v"), "greedy-links"), 0, None
+            discard(open_links)
+            open_links = true_links
+            continue
         first = open_links.select("v").distinct().join(open_links.select(F.col("u").alias("v")), "v", "left_anti")
-        gone = settle(open_links.join(first, "v", "left_semi").select(F.col("u").alias("node")).distinct(), "greedy-gone")
+        first = settle(first, "greedy-first") if holds else first
+        beside = open_links.join(first, "v", "left_semi").select("u", "v")
+        given = max(given, beside.count()) if holds else 0
+        gone = settle((holds(beside) if holds else beside).select(F.col("u").alias("node")).distinct(), "greedy-gone")
         dropped = dropped.unionByName(gone)
         rest = open_links.join(gone.select(F.col("node").alias("u")), "u", "left_anti").join(gone.select(F.col("node").alias("v")), "v", "left_anti")
+        rest = rest.join(first, "v", "left_anti") if holds else rest
         following = settle(rest.select("u", "v"), "greedy-links")
         discard(open_links)
+        if holds:
+            discard(first)
         open_links = following
     return dropped

@@ -11,19 +11,28 @@ are handed on; sets are made again for those texts alone that are compared.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinmill.operators.graph import connected_components, greedy_dropped
 from skeinmill.operators.inverted_index import tokens
-from skeinmill.runtime import discard, settle, table, text_batches
+from skeinmill.operators.pairsets import pair_sets
+from skeinmill.runtime import discard, forget_shuffles, settle, table, text_batches
 
 BLOCK = 32
+CELL_BITS = 22
+SLICES = 64
+COMMON = 3
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("slice", pa.int32()), ("cells", pa.binary())])
 _VALUES = 1 << 17
 
 
@@ -115,7 +124,7 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
     empty table gives an empty result.
     """
     digests = [F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")]
-    sketches = pair_sets(docs, stopwords).select("doc_id", "f", *digests, F.size("f").alias("n"))
+    sketches = pair_columns(docs, stopwords).select("doc_id", "f", *digests, F.size("f").alias("n"))
     sketches = settle(sketches.mapInArrow(_band_keys(bands, rows), "doc_id long, d1 long, d2 long, n int, keys array<long>, low binary"), "neardup-sketches")
     reps = sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     copies = sketches.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
@@ -135,7 +144,7 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
     crowded = shared.where("members > 2")  # of two the centre is one
     wanted = cand.select(F.col("a").alias("doc_id"), F.col("d1a").alias("d1")).unionByName(cand.select(F.col("b").alias("doc_id"), F.col("d1b").alias("d1"))).unionByName(crowded.select("doc_id", "d1"))
     wanted = settle(wanted.distinct(), "neardup-wanted")
-    again = pair_sets(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), stopwords).select("doc_id", "f", digests[0])
+    again = pair_columns(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), stopwords).select("doc_id", "f", digests[0])
     own = settle(again.join(wanted, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), "neardup-sets")
     side = lambda s: own.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("f").alias(f"f{s}"))
     stars = cand.join(side("a"), ["a", "d1a"]).join(side("b"), ["b", "d1b"]).select("a", "b", _jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= threshold)
@@ -147,7 +156,7 @@ def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows
     return copies.unionByName(stars).unionByName(more).withColumn("score", F.round("score", 3))
 
 
-def pair_sets(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
+def pair_columns(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and the sorted set ``f`` of hashes of a document's token pairs, where it has any."""
     pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.xxhash64(a, b))
     words = F.filter(tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(*stopwords) if stopwords else F.length(x) > 1)
@@ -156,44 +165,229 @@ def pair_sets(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
     return whole.select("doc_id", F.array_sort(F.array_distinct(own)).alias("f"))
 
 
-def similar_classes(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Every document with the smallest id of its class of equal sets (doc_id, rep), and all links (a, b), a > b, between
-    classes whose sets have at least this Jaccard similarity.
+def _sketches(stopwords: tuple[str, ...]):
+    """Of each text with tokens: its id, two digests of its set and the set's size; then, a task, how often elements fall in each of ``2**CELL_BITS`` cells, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, waiting, size = np.zeros(1 << CELL_BITS, np.uint32), [], 0
+
+        def add() -> None:
+            if waiting:
+                np.add(counts, np.bincount((np.concatenate(waiting) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), out=counts, casting="unsafe")
+
+        for batch in batches:
+            rows = {name: [] for name in ("doc_id", "d1", "d2", "n")}
+            ids = batch.column(0).to_pylist()
+            for first, sets in pair_sets(batch.column(1), stopwords):
+                for i, f in enumerate(sets, first):
+                    if len(f) and ids[i] is not None:
+                        d1, d2 = _digests(f)
+                        for name, value in zip(rows, (ids[i], d1, d2, len(f)), strict=True):
+                            rows[name].append(value)
+                        waiting.append(f)
+                        size += len(f)
+                if size > 1 << 20:
+                    add()
+                    waiting, size = [], 0
+            yield pa.RecordBatch.from_pydict(rows | {"slice": [None] * len(rows["n"]), "cells": [None] * len(rows["n"])}, _SKETCH)
+        add()
+        if counts.any():
+            for i, cells in enumerate(np.split(counts, SLICES)):
+                yield pa.RecordBatch.from_pydict({name: [None] for name in _SKETCH.names} | {"slice": [i], "cells": [zlib.compress(cells.tobytes(), 1)]}, _SKETCH)
+
+    return run
+
+
+def _digests(f: np.ndarray) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(f.tobytes(), digest_size=16).digest())
+
 
-    An exact join by prefixes: of two such sets the rarest elements, all but a
-    share ``threshold`` of each, have one in common, so only those are joined;
-    then the sets of each candidate are compared. Ids are expected once. Equal sets
-    are found by two digests, so only the texts of the smallest ids are shuffled and
-    only their sets are stored.
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total[i] = np.frombuffer(zlib.decompress(cells), np.uint32) + total.get(i, np.uint32(0))
+    for i, cells in total.items():
+        yield pa.RecordBatch.from_pydict({"slice": [i], "cells": [zlib.compress(cells.tobytes(), 1)]}, pa.schema([("slice", pa.int32()), ("cells", pa.binary())]))
+
+
+def _prefixes(cells, threshold: float, stopwords: tuple[str, ...], column: str):
+    """Of each text with tokens its rarest elements, by their cells: as many as hold ``COMMON`` elements in common with any similar set, if it has so many.
+
+    Elements alone in their cell join with nothing; ``skip`` is their number.
     """
-    digests = [F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")]
-    feats = settle(pair_sets(docs, stopwords).select("doc_id", *digests), "neardup-digests")
-    classes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = feats.join(classes, ["d1", "d2"]).select("doc_id", "rep")
-    own = settle(pair_sets(docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), stopwords), "neardup-classes")
-    each = own.select("doc_id", F.size("f").alias("n"), F.explode("f").alias("x"))
-    often = each.groupBy("x").agg(F.count("*").alias("often")).where("often > 1")
-    # elements of one class alone join with nothing and come first: only their number counts
-    shared = each.join(often, "x").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("s"))
-    least = F.ceil(threshold * F.col("n") - 1e-9).cast("int")
-    room = F.greatest(F.lit(0), F.size("s") - least + 1)
-    prefix = shared.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), room)).alias("e")).select("doc_id", "n", F.col("e.x").alias("x"))
-    prefix = settle(prefix, "neardup-prefixes")
-    side = lambda s: prefix.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), "x")
-    fits = (F.col("a") > F.col("b")) & (F.col("na") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("na") + 1e-9)
-    pairs = side("a").join(side("b"), "x").where(fits).select("a", "b").distinct()
-    sets = lambda s: own.select(F.col("doc_id").alias(s), F.col("f").alias(f"f{s}"))
-    return members, pairs.join(sets("a"), "a").join(sets("b"), "b").where(_jaccard(F.col("fa"), F.col("fb")) >= threshold).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = cells.value
+        for batch in batches:
+            rows = {name: [] for name in ("doc_id", "d1", "d2", "n", "skip", column)}
+            ids = batch.column(0).to_pylist()
+            for first, sets in pair_sets(batch.column(1), stopwords):
+                for i, f in enumerate(sets, first):
+                    if len(f) and ids[i] is not None:
+                        count = often[(f >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                        room = min(len(f), len(f) - _least(threshold, len(f)) + COMMON)
+                        order = np.argsort(count, kind="stable")[:room]
+                        skip = int(np.searchsorted(count[order], 1, side="right"))
+                        for name, value in zip(rows, (ids[i], *_digests(f), len(f), skip, f[order[skip:]].tobytes()), strict=True):
+                            rows[name].append(value)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), (column, pa.binary())]))
+
+    return run
+
+
+def _least(threshold: float, n):
+    """How many elements a set of ``n`` has in common at least with a similar one."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, k, n, at): a row an element of a prefix, with its place in the whole order of the set."""
+    for batch in batches:
+        k, n, skip, f = batch.columns
+        size = pc.binary_length(f).to_numpy() // 8
+        rows = np.repeat(np.arange(batch.num_rows), size)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + skip.to_numpy()[rows]
+        x = np.frombuffer(b"".join(f.to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(k.to_numpy()[rows]), pa.array(n.to_numpy()[rows]), pa.array(at.astype(np.int32))], names=["x", "k", "n", "at"])
+
+
+def _meetings(threshold: float):
+    """(a, b, need), a > b, for each element that two prefixes share, from rows sorted by element and class, if sizes and places leave room for the similarity.
+
+    Similar sets meet so at least ``need`` times: that holds for the first ``COMMON`` elements that they share.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32())])
+
+    def meet(x: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fresh = np.ones(len(x), dtype=bool)
+        fresh[1:] = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
+        x, k, n, at = x[fresh], k[fresh], n[fresh].astype(np.int64), at[fresh]
+        start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+        place = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+        late, step, ready, size = np.flatnonzero(place), 1, [], 0
+        while len(late):
+            i, j = late, late - step
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            least = _least(threshold, large)
+            common = np.maximum(least, _least(threshold / (1 + threshold), n[i] + n[j]))
+            fits = (large * threshold <= small + 1e-9) & (COMMON + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= common)
+            i, j, least = i[fits], j[fits], least[fits]
+            ready.append((k[i], k[j], np.minimum(least, COMMON).astype(np.int32)))
+            size += len(i)
+            step += 1
+            late = late[place[late] >= step]
+            if size > 1 << 17 or not len(late):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)], schema=schema)
+                ready, size = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+            if size > 1 << 18:
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last element may go on
+                yield from meet(*(c[:whole] for c in rows))
+                held = [[c[whole:] for c in rows]]
+                size = 0
+        if held:
+            yield from meet(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _scores(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(f, np.uint64) for f in batch.column(c).to_pylist()] for c in ("fa", "fb"))
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.float64)
+            score = common / (np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64) - common)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], names=["a", "b", "score"]).filter(pa.array(score >= threshold))
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of those of ``pairs`` whose sets are similar."""
+    side = lambda s: sets.select(F.col("k").alias(s), F.col("f").alias(f"f{s}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(_scores(threshold), "a long, b long, score double")
+
+
+def _candidates(docs: DataFrame, threshold: float, stopwords: tuple[str, ...], column: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored tables: every text with tokens and its class (doc_id, rep, k), the classes of equal sets (k, rep), in the order of
+    their smallest ids, all pairs (a, b), a > b, of classes that may be similar, and the sets (k, f) of classes in such pairs.
+
+    An exact join by prefixes: in any one order of all elements, the first ones of a set, all but a share ``threshold``
+    of it and ``COMMON`` more, hold the first ``COMMON`` elements in common with any similar set. Elements are ordered
+    by how many fall in their cell, so prefixes are rare elements and few other sets share so many. The order of
+    elements bears on time alone. Only prefixes are shuffled; sets are made again for texts in pairs.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with text_batches(spark):
+        sketches = settle(docs.mapInArrow(_sketches(stopwords), "doc_id long, d1 long, d2 long, n int, slice int, cells binary"), "neardup-sketches")
+        texts = sketches.where("slice IS NULL").select("doc_id", "d1", "d2")
+        classes = settle(texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")).orderBy("rep").withColumn("k", F.monotonically_increasing_id()), "neardup-classes")
+        members = settle(texts.join(classes, ["d1", "d2"]).select("doc_id", "rep", "k"), "neardup-members")
+        often = np.zeros(1 << CELL_BITS, np.uint32)
+        for r in sketches.where("slice IS NOT NULL").select("slice", "cells").repartition("slice").mapInArrow(_sum_cells, "slice int, cells binary").toLocalIterator():
+            often[r.slice * len(often) // SLICES : (r.slice + 1) * len(often) // SLICES] = np.frombuffer(zlib.decompress(r.cells), np.uint32)
+        discard(sketches)
+        cells = spark.sparkContext.broadcast(often)
+        known = classes.withColumnRenamed("rep", "doc_id")
+        prefixes = docs.mapInArrow(_prefixes(cells, threshold, stopwords, column), f"doc_id long, d1 long, d2 long, n int, skip int, {column} binary")
+        prefixes = settle(prefixes.join(known, ["doc_id", "d1", "d2"]).select("k", "n", "skip", column), "neardup-prefixes")
+        cells.unpersist()
+        forget_shuffles(spark)
+    elements = prefixes.select("k", "n", "skip", column).mapInArrow(_elements, "x long, k long, n int, at int").repartition("x").sortWithinPartitions("x", "k")
+    met = elements.mapInArrow(_meetings(threshold), "a long, b long, need int")
+    pairs = settle(met.groupBy("a", "b", "need").agg(F.count("*").alias("times")).where("times >= need").select("a", "b"), "neardup-candidates")
+    discard(prefixes)
+    forget_shuffles(spark)
+    with text_batches(spark):
+        nodes = settle(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct().join(classes, "k"), "neardup-nodes")
+        again = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(stopwords), "doc_id long, d1 long, d2 long, f binary")
+        sets = again.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select("k", "f").dropDuplicates(["k"])
+        return members, classes.select("k", "rep"), pairs, settle(sets, "neardup-sets")
+
+
+def _sets(stopwords: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[i], *_digests(f), f.tobytes()) for first, sets in pair_sets(batch.column(1), stopwords) for i, f in enumerate(sets, first) if len(f)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "d1", "d2", "f"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("f", pa.binary())]))
+
+    return run
+
+
+def similar_classes(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Every document with the smallest id of its class of equal sets (doc_id, rep), and all links (a, b), a > b, between
+    classes whose sets have at least this Jaccard similarity. Ids are expected once."""
+    members, classes, pairs, sets = _candidates(docs, threshold, stopwords, "f")
+    ends = lambda s: classes.select(F.col("k").alias(s), F.col("rep").alias(f"r{s}"))
+    links = _compared(pairs, sets, threshold).join(ends("a"), "a").join(ends("b"), "b")
+    return members.select("doc_id", "rep"), links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def greedy_keep(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """doc_id of the documents that stay if they are gone through by id and one goes whenever a kept one is similar.
 
     Of a class of equal sets only the smallest can stay: what drops it drops all.
+    Sets are compared with those of kept texts alone, as the rounds find them.
     Documents without tokens are like nothing and stay; rows without an id are left out.
+    Ids are expected once.
     """
-    members, links = similar_classes(docs, threshold, stopwords)
-    dropped = greedy_dropped(links, "a", "b").select(F.col("node").alias("doc_id"))
+    members, classes, pairs, sets = _candidates(docs, threshold, stopwords, "f")
+
+    def similar(links: DataFrame) -> DataFrame:
+        return _compared(links.select(F.col("u").alias("a"), F.col("v").alias("b")), sets, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    with text_batches(docs.sparkSession):
+        dropped = greedy_dropped(pairs, "a", "b", similar).select(F.col("node").alias("k")).join(classes, "k").select(F.col("rep").alias("doc_id"))
     copies = members.where("doc_id <> rep").select("doc_id")
     return docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(dropped.unionByName(copies), "doc_id", "left_anti")
 

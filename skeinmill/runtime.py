@@ -60,6 +60,12 @@ def discard(df: DataFrame) -> None:
         fs.delete(written, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files deleted that no frame needs any more: Spark does so as the driver's objects for them are collected, by itself
+    only every half hour or as memory runs out."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -99,3 +99,53 @@ def test_equal_minima_lose_next_to_no_link():
     rng = random.Random(7)
     assert 60 < least < 90 and neardup._least_equal(0.6, 3) == 0
     assert min(sum(rng.random() < 0.6 for _ in range(192)) for _ in range(3000)) > least
+
+
+def test_kept_texts_shuffle_rare_elements_and_compare_with_kept_ones(spark, monkeypatch):
+    """Of unlike texts no set is stored, and of a group of variants only pairs with its kept text are compared."""
+    stored, compared, plain, compare = {}, [], neardup.settle, neardup._compared
+
+    def settle(df, label):
+        out = plain(df, label)
+        stored[label] = out
+        return out
+
+    def count(pairs, sets, threshold):
+        compared.append(pairs.count())
+        return compare(pairs, sets, threshold)
+
+    monkeypatch.setattr(neardup, "settle", settle)
+    monkeypatch.setattr(neardup, "_compared", count)
+    unlike = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(20)]
+    base = [f"v{k}" for k in range(60)]
+    variants = [" ".join(base[:i] + [f"y{i}"] + base[i + 1 :]) for i in range(30)]
+    frame = spark.createDataFrame([*enumerate(unlike + variants)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.greedy_keep(frame).collect()) == list(range(21))
+    assert stored["neardup-sets"].count() == 30 and stored["neardup-candidates"].count() == 30 * 29 // 2
+    assert sum(compared) == 29
+
+
+def test_sets_of_hashes_are_those_of_the_pairs(spark):
+    """Letters, digits and lower case of any script, rows cut anywhere, against sets of strings."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skeinmill.operators import pairsets
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aBc9 ._-\u00c9\u00e9\u03a3\u0416\u4e2d\U00010400\u0301\t", k=rng.randrange(60))) for _ in range(400)]
+    texts += [None, "", "one", " One! ", "x y z", "ab cd ab cd", "x" * pairsets.CHUNK_BYTES + " end end", *["\u4e2d\u6587 text"] * 3]
+
+    def pairs(text):
+        t = [x for x in re.findall(r"[^\W_]+", (text or "").lower().replace("\u03c2", "\u03c3")) if len(x) > 1]
+        return frozenset(zip(t, t[1:], strict=False)) if len(t) > 1 else frozenset(t)
+
+    column = pa.array(["cut", *texts]).slice(1)
+    got = [f for _, sets in pairsets.pair_sets(column) for f in sets]
+    want = [pairs(t) for t in texts]
+    assert [len(f) for f in got] == [len(w) for w in want] and all((np.diff(f.astype(object)) > 0).all() for f in got)
+    by_set = {}
+    assert all(by_set.setdefault(w, f.tobytes()) == f.tobytes() for w, f in zip(want, got, strict=True))
+    assert len(set(by_set.values())) == len(by_set)
+    without = [f for _, sets in pairsets.pair_sets(pa.array(["the cat the hat", "cat hat"]), ("the", "The")) for f in sets]
+    assert without[0].tobytes() == without[1].tobytes()
