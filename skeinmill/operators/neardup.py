@@ -1,12 +1,11 @@
-"""Near-duplicate groups of documents by token pairs: MinHash bands, one centre a bucket, then blocks.
-
-Equal sets of word pairs are one class and only its smallest id goes on. Each
-bucket's members are compared with one centre; what those links leave apart in a
-bucket is cut into blocks of bounded size, and pairs of blocks are compared
-inside their row, so only links come out, never all pairs of a group. A text is
-known by its id and a digest of its set, so an id with several texts is compared
-with each of them. Up to the comparison only band keys and a byte of each minimum
-are handed on; sets are made again for those texts alone that are compared.
+"""Near-duplicate groups of documents by token pairs, and what a greedy pass keeps: an exact set join by rare prefixes.
+
+Equal sets of word pairs are one class and only its smallest id goes on. Classes
+that share enough rare elements are candidates; groups compare each class with a few
+candidates first and go on only between different components, so next to no pair inside a
+group is compared. A text is known by its class, so an id with several texts is compared
+with each of them. Up to the comparison only rare elements are handed on; sets are
+made again for those texts alone that are compared.
 """
 
 from __future__ import annotations
@@ -21,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinmill.operators.graph import connected_components, greedy_dropped
-from skeinmill.operators.inverted_index import tokens
 from skeinmill.operators.pairsets import pair_sets
 from skeinmill.runtime import discard, forget_shuffles, settle, table, text_batches
 
@@ -32,38 +31,8 @@ BLOCK = 32
 CELL_BITS = 22
 SLICES = 64
 COMMON = 3
+BROADCAST_ROWS = 1 << 20
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("slice", pa.int32()), ("cells", pa.binary())])
-_VALUES = 1 << 17
-
-
-def _band_keys(bands: int, rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = np.random.default_rng(2024)
-        odd = draws.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
-            lists = batch.column(1)
-            values = np.asarray(lists.values).view(np.uint64)
-            ends = np.asarray(lists.offsets, dtype=np.int64)
-            first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + _VALUES, side="right")) - 1)
-                last = min(last, batch.num_rows)
-                flat, starts = values[ends[first] : ends[last]], ends[first:last] - ends[first]
-                keys = np.zeros((last - first, bands), np.uint64)
-                low = np.empty((last - first, bands * rows), np.uint8)
-                for i in range(bands * rows):
-                    h = flat * odd[i]
-                    h ^= h >> np.uint64(29)
-                    h *= odd[-1 - i]
-                    least = np.minimum.reduceat(h, starts)
-                    keys[:, i // rows] = (keys[:, i // rows] * np.uint64(0x9E3779B97F4A7C15)) ^ least
-                    low[:, i] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-                offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-                known = [batch.column(c).slice(first, last - first) for c in ("doc_id", "d1", "d2", "n")]
-                yield pa.RecordBatch.from_arrays([*known, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc_id", "d1", "d2", "n", "keys", "low"])
-                first = last
-
-    return run
 
 
 def _least_equal(threshold: float, draws: int, risk: float = 1e-9) -> int:
@@ -77,18 +46,6 @@ def _least_equal(threshold: float, draws: int, risk: float = 1e-9) -> int:
     return k
 
 
-def _alike(least: int):
-    """The pairs (a, d1a, b, d1b) of those with both texts' ``low`` in which at least ``least`` bytes are equal."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                low = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("lowa", "lowb")]
-                yield batch.select(["a", "d1a", "b", "d1b"]).filter(pa.array((low[0] == low[1]).sum(axis=1) >= least))
-
-    return run
-
-
 def _jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
@@ -113,56 +70,37 @@ def _block_links(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFr
     return both.select(F.explode(hits).alias("h")).select("h.*").distinct()
 
 
-def similar_links(docs: DataFrame, threshold: float = 0.6, bands: int = 64, rows: int = 3, stopwords: tuple[str, ...] = ()) -> DataFrame:
+def similar_links(docs: DataFrame, threshold: float = 0.6, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, score), a > b: links that connect all documents whose sets of token pairs have at least this Jaccard similarity.
 
     Tokens of one character are left out, and a text of one token has that token
-    for a pair. Members of a class of equal sets link with its smallest id (score 1). At the
-    default threshold a link has no common bucket with probability 2e-7, and too few equal
-    minima to be compared with 1e-9. Texts
-    without tokens, null texts and null ids link with nothing; an
+    for a pair. Members of a class of equal sets link with its smallest id (score 1). Each
+    round compares a class with its next candidates of other components, more of them each time, until none is left.
+    Texts without tokens, null texts and null ids link with nothing; an
     empty table gives an empty result.
     """
-    digests = [F.xxhash64("f").alias("d1"), F.xxhash64(F.lit(1), "f").alias("d2")]
-    sketches = pair_columns(docs, stopwords).select("doc_id", "f", *digests, F.size("f").alias("n"))
-    sketches = settle(sketches.mapInArrow(_band_keys(bands, rows), "doc_id long, d1 long, d2 long, n int, keys array<long>, low binary"), "neardup-sketches")
-    reps = sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = sketches.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
-    copies = settle(copies, "neardup-copies")
-    first = settle(sketches.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "keys", "low")]), "neardup-first")  # equal sets have these in common
-    discard(sketches)
-    slots = first.select("doc_id", "d1", "n", F.posexplode("keys").alias("band", "key"))
-    centre = slots.groupBy("band", "key").agg(F.min(F.struct("doc_id", "d1", "n")).alias("c"), F.max("doc_id").alias("top"), F.count("*").alias("members")).where("c.doc_id < top")
-    centre = settle(centre.select("band", "key", F.col("c.doc_id").alias("b"), F.col("c.d1").alias("d1b"), F.col("c.n").alias("nb"), "members"), "neardup-centres")
-    shared = settle(slots.join(centre, ["band", "key"]), "neardup-buckets")
-    fits = (F.col("n") * threshold <= F.col("nb") + 1e-9) & (F.col("nb") * threshold <= F.col("n") + 1e-9)
-    cand = shared.where((F.col("doc_id") > F.col("b")) & fits).select(F.col("doc_id").alias("a"), F.col("d1").alias("d1a"), "b", "d1b").distinct()
-    low = lambda s: first.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("low").alias(f"low{s}"))
-    cand = cand.join(low("a"), ["a", "d1a"]).join(low("b"), ["b", "d1b"]).select("a", "d1a", "b", "d1b", "lowa", "lowb")
-    cand = settle(cand.mapInArrow(_alike(_least_equal(threshold, bands * rows)), "a long, d1a long, b long, d1b long"), "neardup-candidates")
-
-    crowded = shared.where("members > 2")  # of two the centre is one
-    wanted = cand.select(F.col("a").alias("doc_id"), F.col("d1a").alias("d1")).unionByName(cand.select(F.col("b").alias("doc_id"), F.col("d1b").alias("d1"))).unionByName(crowded.select("doc_id", "d1"))
-    wanted = settle(wanted.distinct(), "neardup-wanted")
-    again = pair_columns(docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), stopwords).select("doc_id", "f", digests[0])
-    own = settle(again.join(wanted, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id", "d1"]), "neardup-sets")
-    side = lambda s: own.select(F.col("doc_id").alias(s), F.col("d1").alias(f"d1{s}"), F.col("f").alias(f"f{s}"))
-    stars = cand.join(side("a"), ["a", "d1a"]).join(side("b"), ["b", "d1b"]).select("a", "b", _jaccard(F.col("fa"), F.col("fb")).alias("score")).where(F.col("score") >= threshold)
-    stars = settle(stars, "neardup-stars")
-    merged = connected_components(stars, "a", "b")
-    labelled = settle(crowded.join(merged, F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", "d1", F.coalesce("component", "doc_id").alias("component")), "neardup-labelled")
-    left_open = labelled.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key", "members")
-    more = settle(_block_links(labelled.join(left_open, ["band", "key"]), own, threshold), "neardup-block-links")
-    return copies.unionByName(stars).unionByName(more).withColumn("score", F.round("score", 3))
-
-
-def pair_columns(docs: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and the sorted set ``f`` of hashes of a document's token pairs, where it has any."""
-    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.xxhash64(a, b))
-    words = F.filter(tokens(F.col("text")), lambda x: (F.length(x) > 1) & ~x.isin(*stopwords) if stopwords else F.length(x) > 1)
-    whole = docs.where("doc_id IS NOT NULL").select("doc_id", words.alias("t")).where(F.size("t") > 0)
-    own = F.when(F.size("t") > 1, pairs).otherwise(F.transform("t", lambda x: F.xxhash64(x)))
-    return whole.select("doc_id", F.array_sort(F.array_distinct(own)).alias("f"))
+    members, classes, left, sets = _candidates(docs, threshold, stopwords, "prefix")
+    links, at_once = None, 1
+    while links is None or not left.isEmpty():
+        if at_once == 1:
+            now = left.groupBy("a").agg(F.min("b").alias("b"))
+        else:
+            now = left.withColumn("i", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("i") <= at_once).select("a", "b")
+        now = settle(now, "neardup-compared")
+        with text_batches(docs.sparkSession):
+            found = settle(_compared(now, sets, threshold), "neardup-stars")
+        links = found if links is None else links.unionByName(found)
+        merged = settle(connected_components(links, "a", "b"), "neardup-merged")
+        end = lambda s: merged.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+        apart = left.join(now, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left")
+        rest = settle(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "neardup-left")
+        for done in (left, now, merged):
+            discard(done)
+        left, at_once = rest, at_once * 16
+    ends = lambda s: classes.select(F.col("k").alias(s), F.col("rep").alias(f"r{s}"))
+    between = links.join(ends("a"), "a").join(ends("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.round("score", 3).alias("score"))
+    copies = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
+    return copies.unionByName(between)
 
 
 def _sketches(stopwords: tuple[str, ...]):
@@ -242,13 +180,16 @@ def _least(threshold: float, n):
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, k, n, at): a row an element of a prefix, with its place in the whole order of the set."""
+    """(x, k, n, at): a row an element of a prefix, by half of its bits, with its place in the whole order of the set.
+
+    Elements that are alike in that half only add to the meetings of sets, which are compared as a whole later.
+    """
     for batch in batches:
         k, n, skip, f = batch.columns
         size = pc.binary_length(f).to_numpy() // 8
         rows = np.repeat(np.arange(batch.num_rows), size)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + skip.to_numpy()[rows]
-        x = np.frombuffer(b"".join(f.to_pylist()), np.int64)
+        x = np.frombuffer(b"".join(f.to_pylist()), np.int64) >> 32
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(k.to_numpy()[rows]), pa.array(n.to_numpy()[rows]), pa.array(at.astype(np.int32))], names=["x", "k", "n", "at"])
 
 
@@ -260,9 +201,7 @@ def _meetings(threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32())])
 
     def meet(x: np.ndarray, k: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fresh = np.ones(len(x), dtype=bool)
-        fresh[1:] = (x[1:] != x[:-1]) | (k[1:] != k[:-1])
-        x, k, n, at = x[fresh], k[fresh], n[fresh].astype(np.int64), at[fresh]
+        n = n.astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
         place = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
         late, step, ready, size = np.flatnonzero(place), 1, [], 0
@@ -271,7 +210,7 @@ def _meetings(threshold: float):
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             least = _least(threshold, large)
             common = np.maximum(least, _least(threshold / (1 + threshold), n[i] + n[j]))
-            fits = (large * threshold <= small + 1e-9) & (COMMON + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= common)
+            fits = (k[i] != k[j]) & (large * threshold <= small + 1e-9) & (COMMON + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= common)
             i, j, least = i[fits], j[fits], least[fits]
             ready.append((k[i], k[j], np.minimum(least, COMMON).astype(np.int32)))
             size += len(i)
@@ -339,8 +278,8 @@ def _candidates(docs: DataFrame, threshold: float, stopwords: tuple[str, ...], c
         cells = spark.sparkContext.broadcast(often)
         known = classes.withColumnRenamed("rep", "doc_id")
         prefixes = docs.mapInArrow(_prefixes(cells, threshold, stopwords, column), f"doc_id long, d1 long, d2 long, n int, skip int, {column} binary")
-        prefixes = settle(prefixes.join(known, ["doc_id", "d1", "d2"]).select("k", "n", "skip", column), "neardup-prefixes")
-        cells.unpersist()
+        prefixes = settle(prefixes.join(known, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("k", "n", "skip", column), "neardup-prefixes")
+        cells.destroy()
         forget_shuffles(spark)
     elements = prefixes.select("k", "n", "skip", column).mapInArrow(_elements, "x long, k long, n int, at int").repartition("x").sortWithinPartitions("x", "k")
     met = elements.mapInArrow(_meetings(threshold), "a long, b long, need int")
@@ -349,8 +288,9 @@ def _candidates(docs: DataFrame, threshold: float, stopwords: tuple[str, ...], c
     forget_shuffles(spark)
     with text_batches(spark):
         nodes = settle(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct().join(classes, "k"), "neardup-nodes")
-        again = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(stopwords), "doc_id long, d1 long, d2 long, f binary")
-        sets = again.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).select("k", "f").dropDuplicates(["k"])
+        near = F.broadcast if nodes.count() <= BROADCAST_ROWS else lambda df: df  # so that texts are not shuffled
+        again = docs.join(near(nodes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets(stopwords), "doc_id long, d1 long, d2 long, f binary")
+        sets = again.join(near(nodes.withColumnRenamed("rep", "doc_id")), ["doc_id", "d1", "d2"]).select("k", "f").dropDuplicates(["k"])
         return members, classes.select("k", "rep"), pairs, settle(sets, "neardup-sets")
 
 
@@ -402,8 +342,7 @@ def neardup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with text_batches(spark):
-        return connected_components(similar_links(table(spark, sf_dir, "documents")), "a", "b")
+    return connected_components(similar_links(table(spark, sf_dir, "documents")), "a", "b")
 
 
 _TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) > 1)"

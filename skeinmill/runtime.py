@@ -9,6 +9,7 @@ every executor and by the driver.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,7 @@ def discard(df: DataFrame) -> None:
 def forget_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files deleted that no frame needs any more: Spark does so as the driver's objects for them are collected, by itself
     only every half hour or as memory runs out."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

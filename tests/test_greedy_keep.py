@@ -149,3 +149,19 @@ def test_sets_of_hashes_are_those_of_the_pairs(spark):
     assert len(set(by_set.values())) == len(by_set)
     without = [f for _, sets in pairsets.pair_sets(pa.array(["the cat the hat", "cat hat"]), ("the", "The")) for f in sets]
     assert without[0].tobytes() == without[1].tobytes()
+
+
+def test_groups_compare_next_to_no_pair_inside_a_group(spark, monkeypatch):
+    """All variants of a text are candidates of each other; one comparison each connects them."""
+    compared, compare = [], neardup._compared
+
+    def count(pairs, sets, threshold):
+        compared.append(pairs.count())
+        return compare(pairs, sets, threshold)
+
+    monkeypatch.setattr(neardup, "_compared", count)
+    base = [f"v{k}" for k in range(60)]
+    variants = [" ".join(base[:i] + [f"y{i}"] + base[i + 1 :]) for i in range(30)]
+    frame = spark.createDataFrame([*enumerate(variants)], "doc_id long, text string")
+    assert sorted((r.a, r.b) for r in neardup.similar_links(frame).collect()) == [(i, 0) for i in range(1, 30)]
+    assert sum(compared) == 29
